@@ -1,16 +1,25 @@
 """Michaelis-Menten curves ``y = vmax * x / (km + x)`` for every group at once.
 
 The readings are read once: equal doses of a group collapse to (count, mean,
-spread) without loss, and every later step is a grouped sum over that compact
-table. For a fixed ``km`` the best ``vmax`` has a closed form, so only ``km``
-is searched: two rounds over a grid of candidates, then Newton steps on
-ln(km). A group is a reduce key, never a task: however many doses a group
-has, its rows are summed map-side before anything is shuffled.
+spread) without loss, and every later step is a sum over that compact table.
+For a fixed ``km`` the best ``vmax`` has a closed form, so only ``km`` is
+searched: two grids of candidates, the second around the best of the first,
+then Newton steps on ln(km).
+
+The sums are taken in one of two ways, chosen by the counted number of doses:
+
+* groups of up to ``PACKED_DOSES`` doses are packed, one row per group with
+  an array of doses, and searched inside that row after a single shuffle;
+* groups with more doses (a continuous x) are searched by grouped aggregates,
+  one round per step. There a group is a reduce key and never a task: its
+  rows are summed map-side before anything is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limnokit import fixed_values as fixed
@@ -18,12 +27,93 @@ from limnokit.operators.joins import null_safe_join
 from limnokit.operators.linear_fit import with_p_values
 from limnokit.session import settle
 
-COARSE_STEPS = 256
-FINE_STEPS = 64
-NEWTON_STEPS = 4
-# Parameter tables up to this many rows are broadcast to the compact table
+COARSE_STEPS = 64
+FINE_STEPS = 32
+NEWTON_STEPS = 5
+PACKED_DOSES = 4096
+# Parameter tables of the aggregate rounds are broadcast up to this many rows
 BROADCAST_GROUPS = 100_000
 
+Terms = dict[str, Column]
+Field = Callable[[str], Column]
+
+
+# --- the sums, written once for both ways -----------------------------------
+
+
+def _search_terms(d: Field, km: Column) -> Terms:
+    u = d("x") / (km + d("x"))
+    return {"uy": d("n") * d("y_mean") * u, "uu": d("n") * u * u}
+
+
+def _gain(s: Field) -> Column:
+    """Reduction of the squared residuals by the best ``vmax``."""
+    return F.try_divide(s("uy") * s("uy"), s("uu"))
+
+
+def _newton_terms(d: Field, km: Column) -> Terms:
+    n, y, shifted = d("n"), d("y_mean"), km + d("x")
+    u = d("x") / shifted
+    u1 = -u / shifted
+    u2 = 2 * u / (shifted * shifted)
+    return {
+        "uy": n * y * u,
+        "u1y": n * y * u1,
+        "u2y": n * y * u2,
+        "uu": n * u * u,
+        "uu1": n * u * u1,
+        "u1u1": n * u1 * u1,
+        "uu2": n * u * u2,
+    }
+
+
+def _best_vmax(s: Field) -> Column:
+    return F.try_divide(s("uy"), s("uu"))
+
+
+def _newton_km(s: Field, km: Column, km_lo: Column, km_hi: Column) -> Column:
+    """One Newton step on ln(km) for the residuals at the best ``vmax``, kept in the bracket."""
+    v = _best_vmax(s)
+    resid_u1 = s("u1y") - v * s("uu1")
+    resid_u2 = s("u2y") - v * s("uu2")
+    slope = -2 * v * resid_u1
+    h_vk = 2 * (v * s("uu1") - resid_u1)
+    h_kk = 2 * (v * v * s("u1u1") - v * resid_u2)
+    curvature = h_kk - F.try_divide(h_vk * h_vk, 2 * s("uu"))
+    log_slope, log_curvature = km * slope, km * km * curvature + km * slope
+    step = F.when(log_curvature > 0, -log_slope / log_curvature).otherwise(F.lit(0.0))
+    step = F.greatest(F.least(step, F.lit(1.0)), F.lit(-1.0))
+    return F.greatest(F.least(km * F.exp(step), km_hi), km_lo)
+
+
+def _curvature_terms(d: Field, vmax: Column, km: Column, covariance: str) -> Terms:
+    """Residual sum of squares and its Hessian in (vmax, km), from residuals."""
+    n, shifted = d("n"), km + d("x")
+    u = d("x") / shifted
+    u1 = -u / shifted
+    u2 = 2 * u / (shifted * shifted)
+    resid = d("y_mean") - vmax * u
+    observed = F.lit(1.0 if covariance == "observed" else 0.0)
+    return {
+        "rss": d("spread") + n * resid * resid,
+        "h_vv": 2 * n * u * u,
+        "h_vk": 2 * n * (vmax * u * u1 - observed * resid * u1),
+        "h_kk": 2 * n * (vmax * vmax * u1 * u1 - observed * resid * vmax * u2),
+    }
+
+
+def _candidate(km_lo: Column, km_hi: Column, step: Column, steps: int) -> Column:
+    return km_lo * F.pow(km_hi / km_lo, step / F.lit(float(steps)))
+
+
+def _around(km_lo: Column, km_hi: Column, step: Column, steps: int) -> tuple[Column, Column]:
+    """The candidates next to the best one."""
+    below, above = F.greatest(step - 1, F.lit(0)), F.least(step + 1, F.lit(steps))
+    return _candidate(km_lo, km_hi, below, steps), _candidate(km_lo, km_hi, above, steps)
+
+
+# --- compaction ---------------------------------------------------------------
+
 
 def compact_doses(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """One row per group and dose: readings used, their mean and squared spread.
@@ -45,15 +135,80 @@ def compact_doses(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     )
 
 
-def _group_facts(doses: DataFrame, keys: list[str]) -> DataFrame:
+def _facts() -> list[Column]:
     used = F.col("n") > 0
-    return doses.groupBy(*keys).agg(
+    return [
         F.sum("n").alias("n"),
         (F.sum("rows") - F.sum("n")).alias("n_excluded"),
         F.count_if(used & (F.col("x") > 0)).alias("n_doses"),
         F.max("x").alias("x_max"),
         F.max(F.when(used, F.col("x"))).alias("x_scale"),
+    ]
+
+
+FACTS = ["n", "n_excluded", "n_doses", "x_max", "x_scale"]
+SHAPE = ["vmax", "km", "rss", "h_vv", "h_vk", "h_kk"]
+
+
+# --- packed groups --------------------------------------------------------------
+
+
+def _fold(doses: Column, terms: Callable[[Field], Terms]) -> Column:
+    """Struct of sums of the terms over an array of doses."""
+    names = list(terms(lambda _: F.lit(0.0)))
+    zero = F.struct(*[F.lit(0.0).alias(name) for name in names])
+
+    def add(acc: Column, d: Column) -> Column:
+        return F.struct(*[(acc[name] + term).alias(name) for name, term in terms(lambda f: d[f]).items()])
+
+    return F.aggregate(doses, zero, add)
+
+
+def _best_step(km_lo: Column, km_hi: Column, steps: int) -> Column:
+    """Number of the best candidate; the smaller one on a tie."""
+
+    def score(step: Column) -> Column:
+        km = _candidate(km_lo, km_hi, step, steps)
+        sums = F.transform(F.array(_fold(F.col("doses"), lambda d: _search_terms(d, km))), lambda s: _gain(lambda f: s[f]))
+        return F.struct(sums[0].alias("gain"), (-step).alias("back"))
+
+    return -F.array_max(F.transform(F.sequence(F.lit(0), F.lit(steps)), score))["back"]
+
+
+def _fit_packed(doses: DataFrame, keys: list[str], km_span: tuple[float, float], covariance: str) -> DataFrame:
+    """Facts and shape of groups whose doses fit in one row each."""
+    dose = F.struct("x", "n", "y_mean", "spread")
+    packed = doses.groupBy(*keys).agg(
+        *_facts(),
+        F.collect_list(F.when((F.col("n") > 0) & F.col("x").isNotNull(), dose)).alias("doses"),
+    )
+    lo, hi = F.col("km_lo"), F.col("km_hi")
+    out = (
+        packed.filter(F.col("n_doses") > 0)
+        .withColumn("doses", F.array_sort("doses"))
+        .withColumn("km_lo", F.col("x_scale") * F.lit(km_span[0]))
+        .withColumn("km_hi", F.col("x_scale") * F.lit(km_span[1]))
     )
+    for steps in (COARSE_STEPS, FINE_STEPS):
+        below, above = _around(lo, hi, F.col("step"), steps)
+        best = _candidate(lo, hi, F.col("step"), steps)
+        out = out.withColumn("step", _best_step(lo, hi, steps)).withColumns(
+            {"km": best, "km_lo": below, "km_hi": above}
+        )
+
+    def newton(km: Column, _: Column) -> Column:
+        sums = F.array(_fold(F.col("doses"), lambda d: _newton_terms(d, km)))
+        return F.transform(sums, lambda s: _newton_km(lambda f: s[f], km, lo, hi))[0]
+
+    out = out.withColumn("km", F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.col("km"), newton))
+    sums = _fold(F.col("doses"), lambda d: _search_terms(d, F.col("km")))
+    out = out.withColumn("sums", sums).withColumn("vmax", _best_vmax(lambda f: F.col(f"sums.{f}")))
+    shape = _fold(F.col("doses"), lambda d: _curvature_terms(d, F.col("vmax"), F.col("km"), covariance))
+    out = out.withColumn("shape", shape)
+    return out.select(*keys, *FACTS, "vmax", "km", "shape.rss", "shape.h_vv", "shape.h_vk", "shape.h_kk")
+
+
+# --- groups with many doses -------------------------------------------------------
 
 
 def _pair(doses: DataFrame, params: DataFrame, keys: list[str], small: bool) -> DataFrame:
@@ -61,141 +216,78 @@ def _pair(doses: DataFrame, params: DataFrame, keys: list[str], small: bool) ->
     return null_safe_join(doses, F.broadcast(params) if small else params, keys, "inner")
 
 
+def _sums(terms: Terms) -> list[Column]:
+    return [F.sum(term).alias(name) for name, term in terms.items()]
+
+
 def _grid_round(doses: DataFrame, bounds: DataFrame, keys: list[str], steps: int, small: bool) -> DataFrame:
-    """Best of ``steps + 1`` log-spaced candidates per group, and its neighbours."""
-    candidate = F.col("km_lo") * F.pow(F.col("km_hi") / F.col("km_lo"), F.col("step") / F.lit(float(steps)))
-    u = F.try_divide(F.col("x"), F.col("km") + F.col("x"))
+    lo, hi, step = F.col("km_lo"), F.col("km_hi"), F.col("step")
     scored = (
         _pair(doses, bounds, keys, small)
-        .select(
-            *keys, "x", "n", "y_mean", "km_lo", "km_hi", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step")
-        )
-        .withColumn("km", candidate)
-        .withColumn("u", u)
+        .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+        .withColumn("km", _candidate(lo, hi, step, steps))
         .groupBy(*keys, "km_lo", "km_hi", "step")
-        .agg(
-            F.sum(F.col("n") * F.col("y_mean") * F.col("u")).alias("s_uy"),
-            F.sum(F.col("n") * F.col("u") * F.col("u")).alias("s_uu"),
-        )
+        .agg(*_sums(_search_terms(F.col, F.col("km"))))
     )
-    # The candidate that explains most of the rates; the smaller one on a tie
-    gain = F.try_divide(F.col("s_uy") * F.col("s_uy"), F.col("s_uu"))
     best = scored.groupBy(*keys, "km_lo", "km_hi").agg(
-        F.max(F.struct(gain.alias("gain"), (-F.col("step")).alias("back"))).alias("best")
+        F.max(F.struct(_gain(F.col).alias("gain"), (-step).alias("back"))).alias("best")
     )
-    step = -F.col("best.back")
-    ratio = F.pow(F.col("km_hi") / F.col("km_lo"), F.lit(1.0 / steps))
-    km = F.col("km_lo") * F.pow(ratio, step)
+    below, above = _around(lo, hi, -F.col("best.back"), steps)
     return best.select(
         *keys,
-        km.alias("km"),
-        F.greatest(km / ratio, F.col("km_lo")).alias("km_lo"),
-        F.least(km * ratio, F.col("km_hi")).alias("km_hi"),
+        _candidate(lo, hi, -F.col("best.back"), steps).alias("km"),
+        below.alias("km_lo"),
+        above.alias("km_hi"),
     )
 
 
 def _newton_round(doses: DataFrame, params: DataFrame, keys: list[str], small: bool) -> DataFrame:
-    """``vmax`` at the present ``km``, and one Newton step on ln(km) inside the bracket."""
-    x, n, y = F.col("x"), F.col("n"), F.col("y_mean")
-    shifted = F.col("km") + x
-    u, u1, u2 = x / shifted, -x / (shifted * shifted), 2 * x / (shifted * shifted * shifted)
     sums = (
-        _pair(doses.filter(x > 0), params, keys, small)
+        _pair(doses, params, keys, small)
         .groupBy(*keys, "km", "km_lo", "km_hi")
-        .agg(
-            F.sum(n * y * u).alias("uy"),
-            F.sum(n * y * u1).alias("u1y"),
-            F.sum(n * y * u2).alias("u2y"),
-            F.sum(n * u * u).alias("uu"),
-            F.sum(n * u * u1).alias("uu1"),
-            F.sum(n * u1 * u1).alias("u1u1"),
-            F.sum(n * u * u2).alias("uu2"),
-        )
-        .withColumn("vmax", F.try_divide("uy", "uu"))
-    )
-    v, km = F.col("vmax"), F.col("km")
-    resid_u1 = F.col("u1y") - v * F.col("uu1")
-    resid_u2 = F.col("u2y") - v * F.col("uu2")
-    slope = -2 * v * resid_u1
-    h_vk = 2 * (v * F.col("uu1") - resid_u1)
-    h_kk = 2 * (v * v * F.col("u1u1") - v * resid_u2)
-    curvature = h_kk - F.try_divide(h_vk * h_vk, 2 * F.col("uu"))
-    log_slope, log_curvature = km * slope, km * km * curvature + km * slope
-    step = F.when(log_curvature > 0, -log_slope / log_curvature).otherwise(F.lit(0.0))
-    moved = F.greatest(F.least(km * F.exp(F.greatest(F.least(step, F.lit(1.0)), F.lit(-1.0))), "km_hi"), "km_lo")
-    return sums.select(*keys, "vmax", "km", moved.alias("km_next"), "km_lo", "km_hi")
-
-
-def _curvature_round(
-    doses: DataFrame, params: DataFrame, keys: list[str], small: bool, covariance: str
-) -> DataFrame:
-    """Residual sum of squares and its Hessian at the estimates, from residuals."""
-    x, n, v = F.col("x"), F.col("n"), F.col("vmax")
-    shifted = F.col("km") + x
-    u = F.when(x > 0, x / shifted).otherwise(F.lit(0.0))
-    u1, u2 = -u / shifted, 2 * u / (shifted * shifted)
-    resid = F.col("y_mean") - v * u
-    observed = F.lit(1.0 if covariance == "observed" else 0.0)
-    return (
-        _pair(doses.filter(n > 0), params, keys, small)
-        .groupBy(*keys, "vmax", "km")
-        .agg(
-            F.sum(F.col("spread") + n * resid * resid).alias("rss"),
-            (2 * F.sum(n * u * u)).alias("h_vv"),
-            (2 * F.sum(n * (v * u * u1 - observed * resid * u1))).alias("h_vk"),
-            (2 * F.sum(n * (v * v * u1 * u1 - observed * resid * v * u2))).alias("h_kk"),
-        )
+        .agg(*_sums(_newton_terms(F.col, F.col("km"))))
     )
+    moved = _newton_km(F.col, F.col("km"), F.col("km_lo"), F.col("km_hi"))
+    return sums.select(*keys, moved.alias("km"), "km_lo", "km_hi")
 
 
-def saturation_fit(
-    df: DataFrame,
-    keys: list[str],
-    x: str,
-    y: str,
-    covariance: str = "observed",
-    km_span: tuple[float, float] = (1e-6, 1e4),
-    p_values: bool = True,
-    keep_failed: bool = False,
-) -> DataFrame:
-    """Least-squares ``vmax`` and ``km`` per group with SE, t, p and 95 % intervals.
-
-    ``km`` is searched between ``km_span`` times the group's largest dose.
-    ``covariance`` is the inverse ``observed`` Hessian of the residual sum of
-    squares, or its ``gauss_newton`` part. ``status``:
+def _fit_wide(doses: DataFrame, keys: list[str], km_span: tuple[float, float], covariance: str) -> DataFrame:
+    """Facts and shape of groups with any number of doses, by grouped aggregates.
 
-    * ``ok``: an optimum inside the searched range, with SEs;
-    * ``at_bound``: the residuals fall towards an end of the range (nearly
-      straight or flat data); the estimates are those at the end;
-    * ``singular``: estimates without SE (no residual df, a single dose, or
-      a curvature that cannot be inverted);
-    * ``failed``: no reading with a positive dose. No row unless kept.
+    Every round is settled: its table has one row per group, and the plan of
+    the next round starts from a file.
     """
-    if covariance not in ("observed", "gauss_newton"):
-        raise ValueError("covariance is 'observed' or 'gauss_newton'")
-    doses = settle(compact_doses(df, keys, x, y), "doses")
-    facts = settle(_group_facts(doses, keys), "dose-groups")
+    facts = settle(doses.groupBy(*keys).agg(*_facts()).filter(F.col("n_doses") > 0), "dose-groups")
     small = facts.count() <= BROADCAST_GROUPS
     used = doses.filter(F.col("x").isNotNull() & (F.col("n") > 0)).select(*keys, "x", "n", "y_mean", "spread")
-
-    def keep(step: DataFrame) -> DataFrame:
-        # With few groups the rounds form one job; with many, each is settled
-        return step if small else settle(step, "fit-round")
-
-    bounds = facts.filter(F.col("n_doses") > 0).select(
+    params = facts.select(
         *keys,
         (F.col("x_scale") * F.lit(km_span[0])).alias("km_lo"),
         (F.col("x_scale") * F.lit(km_span[1])).alias("km_hi"),
     )
-    coarse = keep(_grid_round(used, bounds, keys, COARSE_STEPS, small))
-    params = keep(_grid_round(used, coarse.drop("km"), keys, FINE_STEPS, small))
-    for _ in range(NEWTON_STEPS - 1):
-        step = _newton_round(used, params, keys, small)
-        params = keep(step.select(*keys, F.col("km_next").alias("km"), "km_lo", "km_hi"))
-    final = keep(_newton_round(used, params, keys, small).select(*keys, "vmax", "km"))
-    shape = _curvature_round(used, final, keys, small, covariance)
-
-    fits = null_safe_join(facts, shape, keys, "left")
+    for steps in (COARSE_STEPS, FINE_STEPS):
+        bounds = params.select(*keys, "km_lo", "km_hi")
+        params = settle(_grid_round(used, bounds, keys, steps, small), "fit-grid")
+    for _ in range(NEWTON_STEPS):
+        params = settle(_newton_round(used, params, keys, small), "fit-newton")
+    final = (
+        _pair(used, params.select(*keys, "km"), keys, small)
+        .groupBy(*keys, "km")
+        .agg(*_sums(_search_terms(F.col, F.col("km"))))
+        .select(*keys, "km", _best_vmax(F.col).alias("vmax"))
+    )
+    shape = (
+        _pair(used, settle(final, "fit-final"), keys, small)
+        .groupBy(*keys, "vmax", "km")
+        .agg(*_sums(_curvature_terms(F.col, F.col("vmax"), F.col("km"), covariance)))
+    )
+    return null_safe_join(facts, shape, keys, "inner").select(*keys, *FACTS, *SHAPE)
+
+
+# --- the operator -------------------------------------------------------------------
+
+
+def _with_errors(shapes: DataFrame, km_span: tuple[float, float]) -> DataFrame:
     det = F.col("h_vv") * F.col("h_kk") - F.col("h_vk") * F.col("h_vk")
     solvable = (
         (F.col("df_resid") > 0)
@@ -206,16 +298,16 @@ def saturation_fit(
     s2 = F.col("rss") / F.col("df_resid")
     low_end = F.col("x_scale") * F.lit(km_span[0] * (1 + 1e-6))
     high_end = F.col("x_scale") * F.lit(km_span[1] * (1 - 1e-6))
-    fits = (
-        fits.withColumn("df_resid", F.col("n") - 2)
+    undetermined = (F.col("n_doses") < 2) | (F.col("df_resid") < 1)
+    return (
+        shapes.withColumn("df_resid", F.col("n") - 2)
         .withColumn("se_vmax", F.when(solvable, F.sqrt(2 * s2 * F.col("h_kk") / det)))
         .withColumn("se_km", F.when(solvable, F.sqrt(2 * s2 * F.col("h_vv") / det)))
         .withColumn("t_vmax", F.try_divide("vmax", "se_vmax"))
         .withColumn("t_km", F.try_divide("km", "se_km"))
         .withColumn(
             "status",
-            F.when(F.col("vmax").isNull(), "failed")
-            .when(F.col("se_km").isNull() & ((F.col("n_doses") < 2) | (F.col("df_resid") < 1)), "singular")
+            F.when(undetermined, "singular")
             .when((F.col("km") <= low_end) | (F.col("km") >= high_end), "at_bound")
             .when(F.col("se_km").isNull(), "singular")
             .otherwise("ok"),
@@ -228,11 +320,56 @@ def saturation_fit(
             }
         )
     )
-    if not keep_failed:
-        fits = fits.filter(F.col("status") != "failed")
+
+
+def saturation_fit(
+    df: DataFrame,
+    keys: list[str],
+    x: str,
+    y: str,
+    covariance: str = "observed",
+    km_span: tuple[float, float] = (1e-6, 1e4),
+    p_values: bool = True,
+    keep_failed: bool = False,
+    packed_doses: int = PACKED_DOSES,
+) -> DataFrame:
+    """Least-squares ``vmax`` and ``km`` per group with SE, t, p and 95 % intervals.
+
+    ``km`` is searched between ``km_span`` times the group's largest dose.
+    ``covariance`` is the inverse ``observed`` Hessian of the residual sum of
+    squares, or its ``gauss_newton`` part. ``status``:
+
+    * ``ok``: an optimum inside the searched range, with SEs;
+    * ``at_bound``: the residuals fall towards an end of the range (nearly
+      straight or flat data); the estimates are those at the end;
+    * ``singular``: estimates without SE (no residual df, a single dose, or
+      a curvature that cannot be inverted);
+    * ``failed``: no reading with a positive dose. No row unless kept.
+    """
+    if covariance not in ("observed", "gauss_newton"):
+        raise ValueError("covariance is 'observed' or 'gauss_newton'")
+    doses = settle(compact_doses(df, keys, x, y), "doses")
+    sizes = doses.groupBy(*keys).agg(F.count(F.lit(1)).alias("doses"))
+    largest = sizes.agg(F.max("doses")).first()[0] or 0
+    if largest <= packed_doses:
+        shapes = _fit_packed(doses, keys, km_span, covariance)
+    else:
+        sizes = settle(sizes, "dose-counts")
+        narrow = sizes.filter(F.col("doses") <= packed_doses).select(*keys)
+        wide = sizes.filter(F.col("doses") > packed_doses).select(*keys)
+        shapes = _fit_packed(null_safe_join(doses, narrow, keys, "left_semi"), keys, km_span, covariance).unionByName(
+            _fit_wide(settle(null_safe_join(doses, wide, keys, "left_semi"), "wide-doses"), keys, km_span, covariance)
+        )
+    fits = _with_errors(shapes, km_span)
     columns = [
         *keys, "n", "n_excluded", "n_doses", "x_max", "vmax", "km", "se_vmax", "se_km", "t_vmax", "t_km",
         "ci_low_km", "ci_high_km", "ci_low_vmax", "ci_high_vmax", "rss", "df_resid", "status",
     ]
     out = fits.select(*columns)
-    return with_p_values(out, {"t_vmax": "p_vmax", "t_km": "p_km"}) if p_values else out
+    if p_values:
+        out = with_p_values(out, {"t_vmax": "p_vmax", "t_km": "p_km"})
+    if keep_failed:
+        failed = doses.groupBy(*keys).agg(*_facts()).filter(F.col("n_doses") == 0)
+        failed = failed.select(*keys, "n", "n_excluded", "n_doses", "x_max", F.lit("failed").alias("status"))
+        out = out.unionByName(failed, allowMissingColumns=True)
+    return out
