@@ -590,4 +590,18 @@ FROM rates""",
 SELECT site, inc_month, type, analyte, n, {r("intercept", 6, "intercept")}, {r("slope", 6, "slope")},
   {r("se_intercept", 6, "se_intercept")}, {r("se_slope", 6, "se_slope")}, df_resid,
   CASE WHEN se_slope > 0 THEN 'ok' ELSE 'exact' END AS status FROM ols""",
+    "incubation_curves": f"""WITH {KEPT}, {mm_cte("kept", CURVE_KEYS, "x", "y")}
+SELECT site, inc_month, type, analyte, CAST(n AS BIGINT) AS n, n_doses, {r("vmax", 3, "vmax")}, {r("km", 3, "km")},
+  {r("se_vmax", 3, "se_vmax")}, {r("se_km", 3, "se_km")}, 'ok' AS status FROM mm""",
+    "saturating_share": f"""WITH {KEPT}, {mm_cte("kept", CURVE_KEYS, "x", "y")},
+{p_value_cte("mm", ", ".join(CURVE_KEYS), "vmax / se_vmax", "df_resid", "pv")},
+{p_value_cte("mm", ", ".join(CURVE_KEYS), "km / se_km", "df_resid", "pk")},
+named AS (
+  SELECT {case_map("site", fixed.SITE_LABELS, "site")} AS site_id, type AS substrate, analyte AS n_type,
+    pv.p < 0.05 AND pk.p < 0.05 AS both_sig
+  FROM pv JOIN pk USING (site, inc_month, type, analyte)
+  WHERE concat_ws('_', site, inc_month, type, analyte) NOT IN {in_list(fixed.EXCLUDED_MODELS)})
+SELECT split_part(site_id, '_', 1) AS stream, substrate, n_type, count(*) AS sum_total,
+  count(*) FILTER (both_sig) AS sum_vmax_km_sig, {r("count(*) FILTER (both_sig)::DOUBLE / count(*)", 8, "prop_sig")}
+FROM named GROUP BY ALL""",
 }

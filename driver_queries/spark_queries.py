@@ -17,7 +17,7 @@ from driver_queries.bindings import (
     select_list,
 )
 from limnokit import fixed_values as fixed
-from limnokit.functions.clock import incubation_hours, month_label, normal_clock, short_date, split_hours
+from limnokit.functions.clock import month_label, normal_clock, short_date, split_hours, with_incubation_hours
 from limnokit.functions.numeric import (
     cfs_to_cms,
     is_in,
@@ -91,9 +91,10 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as raw vial readings."""
+    """lineitem as a stored table of raw vial readings."""
     base = table(spark, sf_dir, "lineitem").selectExpr(*select_list(READINGS))
-    return base.selectExpr("*", *select_list(READINGS_NEXT)).selectExpr("*", *select_list(READINGS_LAST))
+    raw = base.selectExpr("*", *select_list(READINGS_NEXT)).selectExpr("*", *select_list(READINGS_LAST))
+    return settle(raw, "readings")
 
 
 def lake_conditions(raw: DataFrame) -> DataFrame:
@@ -242,13 +243,10 @@ def hours_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.date_format("ts", "H:mm")
     clock = F.when(F.col("event_type") == "error", None).when(F.col("event_type") == "view", "n/a").otherwise(text)
     df = table(spark, sf_dir, "events").select("event_id", clock.alias("clock"))
-    return df.select(
-        "event_id",
-        "clock",
-        normal_clock("clock").alias("normal"),
-        split_hours("clock").alias("split_hours"),
-        incubation_hours("clock").alias("hours"),
+    out = df.select(
+        "event_id", "clock", normal_clock("clock").alias("normal"), split_hours("clock").alias("split_hours")
     )
+    return with_incubation_hours(out, "clock", "hours")
 
 
 def speciation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -541,17 +539,22 @@ def uptake_rate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rate_table(spark, sf_dir), 5, *RATE_NUMBERS)
 
 
+def kept_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored rate table, normalised and screened."""
+    rates = settle(rate_table(spark, sf_dir), "rates")
+    return kept_rows(screen_outliers(with_normalised_rate(rates)))
+
+
 def incubation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = kept_rows(screen_outliers(with_normalised_rate(rate_table(spark, sf_dir))))
-    fits = linear_fit(kept, MODEL_KEYS, "mean_spike_conc", "net_rate_om", p_values=False)
+    fits = linear_fit(kept_rates(spark, sf_dir), MODEL_KEYS, "mean_spike_conc", "net_rate_om", p_values=False)
     out = fits.select(*MODEL_KEYS, "n", "intercept", "slope", "se_intercept", "se_slope", "df_resid", "status")
     return rounded(out, 6, "intercept", "slope", "se_intercept", "se_slope")
 
 
 def incubation_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = kept_rows(screen_outliers(with_normalised_rate(rate_table(spark, sf_dir))))
-    fits = saturation_fit(kept, MODEL_KEYS, "mean_spike_conc", "net_rate_om")
-    return fits.select(*MODEL_KEYS, "n", "n_doses", "vmax", "km", "se_vmax", "se_km", "p_vmax", "p_km", "status")
+    fits = saturation_fit(kept_rates(spark, sf_dir), MODEL_KEYS, "mean_spike_conc", "net_rate_om", p_values=False)
+    out = fits.select(*MODEL_KEYS, "n", "n_doses", "vmax", "km", "se_vmax", "se_km", "status")
+    return rounded(out, 3, "vmax", "km", "se_vmax", "se_km")
 
 
 def saturating_share(spark: SparkSession, sf_dir: str) -> DataFrame:

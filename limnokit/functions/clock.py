@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limnokit import fixed_values as fixed
@@ -13,36 +13,45 @@ CLOCK_PATTERN = r"^\s*(2[0-3]|[01]?\d):([0-5]?\d)"
 SHORT_DATE_PATTERN = r"^\s*(\d{1,2})/(\d{1,2})/(\d{1,2})"
 
 
+def clock_match(c: Column | str) -> Column:
+    """The ``H:MM`` at the start of the text; empty when it is not a clock reading."""
+    return F.ltrim(F.regexp_extract(_col(c), CLOCK_PATTERN, 0))
+
+
 def normal_clock(c: Column | str) -> Column:
     """``H:MM`` as ``HH:MM:00``, NULL when the text is not a clock reading."""
-    hour = F.nullif(F.regexp_extract(_col(c), CLOCK_PATTERN, 1), F.lit(""))
-    minute = F.regexp_extract(_col(c), CLOCK_PATTERN, 2)
-    return F.concat(F.lpad(hour, 2, "0"), F.lit(":"), F.lpad(minute, 2, "0"), F.lit(":00"))
+    found = clock_match(c)
+    hour, minute = F.split_part(found, F.lit(":"), F.lit(1)), F.split_part(found, F.lit(":"), F.lit(2))
+    return F.when(found != "", F.concat(F.lpad(hour, 2, "0"), F.lit(":"), F.lpad(minute, 2, "0"), F.lit(":00")))
 
 
-def split_hours(c: Column | str) -> Column:
-    """First part plus second part / 60 of a ``:``-separated text."""
-    parts = F.split(_col(c), ":")
-    hours = F.get(parts, F.lit(0)).try_cast("double")
-    minutes = F.get(parts, F.lit(1)).try_cast("double")
-    return hours + minutes / F.lit(60.0)
+def clock_hours(c: Column | str) -> Column:
+    """Decimal hours of an ``H:MM`` or ``HH:MM:SS`` text, from its hour and minute."""
+    parts = [F.split_part(_col(c), F.lit(":"), F.lit(i)).try_cast("double") for i in (1, 2)]
+    return parts[0] + parts[1] / F.lit(60.0)
 
 
-def clock_hours(c: Column | str) -> Column:
-    """Decimal hours of an ``HH:MM:SS`` text, from its hour and minute."""
-    parts = F.split(_col(c), ":")
-    return F.get(parts, F.lit(0)).try_cast("double") + F.get(parts, F.lit(1)).try_cast("double") / F.lit(60.0)
+def split_hours(c: Column | str) -> Column:
+    """First part plus second part / 60 of any ``:``-separated text."""
+    return clock_hours(c)
 
 
-def incubation_hours(
-    clock: Column | str,
+def with_incubation_hours(
+    df: DataFrame,
+    clock: str,
+    name: str,
     default_clock: str = fixed.DEFAULT_INCUBATION_CLOCK,
     longest: float = fixed.LONGEST_INCUBATION_HOURS,
     replacement: float = fixed.CAPPED_INCUBATION_HOURS,
-) -> Column:
-    """Hours of incubation: default when missing, replaced when too long."""
-    hours = clock_hours(F.coalesce(normal_clock(clock), F.lit(default_clock)))
-    return F.when(hours > F.lit(longest), F.lit(replacement)).otherwise(hours)
+) -> DataFrame:
+    """Hours of incubation: default when missing, replaced when too long.
+
+    Built in steps, so that each text is matched once per row.
+    """
+    hours = F.when(F.col("__clock") != "", clock_hours("__clock")).otherwise(clock_hours(F.lit(default_clock)))
+    capped = F.when(F.col("__hours") > F.lit(longest), F.lit(replacement)).otherwise(F.col("__hours"))
+    staged = df.withColumn("__clock", clock_match(clock)).withColumn("__hours", hours)
+    return staged.withColumn(name, capped).drop("__clock", "__hours")
 
 
 def short_date(c: Column | str, pivot: int = fixed.CENTURY_PIVOT) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limnokit import fixed_values as fixed
-from limnokit.functions.clock import incubation_hours
+from limnokit.functions.clock import with_incubation_hours
 from limnokit.functions.numeric import mg_to_ug, ratio, recode, row_min
 from limnokit.operators.groups import attach_mean_sd, filtered_mean
 from limnokit.operators.joins import attach_group_values
@@ -56,12 +56,10 @@ def limit_substituted(
 
 def clean_readings(df: DataFrame, strict: bool = False) -> DataFrame:
     """Detection limits applied, in micrograms, positive readings only; incubation hours."""
-    conc = limit_substituted(row_min("nh4_mgn_l", "no2_no3_mgn_l"), F.col("analyte"), strict=strict)
-    return (
-        df.withColumn("conc_ugn_l", mg_to_ug(conc))
-        .filter(F.col("conc_ugn_l") > 0)
-        .withColumn("real_icu_hrc", incubation_hours("actual_incubation_hrs"))
-    )
+    smaller = df.withColumn("__conc", row_min("nh4_mgn_l", "no2_no3_mgn_l"))
+    substituted = limit_substituted(F.col("__conc"), F.col("analyte"), strict=strict)
+    positive = smaller.withColumn("conc_ugn_l", mg_to_ug(substituted)).drop("__conc").filter(F.col("conc_ugn_l") > 0)
+    return with_incubation_hours(positive, "actual_incubation_hrs", "real_icu_hrc")
 
 
 def with_replicate_stats(df: DataFrame) -> DataFrame:

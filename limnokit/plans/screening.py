@@ -15,6 +15,7 @@ from limnokit.operators.joins import null_safe_join
 from limnokit.operators.reshape import to_long
 
 RULE_KEYS = ["site", "inc_month", "type", "analyte"]
+BOUNDS = ["rate_lt", "rate_gt", "spike_eq", "spike_ne"]
 
 
 def with_normalised_rate(df: DataFrame) -> DataFrame:
@@ -54,10 +55,16 @@ def rule_flag(
     SQL logic and no join is needed. For rule sets of many hundreds use
     :func:`flag_by_rule_table`.
     """
-    clauses = []
+    # Rules with the same bounds share one test of the rate and dose
+    by_bounds: dict[tuple, list[Column]] = {}
     for rule in rules:
-        same = [F.col(k) == F.lit(rule[k]) for k in keys]
-        clauses.append(all_of(same + _crossed(rule, F.col(rate), F.col(spike))))
+        bounds = tuple(rule.get(name) for name in BOUNDS)
+        same_key = all_of([F.col(k) == F.lit(rule[k]) for k in keys])
+        by_bounds.setdefault(bounds, []).append(same_key)
+    clauses = [
+        all_of([any_of(matches), *_crossed(dict(zip(BOUNDS, bounds)), F.col(rate), F.col(spike))])
+        for bounds, matches in by_bounds.items()
+    ]
     return any_of(clauses)
 
 
@@ -73,8 +80,7 @@ def flag_by_rule_table(
 
     Rows without a rule are false; rows with a missing key are unknown.
     """
-    bounds = ["rate_lt", "rate_gt", "spike_eq", "spike_ne"]
-    prefixed = rules.select(*keys, *[F.col(b).alias(f"__{b}") for b in bounds], F.lit(True).alias("__has_rule"))
+    prefixed = rules.select(*keys, *[F.col(b).alias(f"__{b}") for b in BOUNDS], F.lit(True).alias("__has_rule"))
     joined = null_safe_join(df, prefixed, keys)
 
     def passed(bound: str, test: Column) -> Column:
@@ -90,7 +96,7 @@ def flag_by_rule_table(
     )
     unknown = any_of([F.col(k).isNull() for k in keys])
     flag = F.when(F.col("__has_rule"), crossed).when(unknown, F.lit(None).cast("boolean")).otherwise(F.lit(False))
-    return joined.withColumn(name, flag).drop(*[f"__{b}" for b in bounds], "__has_rule")
+    return joined.withColumn(name, flag).drop(*[f"__{b}" for b in BOUNDS], "__has_rule")
 
 
 def screen_outliers(df: DataFrame, rules: Iterable[dict] = tuple(fixed.OUTLIER_RULES)) -> DataFrame:

@@ -19,6 +19,8 @@ def build_session(app_name: str = "limnokit", master: str | None = None, **conf:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # HotSpot does not compile longer methods; Spark then splits the code
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
