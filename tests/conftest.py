@@ -1,0 +1,42 @@
+import os
+import sys
+from pathlib import Path
+
+import pytest
+
+ROOT = Path(__file__).resolve().parent.parent
+sys.path.insert(0, str(ROOT))
+
+from limnokit.session import build_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = build_session(
+        "limnokit-tests",
+        "local[4]",
+        **{
+            "spark.sql.shuffle.partitions": "4",
+            "spark.driver.memory": "4g",
+            "spark.ui.enabled": "false",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
+        },
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def published_dir():
+    """Folder with the published fit tables, named by ``LIMNOKIT_PUBLISHED_DIR``."""
+    folder = os.environ.get("LIMNOKIT_PUBLISHED_DIR", "")
+    if not folder or not Path(folder).is_dir():
+        pytest.skip("LIMNOKIT_PUBLISHED_DIR is not set")
+    return Path(folder)
+
+
+def rows(df, *order):
+    """Collected rows as tuples, sorted for comparison."""
+    got = [tuple(r) for r in df.collect()]
+    return sorted(got, key=lambda r: tuple((v is None, str(v)) for v in r))
