@@ -558,6 +558,12 @@ FROM orders WHERE month(o_orderdate) <= 9 GROUP BY ALL""",
     "semi_dates": """
 SELECT event_id, CAST(ts AS DATE) AS day FROM events
 WHERE CAST(ts AS DATE) IN (DATE '2024-01-05', DATE '2024-01-16', DATE '2024-01-25')""",
+    "semi_keys": """
+SELECT o_orderkey, o_custkey FROM orders
+WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""",
+    "anti_keys": """
+SELECT o_orderkey, o_custkey FROM orders
+WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""",
     "recode_table": """
 SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS place,
   CASE WHEN n_regionkey < 2 THEN concat('near ', n_name) ELSE CAST(c_nationkey AS VARCHAR) END AS place_label

@@ -42,7 +42,7 @@ from limnokit.operators.groups import (
     value_range,
 )
 from limnokit.operators.histogram import histogram
-from limnokit.operators.joins import attach_group_values, keep_listed, recode_from_table
+from limnokit.operators.joins import attach_group_values, drop_listed, keep_listed, recode_from_table
 from limnokit.operators.linear_fit import line_at, linear_fit
 from limnokit.operators.loess import loess_curve
 from limnokit.operators.order_stats import box_outliers, box_stats
@@ -51,7 +51,7 @@ from limnokit.operators.predict import predict_grid, saturation_at, trend_line
 from limnokit.operators.profile import profile
 from limnokit.operators.reshape import to_long
 from limnokit.operators.saturation_fit import saturation_fit
-from limnokit.plans.background import change_series
+from limnokit.plans.background import change_series, on_dates
 from limnokit.plans.catalogue import (
     fit_catalogue,
     incubation_counts,
@@ -481,8 +481,21 @@ def month_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def semi_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day"))
-    days = spark.createDataFrame([("2024-01-05",), ("2024-01-16",), ("2024-01-25",)], "day string")
-    return keep_listed(events, days.select(F.to_date("day").alias("day")), "day")
+    return on_dates(events, "day", ["2024-01-05", "2024-01-16", "2024-01-25"])
+
+
+def semi_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of the customers of one segment, the list being a table."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    listed = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == "BUILDING").select("c_custkey")
+    return keep_listed(orders, listed, "o_custkey").select("o_orderkey", "o_custkey")
+
+
+def anti_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of all other customers."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    listed = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == "BUILDING").select("c_custkey")
+    return drop_listed(orders, listed, "o_custkey").select("o_orderkey", "o_custkey")
 
 
 def recode_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -603,6 +616,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chem_long": chem_long,
     "month_profile": month_profile,
     "semi_dates": semi_dates,
+    "semi_keys": semi_keys,
+    "anti_keys": anti_keys,
     "recode_table": recode_table,
     "scalar_math": scalar_math,
     "trim_head": trim_head,

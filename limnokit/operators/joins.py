@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from limnokit.functions.numeric import not_in
 from limnokit.session import settle
 
 Key = str | tuple[str, str]
@@ -45,15 +46,25 @@ def attach_group_values(df: DataFrame, groups: DataFrame, keys: list[Key], label
     return null_safe_join(df, settle(groups, label), keys, "left")
 
 
-def keep_listed(df: DataFrame, listed: DataFrame, column: str) -> DataFrame:
-    """Rows whose value occurs in a one-column table."""
-    return df.join(listed.select(F.col(listed.columns[0]).alias(column)), column, "left_semi")
+def keep_listed(df: DataFrame, values: list | DataFrame, column: str) -> DataFrame:
+    """Rows whose value is listed: a filter for a list, a semi join for a table.
+
+    A frame made from Python rows has no size Catalyst knows; pass the list
+    itself, or settle the frame first.
+    """
+    if isinstance(values, list):
+        return df.filter(F.col(column).isin(values))
+    return df.join(values.select(F.col(values.columns[0]).alias(column)), column, "left_semi")
 
 
-def drop_listed(df: DataFrame, values: list[str] | DataFrame, column: str) -> DataFrame:
-    """Rows whose value is not in the list; an empty match drops nothing."""
+def drop_listed(df: DataFrame, values: list | DataFrame, column: str) -> DataFrame:
+    """Rows whose value is not listed; missing values stay.
+
+    A list held by the caller becomes a filter, which reaches the scan; a
+    table becomes an anti join.
+    """
     if isinstance(values, list):
-        values = df.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
+        return df.filter(not_in(column, values)) if values else df
     return df.join(values.select(F.col(values.columns[0]).alias(column)), column, "left_anti")
 
 

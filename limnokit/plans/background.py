@@ -9,6 +9,7 @@ from limnokit import fixed_values as fixed
 from limnokit.functions.clock import month_label, short_date
 from limnokit.functions.numeric import cfs_to_cms, is_in, label_rank, not_in, recode, ug_to_mg
 from limnokit.functions.text import contains_text
+from limnokit.operators.joins import keep_listed
 from limnokit.operators.ordered import with_previous, with_running_sum
 from limnokit.operators.reshape import to_long
 
@@ -85,7 +86,7 @@ def snow_series(
 
 def on_dates(df: DataFrame, date: str, dates: list[str] = fixed.HIGHLIGHT_DATES) -> DataFrame:
     """Rows on the listed days: a filter that reaches the scan."""
-    return df.filter(F.col(date).isin([F.lit(d).cast("date") for d in dates]))
+    return keep_listed(df, [F.lit(d).cast("date") for d in dates], date)
 
 
 def position_of(site: Column | str) -> Column:

@@ -37,9 +37,7 @@ def fit_catalogue(
 ) -> DataFrame:
     """Saturation fits with their straight-line fits, exclusions dropped, names split."""
     listed = excluded if isinstance(excluded, DataFrame) else list(excluded)
-    fits = null_safe_join(mm_fits, linear_fits, ["model_name"])
-    if isinstance(listed, DataFrame) or listed:
-        fits = drop_listed(fits, listed, "model_name")
+    fits = drop_listed(null_safe_join(mm_fits, linear_fits, ["model_name"]), listed, "model_name")
     return with_site_parts(split_model_name(fits))
 
 

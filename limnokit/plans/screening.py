@@ -11,7 +11,7 @@ from limnokit import fixed_values as fixed
 from limnokit.functions.numeric import all_of, any_of, positive_ratio, ratio, recode
 from limnokit.functions.text import leading_letters, paste, without_text
 from limnokit.operators.groups import group_count
-from limnokit.operators.joins import null_safe_join
+from limnokit.operators.joins import attach_group_values
 from limnokit.operators.reshape import to_long
 
 RULE_KEYS = ["site", "inc_month", "type", "analyte"]
@@ -81,7 +81,7 @@ def flag_by_rule_table(
     Rows without a rule are false; rows with a missing key are unknown.
     """
     prefixed = rules.select(*keys, *[F.col(b).alias(f"__{b}") for b in BOUNDS], F.lit(True).alias("__has_rule"))
-    joined = null_safe_join(df, prefixed, keys)
+    joined = attach_group_values(df, prefixed, keys, "rules")
 
     def passed(bound: str, test: Column) -> Column:
         return F.col(f"__{bound}").isNull() | test

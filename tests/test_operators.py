@@ -35,6 +35,7 @@ def test_deny_list_without_a_match_drops_nothing(spark):
     assert joins.drop_listed(df, ["x"], "k").count() == 2
     assert rows(joins.drop_listed(df, ["a"], "k")) == [(None,)]
     listed = spark.createDataFrame([("a",)], "other string")
+    assert rows(joins.drop_listed(df, listed, "k")) == [(None,)]
     assert rows(joins.keep_listed(df, listed, "k")) == [("a",)]
 
 
