@@ -144,7 +144,7 @@ def ols_cte(source: str, keys: str, x: str, y: str, name: str = "ols") -> str:
     """Least-squares lines with SE and t per group."""
     return f"""
 {name}_m AS (
-  SELECT {keys}, regr_count({y}, {x}) AS n, regr_sxx({y}, {x}) AS sxx, regr_syy({y}, {x}) AS syy,
+  SELECT {keys}, CAST(regr_count({y}, {x}) AS BIGINT) AS n, regr_sxx({y}, {x}) AS sxx, regr_syy({y}, {x}) AS syy,
     regr_sxy({y}, {x}) AS sxy, regr_avgx({y}, {x}) AS mx, regr_avgy({y}, {x}) AS my,
     min({x}) AS x_min, max({x}) AS x_max
   FROM {source} GROUP BY {keys}),

@@ -155,9 +155,10 @@ def test_previous_and_running_sum_cross_slices(spark):
             assert sums[(s, d)] == (None if run is None else pytest.approx(run))
 
 
-def test_profile_and_reshape(spark):
+@pytest.mark.parametrize("buffered_rows", [10**6, 0])
+def test_profile_and_reshape(spark, buffered_rows):
     df = spark.createDataFrame([(1.0, None), (2.0, 5), (4.0, 6)], "a double, b int")
-    got = {r.column: r for r in profile(df, ["a", "b"], quartiles=True).collect()}
+    got = {r.column: r for r in profile(df, ["a", "b"], quartiles=True, buffered_rows=buffered_rows).collect()}
     assert (got["a"].n_rows, got["a"].n_missing, got["a"].min, got["a"].max) == (3, 0, 1.0, 4.0)
     assert (got["b"].n_missing, got["b"].mean, got["b"].median) == (1, 5.5, 5.5)
     assert rows(to_long(df.withColumn("b", F.col("b").cast("double")), [], ["a", "b"], "k", "v"))[-1] == ("b", None)
