@@ -90,11 +90,21 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 # --- bindings ---------------------------------------------------------------
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+WORKFLOW_COLUMNS = [
+    "inc_month", "location", "type", "analyte", "depth", "spike_ug_l", "actual_incubation_hrs", "volume_lake_water_l",
+    "weight_g", "afdm_g", "site", "conc_mgn_l", "nh3_mgn_l", "no2_no3_mgn_l", "l_orderkey", "l_linenumber", "l_tax",
+    "l_quantity",
+]
+SCREENING_COLUMNS = [
+    "inc_month", "site", "type", "analyte", "spike_ug_l", "om_percent", "scatter", "l_orderkey", "l_linenumber",
+]
+
+
+def readings(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
     """lineitem as a stored table of raw vial readings."""
     base = table(spark, sf_dir, "lineitem").selectExpr(*select_list(READINGS))
     raw = base.selectExpr("*", *select_list(READINGS_NEXT)).selectExpr("*", *select_list(READINGS_LAST))
-    return settle(raw, "readings")
+    return settle(raw.select(*columns), "readings")
 
 
 def lake_conditions(raw: DataFrame) -> DataFrame:
@@ -103,8 +113,8 @@ def lake_conditions(raw: DataFrame) -> DataFrame:
 
 
 def converted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = readings(spark, sf_dir)
-    return convert_ammonium(raw, settle(lake_conditions(raw), "lake"))
+    raw = readings(spark, sf_dir, WORKFLOW_COLUMNS)
+    return convert_ammonium(raw, lake_conditions(raw))
 
 
 def rate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +123,7 @@ def rate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rate_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings with a ready-made rate, some missing, for the screening queries."""
-    raw = readings(spark, sf_dir)
+    raw = readings(spark, sf_dir, SCREENING_COLUMNS)
     return raw.withColumn("net_rate_om", F.when(F.col("om_percent") != 0, F.col("scatter") * 5000.0))
 
 

@@ -1,6 +1,6 @@
 """Concentrations to uptake rates net of baseline and water column.
 
-Only per-group means ever leave the rows: the two control tables are small
+Only per-group sums ever leave the rows: the two control tables are small
 aggregates, settled and joined back, so the readings themselves are not
 shuffled while those tables stay below the broadcast threshold.
 """
@@ -14,7 +14,8 @@ from limnokit import fixed_values as fixed
 from limnokit.functions.clock import with_incubation_hours
 from limnokit.functions.numeric import mg_to_ug, ratio, recode, row_min
 from limnokit.operators.groups import attach_mean_sd, filtered_mean
-from limnokit.operators.joins import attach_group_values
+from limnokit.operators.joins import null_safe_join
+from limnokit.session import settle
 
 REPLICATE_KEYS = ["site", "location", "inc_month", "type", "analyte", "spike_ug_l"]
 BASELINE_KEYS = ["shore", "inc_month", "analyte", "spike_ug_l"]
@@ -76,11 +77,15 @@ def patched_baseline(spike: Column, baseline: Column) -> Column:
     )
 
 
+def _with_baseline(df: DataFrame, baseline: DataFrame) -> DataFrame:
+    joined = null_safe_join(df, baseline, BASELINE_KEYS)
+    return joined.withColumn("mean_spike_conc", patched_baseline(F.col("spike_ug_l"), F.col("mean_spike_conc")))
+
+
 def with_spike_baseline(df: DataFrame) -> DataFrame:
     """Mean concentration of the spike vials of the same shore, month, analyte and dose."""
     spikes = filtered_mean(df, F.col("type") == fixed.SPIKE_TYPE, BASELINE_KEYS, "conc_ugn_l", "mean_spike_conc")
-    joined = attach_group_values(df, spikes, BASELINE_KEYS, "spike-baseline")
-    return joined.withColumn("mean_spike_conc", patched_baseline(F.col("spike_ug_l"), F.col("mean_spike_conc")))
+    return _with_baseline(df, settle(spikes, "spike-baseline"))
 
 
 def with_rates(df: DataFrame) -> DataFrame:
@@ -90,34 +95,69 @@ def with_rates(df: DataFrame) -> DataFrame:
     )
 
 
+def _net_of_water(df: DataFrame, water: DataFrame, borrowed: dict[str, str] = fixed.BORROWED_CONTROL) -> DataFrame:
+    assigned = df.withColumn("assigned_location", recode("location", borrowed))
+    keys = [("assigned_location", "location"), "inc_month", "analyte", "mean_spike_conc"]
+    joined = null_safe_join(assigned, water, keys)
+    return joined.withColumn("net_delta_conc_hr", F.col("delta_conc_hr") - F.col("water_delta_conc_hr"))
+
+
 def with_water_correction(df: DataFrame, borrowed: dict[str, str] = fixed.BORROWED_CONTROL) -> DataFrame:
     """Rate minus the mean rate of the water vials of the own or borrowed location.
 
     ``mean_spike_conc`` is a computed double used as a key: both sides take it
     from the same settled baseline table, so equal groups compare equal.
     """
-    water = filtered_mean(
-        df,
-        F.col("type") == fixed.WATER_TYPE,
-        ["inc_month", "location", "analyte", "mean_spike_conc"],
-        "delta_conc_hr",
-        "water_delta_conc_hr",
+    keys = ["inc_month", "location", "analyte", "mean_spike_conc"]
+    water = filtered_mean(df, F.col("type") == fixed.WATER_TYPE, keys, "delta_conc_hr", "water_delta_conc_hr")
+    return _net_of_water(df, settle(water, "water-control"), borrowed)
+
+
+def control_tables(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spike baselines and water rates from a single scan of the control vials.
+
+    A water rate is (conc - baseline) / hours with one baseline per group, so
+    its mean follows from the group's sums of conc / hours and 1 / hours, and
+    the readings need not be joined to the baseline first.
+    """
+    per_hour = ratio(F.lit(1.0), "real_icu_hrc")
+    sums = settle(
+        df.filter(F.col("type").isin(fixed.SPIKE_TYPE, fixed.WATER_TYPE))
+        .groupBy("type", "location", *BASELINE_KEYS)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("conc_ugn_l").alias("conc"),
+            F.count(per_hour).alias("n_timed"),
+            F.sum(ratio("conc_ugn_l", "real_icu_hrc")).alias("conc_hr"),
+            F.sum(per_hour).alias("per_hr"),
+        ),
+        "control-sums",
     )
-    assigned = df.withColumn("assigned_location", recode("location", borrowed))
-    keys = [("assigned_location", "location"), "inc_month", "analyte", "mean_spike_conc"]
-    joined = attach_group_values(assigned, water, keys, "water-control")
-    return joined.withColumn("net_delta_conc_hr", F.col("delta_conc_hr") - F.col("water_delta_conc_hr"))
+    spikes = sums.filter(F.col("type") == fixed.SPIKE_TYPE).groupBy(*BASELINE_KEYS)
+    baseline = settle(spikes.agg((F.sum("conc") / F.sum("n")).alias("mean_spike_conc")), "spike-baseline")
+    waters = null_safe_join(sums.filter(F.col("type") == fixed.WATER_TYPE), baseline, BASELINE_KEYS)
+    mean = patched_baseline(F.col("spike_ug_l"), F.col("mean_spike_conc"))
+    rate = F.try_divide(F.sum(F.col("conc_hr") - F.col("mean_spike_conc") * F.col("per_hr")), F.sum("n_timed"))
+    water = (
+        waters.withColumn("mean_spike_conc", mean)
+        .groupBy("inc_month", "location", "analyte", "mean_spike_conc")
+        .agg(rate.alias("water_delta_conc_hr"))
+    )
+    return baseline, settle(water, "water-control")
 
 
 def uptake_rates(readings: DataFrame, strict: bool = False, replicate_stats: bool = False) -> DataFrame:
     """Converted readings to the rate table of the substrates.
 
-    Replicate means are not part of that table; ask for them to keep them.
+    Two scans: one of the control vials for both control tables, one of the
+    substrate vials. Replicate means are not part of the rate table; ask for
+    them to keep them.
     """
     df = clean_readings(readings, strict)
+    baseline, water = control_tables(df)
     columns = list(RATE_COLUMNS)
     if replicate_stats:
         df = with_replicate_stats(df)
         columns += ["mean_conc", "sd_conc"]
-    df = with_water_correction(with_rates(with_spike_baseline(df)))
-    return df.filter(F.col("type").isin(fixed.SUBSTRATE_TYPES)).select(*columns)
+    substrates = df.filter(F.col("type").isin(fixed.SUBSTRATE_TYPES))
+    return _net_of_water(with_rates(_with_baseline(substrates, baseline)), water).select(*columns)

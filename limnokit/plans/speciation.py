@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from limnokit import fixed_values as fixed
 from limnokit.functions.text import starts_with_any
-from limnokit.operators.joins import null_safe_join
+from limnokit.operators.joins import attach_group_values
 from limnokit.operators.ordered import skip_head
 
 
@@ -35,13 +35,15 @@ def with_ammonium(df: DataFrame) -> DataFrame:
 def convert_ammonium(raw: DataFrame, lake: DataFrame, skip_rows: int | None = None) -> DataFrame:
     """Readings joined to the lake conditions of their shore and month.
 
+    The lake table is settled like any other small side, so that a table
+    without a known size does not cause the readings to be shuffled.
     Rows without an incubation month are dropped by their blank label; with
     ``skip_rows`` they are instead dropped by position, as so many rows at
     the head of the table sorted by month and vial.
     """
     labelled = raw.withColumn("shore", shore_of("location"))
     conditions = lake.select("shore", "inc_month", "temp_deg_c", "ph")
-    joined = null_safe_join(labelled, conditions, ["shore", "inc_month"])
+    joined = attach_group_values(labelled, conditions, ["shore", "inc_month"], "lake")
     if skip_rows is None:
         kept = joined.filter((F.col("inc_month") != "") | F.col("inc_month").isNull())
     else:

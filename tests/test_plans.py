@@ -127,6 +127,31 @@ def test_replicate_stats_do_not_change_the_rates(spark):
     assert rows(wide.drop("mean_conc", "sd_conc")) == rows(plain)
 
 
+def test_control_tables_agree_with_the_single_steps(spark):
+    more = [
+        {"type": "water", "no2_no3_mgn_l": 0.09 + i / 1000, "spike_ug_l": s, "depth": d, "location": loc, "actual_incubation_hrs": h}
+        for i, (s, d, loc, h) in enumerate(
+            [(100.0, 3.0, "GB", "6:10"), (100.0, 10.0, "GB", "7:20"), (0.0, 3.0, "GB", "0:00"), (0.0, 3.0, "BW", "bad"),
+             (100.0, 3.0, "BW", "6:00"), (400.0, 3.0, "GB", "6:00"), (0.0, 3.0, "GB", "6:00")]
+        )
+    ]
+    raw = rate_inputs(spark).unionByName(readings(spark, *more))
+    df = rates.clean_readings(speciation.convert_ammonium(raw, lake(spark)))
+    steps = rates.with_water_correction(rates.with_rates(rates.with_spike_baseline(df)))
+    steps = steps.filter(F.col("type").isin("biofilm", "sediment")).select("vial_num", *rates.RATE_COLUMNS)
+    baseline, water = rates.control_tables(df)
+    direct = rates.uptake_rates(speciation.convert_ammonium(raw, lake(spark)))
+    for a, b in zip(rows(steps.drop("vial_num")), rows(direct)):
+        assert a == pytest.approx(b) if None not in a else [x for x in a if x is None] == [x for x in b if x is None]
+    by_step = df.transform(rates.with_spike_baseline).transform(rates.with_rates).filter("type = 'water'")
+    want = by_step.groupBy("inc_month", "location", "analyte", "mean_spike_conc").agg(F.avg("delta_conc_hr").alias("w"))
+    want = {tuple(r[:4]): r.w for r in want.collect()}
+    got = {(r.inc_month, r.location, r.analyte, r.mean_spike_conc): r.water_delta_conc_hr for r in water.collect()}
+    assert {k: v if v is None else round(v, 9) for k, v in got.items()} == {
+        k: v if v is None else round(v, 9) for k, v in want.items()
+    }
+
+
 def test_spike_zero_groups_share_one_control(spark):
     """Unspiked rows of either shore have baseline 0, so their water controls pool by location."""
     df = readings(
