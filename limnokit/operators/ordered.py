@@ -46,47 +46,50 @@ def sort_rows(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def with_previous(
-    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, slice_by: Column, default: float | None = None
+    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, slice_by: str, default: float | None = None
 ) -> DataFrame:
     """The previous row's value within the group, ``default`` on its first row.
 
-    ``slice_by`` must not decrease along the order (a month of the date, say).
+    ``slice_by`` is a column that does not decrease along the order (the month
+    of the date, say).
     """
-    sliced = df.withColumn(SLICE, slice_by)
     last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__last")
-    ends = sliced.groupBy(*keys, SLICE).agg(last)
-    across = Window.partitionBy(*keys).orderBy(SLICE)
+    ends = df.groupBy(*keys, slice_by).agg(last)
+    across = Window.partitionBy(*keys).orderBy(slice_by)
     carried = ends.select(
-        *keys, SLICE, F.lag("__last").over(across).alias("__carried"), F.row_number().over(across).alias("__nth")
+        *keys, slice_by, F.lag("__last").over(across).alias("__carried"), F.row_number().over(across).alias("__nth")
     )
-    within = Window.partitionBy(*keys, SLICE).orderBy(*order)
-    marked = sliced.withColumn("__prev", F.lag(value).over(within)).withColumn("__row", F.row_number().over(within))
-    joined = null_safe_join(marked, settle(carried, "slice-ends"), [*keys, SLICE])
+    within = Window.partitionBy(*keys, slice_by).orderBy(*order)
+    marked = df.withColumn("__prev", F.lag(value).over(within)).withColumn("__row", F.row_number().over(within))
+    joined = null_safe_join(marked, settle(carried, "slice-ends"), [*keys, slice_by])
     first = F.when(F.col("__nth") == 1, F.lit(default)).otherwise(F.col("__carried.v"))
     previous = F.when(F.col("__row") == 1, first).otherwise(F.col("__prev"))
-    return joined.withColumn(name, previous).drop(SLICE, "__prev", "__row", "__carried", "__nth")
+    return joined.withColumn(name, previous).drop("__prev", "__row", "__carried", "__nth")
 
 
 def with_running_sum(
-    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, slice_by: Column
+    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, slice_by: str
 ) -> DataFrame:
-    """Running total within the group; missing from the first missing value on."""
-    sliced = df.withColumn(SLICE, slice_by)
-    totals = sliced.groupBy(*keys, SLICE).agg(
+    """Running total within the group; missing from the first missing value on.
+
+    Slices are as in :func:`with_previous`; after it, with the same column,
+    the rows are already where they are needed.
+    """
+    totals = df.groupBy(*keys, slice_by).agg(
         F.sum(value).alias("__total"), F.count_if(F.col(value).isNull()).alias("__missing")
     )
-    ahead = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*keys).orderBy(slice_by).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *keys,
-        SLICE,
+        slice_by,
         F.coalesce(F.sum("__total").over(ahead), F.lit(0.0)).alias("__total_before"),
         F.coalesce(F.sum("__missing").over(ahead), F.lit(0)).alias("__missing_before"),
     )
-    within = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = sliced.withColumn("__sum", F.sum(value).over(within)).withColumn(
+    within = Window.partitionBy(*keys, slice_by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = df.withColumn("__sum", F.sum(value).over(within)).withColumn(
         "__gaps", F.count_if(F.col(value).isNull()).over(within)
     )
-    joined = null_safe_join(summed, settle(carried, "slice-totals"), [*keys, SLICE])
+    joined = null_safe_join(summed, settle(carried, "slice-totals"), [*keys, slice_by])
     whole = (F.col("__gaps") + F.col("__missing_before")) == 0
     total = F.when(whole, F.col("__sum") + F.col("__total_before"))
-    return joined.withColumn(name, total).drop(SLICE, "__sum", "__gaps", "__total_before", "__missing_before")
+    return joined.withColumn(name, total).drop("__sum", "__gaps", "__total_before", "__missing_before")

@@ -27,10 +27,12 @@ from limnokit.operators.joins import null_safe_join
 from limnokit.operators.linear_fit import with_p_values
 from limnokit.session import settle
 
-COARSE_STEPS = 64
-FINE_STEPS = 32
+COARSE_STEPS = 48
+FINE_STEPS = 12
 NEWTON_STEPS = 5
 PACKED_DOSES = 4096
+# Packed groups per task: the search costs about a millisecond of CPU a group
+GROUPS_PER_TASK = 250
 # Parameter tables of the aggregate rounds are broadcast up to this many rows
 BROADCAST_GROUPS = 100_000
 
@@ -166,19 +168,24 @@ def _fold(doses: Column, terms: Callable[[Field], Terms]) -> Column:
 
 def _best_step(km_lo: Column, km_hi: Column, steps: int) -> Column:
     """Number of the best candidate; the smaller one on a tie."""
+    candidates = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: _candidate(km_lo, km_hi, i, steps))
+    sums = F.transform(candidates, lambda km: _fold(F.col("doses"), lambda d: _search_terms(d, km)))
+    scores = F.transform(sums, lambda s, i: F.struct(_gain(lambda f: s[f]).alias("gain"), (-i).alias("back")))
+    return -F.array_max(scores)["back"]
 
-    def score(step: Column) -> Column:
-        km = _candidate(km_lo, km_hi, step, steps)
-        sums = F.transform(F.array(_fold(F.col("doses"), lambda d: _search_terms(d, km))), lambda s: _gain(lambda f: s[f]))
-        return F.struct(sums[0].alias("gain"), (-step).alias("back"))
-
-    return -F.array_max(F.transform(F.sequence(F.lit(0), F.lit(steps)), score))["back"]
 
+def _fit_packed(
+    doses: DataFrame, keys: list[str], km_span: tuple[float, float], covariance: str, groups: int
+) -> DataFrame:
+    """Facts and shape of groups whose doses fit in one row each.
 
-def _fit_packed(doses: DataFrame, keys: list[str], km_span: tuple[float, float], covariance: str) -> DataFrame:
-    """Facts and shape of groups whose doses fit in one row each."""
+    The work is CPU, not bytes, so the number of tasks follows the number of
+    groups; left to itself, adaptive coalescing would go by the few bytes.
+    """
+    limit = int(doses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(limit, -(-groups // GROUPS_PER_TASK)))
     dose = F.struct("x", "n", "y_mean", "spread")
-    packed = doses.groupBy(*keys).agg(
+    packed = doses.repartition(tasks, *keys).groupBy(*keys).agg(
         *_facts(),
         F.collect_list(F.when((F.col("n") > 0) & F.col("x").isNotNull(), dose)).alias("doses"),
     )
@@ -350,15 +357,17 @@ def saturation_fit(
         raise ValueError("covariance is 'observed' or 'gauss_newton'")
     doses = settle(compact_doses(df, keys, x, y), "doses")
     sizes = doses.groupBy(*keys).agg(F.count(F.lit(1)).alias("doses"))
-    largest = sizes.agg(F.max("doses")).first()[0] or 0
+    largest, groups = sizes.agg(F.coalesce(F.max("doses"), F.lit(0)), F.count(F.lit(1))).first()
     if largest <= packed_doses:
-        shapes = _fit_packed(doses, keys, km_span, covariance)
+        shapes = _fit_packed(doses, keys, km_span, covariance, groups)
     else:
         sizes = settle(sizes, "dose-counts")
         narrow = sizes.filter(F.col("doses") <= packed_doses).select(*keys)
         wide = sizes.filter(F.col("doses") > packed_doses).select(*keys)
-        shapes = _fit_packed(null_safe_join(doses, narrow, keys, "left_semi"), keys, km_span, covariance).unionByName(
-            _fit_wide(settle(null_safe_join(doses, wide, keys, "left_semi"), "wide-doses"), keys, km_span, covariance)
+        few = null_safe_join(doses, narrow, keys, "left_semi")
+        many = settle(null_safe_join(doses, wide, keys, "left_semi"), "wide-doses")
+        shapes = _fit_packed(few, keys, km_span, covariance, groups).unionByName(
+            _fit_wide(many, keys, km_span, covariance)
         )
     fits = _with_errors(shapes, km_span)
     columns = [

@@ -61,11 +61,11 @@ def change_series(
     The first day changes from 0, so the running total is the level; a gap
     makes the total missing from there on.
     """
-    months = F.trunc(date, "month") if slice_by is None else slice_by
+    sliced = df.withColumn("__month", F.trunc(date, "month") if slice_by is None else slice_by)
     order = [date, *(tie_break or [])]
-    out = with_previous(df, keys, order, level, "__previous", months, default=0.0)
+    out = with_previous(sliced, keys, order, level, "__previous", "__month", default=0.0)
     out = out.withColumn("daily_delta", F.col(level) - F.col("__previous")).drop("__previous")
-    out = with_running_sum(out, keys, order, "daily_delta", "cumulative", months)
+    out = with_running_sum(out, keys, order, "daily_delta", "cumulative", "__month").drop("__month")
     change = F.col("daily_delta")
     return out.withColumn("quality", F.when(change > 0, "Accumulate").when(change <= 0, "Melt")).withColumn(
         "rain", F.when(change < 0, 1).when(change >= 0, 0)

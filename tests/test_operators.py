@@ -142,10 +142,10 @@ def test_previous_and_running_sum_cross_slices(spark):
     series["b"][60] = None
     data = [(s, d, v) for s, vs in series.items() for d, v in zip(days, vs)]
     df = spark.createDataFrame(data, "s string, d date, v double").repartition(5)
-    month = F.trunc("d", "month")
-    prev = ordered.with_previous(df, ["s"], ["d"], "v", "p", month, default=0.0)
+    df = df.withColumn("m", F.trunc("d", "month"))
+    prev = ordered.with_previous(df, ["s"], ["d"], "v", "p", "m", default=0.0)
     got = {(r.s, r.d): r.p for r in prev.collect()}
-    total = ordered.with_running_sum(df, ["s"], ["d"], "v", "t", month)
+    total = ordered.with_running_sum(df, ["s"], ["d"], "v", "t", "m")
     sums = {(r.s, r.d): r.t for r in total.collect()}
     for s, vs in series.items():
         run = 0.0

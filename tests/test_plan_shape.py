@@ -28,7 +28,7 @@ def plan(df):
 
 
 def shuffles(df):
-    return plan(df).count("Exchange hashpartitioning") + plan(df).count("Exchange rangepartitioning")
+    return len(re.findall(r"(?<!Broadcast)Exchange \w+", plan(df)))
 
 
 @pytest.fixture(scope="module")
