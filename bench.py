@@ -2,7 +2,7 @@
 
 Environment: ``BENCH_SF_DIR`` (default /root/testdata/sf0.1), ``BENCH_CPUS``
 (default 8), ``BENCH_RUNS`` (timed runs per query after one warm-up, default
-2; the median is reported).
+1; the median is reported).
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = build_session(
         "bench",
         f"local[{cpus}]",
