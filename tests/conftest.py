@@ -37,7 +37,7 @@ def published_dir():
     return Path(folder)
 
 
-def rows(df, *order):
+def rows(df):
     """Collected rows as tuples, sorted for comparison."""
     got = [tuple(r) for r in df.collect()]
     return sorted(got, key=lambda r: tuple((v is None, str(v)) for v in r))

@@ -2,7 +2,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from limnokit.operators.linear_fit import linear_fit
 from limnokit.operators.predict import predict_grid, saturation_at, trend_line

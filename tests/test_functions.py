@@ -2,7 +2,6 @@ import datetime as dt
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from limnokit.functions import clock, numeric, text
 from limnokit.functions.tdist import two_sided_p
