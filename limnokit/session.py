@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,35 +27,27 @@ def build_session(app_name: str = "limnokit", master: str | None = None, **conf:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can read.
+    """The folder that every executor can read, as the session names it.
 
-    Taken from the session (``spark.checkpoint.dir``). Only a local-mode
-    session may fall back to a temporary folder, because there the driver
-    and the executors are one process on one machine.
+    ``spark.checkpoint.dir`` if the cluster sets it, else the checkpoint folder
+    set on the context, else ``spark.sql.warehouse.dir``. No folder of the
+    driver's machine is ever made up here.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="limnokit-")
-    sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The result survives the loss of any executor, is computed once however
-    often it is used, holds values that compare equal to themselves (needed
-    when a computed double is a join key), and has a size known from its
-    files, so Catalyst broadcasts it when it is below
-    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
+    often it is used, has a short plan, and its size is known to Catalyst.
+    The files go when the session's file system closes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/settled/{label}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
