@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from limnokit.llm.packing import pack_documents
+from limnokit.llm.quality import measure_quality
 from limnokit.llm.token_counts import count_tokens
 from limnokit.llm.token_store import store_tokens
 
@@ -22,7 +24,15 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_tokens(_documents(spark, sf_dir))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf_dir))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure_quality(_documents(spark, sf_dir))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_token_counts, op8_token_store)
+    f.__name__: f for f in (op4_token_counts, op8_token_store, op9_packing, op10_quality)
 }
 LLM_ORACLE: dict[str, str] = {}
