@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from limnokit.llm.decontam import find_contamination
 from limnokit.llm.packing import pack_documents
+from limnokit.llm.pii import find_personal_data
 from limnokit.llm.quality import measure_quality
 from limnokit.llm.token_counts import count_tokens
 from limnokit.llm.token_store import store_tokens
@@ -16,6 +18,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_documents(spark, sf_dir))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir))
 
@@ -33,6 +43,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_token_counts, op8_token_store, op9_packing, op10_quality)
+    f.__name__: f for f in (op1_personal_data, op2_decontamination, op4_token_counts, op8_token_store, op9_packing, op10_quality)
 }
 LLM_ORACLE: dict[str, str] = {}
