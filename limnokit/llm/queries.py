@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from limnokit.llm.decontam import find_contamination
+from limnokit.llm.near_dedup import near_duplicates
 from limnokit.llm.packing import pack_documents
 from limnokit.llm.pii import find_personal_data
 from limnokit.llm.quality import measure_quality
@@ -26,6 +27,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), shingle=3, percent=85)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir))
 
@@ -43,6 +48,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_personal_data, op2_decontamination, op4_token_counts, op8_token_store, op9_packing, op10_quality)
+    f.__name__: f for f in (op1_personal_data, op2_decontamination, op3_near_dedup, op4_token_counts, op8_token_store, op9_packing, op10_quality)
 }
 LLM_ORACLE: dict[str, str] = {}

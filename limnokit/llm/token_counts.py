@@ -24,7 +24,7 @@ COUNTS = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 
 
 def frequent_units(docs: DataFrame, path: str, sample_rows: int = 4000, table_size: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and numbers of tokens of the units most often met in ``sample_rows`` rows."""
+    """Sorted hashes and numbers of tokens of the units most often met in a sample of about ``sample_rows`` rows."""
 
     def units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = cached_tokenizer(path, True)
@@ -35,7 +35,7 @@ def frequent_units(docs: DataFrame, path: str, sample_rows: int = 4000, table_si
 
     found = (
         docs.select("text")
-        .limit(sample_rows)
+        .sample(min(1.0, sample_rows / max(1, docs.count())), 7)
         .mapInArrow(units, "key bigint, tokens bigint, seen bigint")
         .groupBy("key", "tokens")
         .agg(F.sum("seen").alias("seen"))
