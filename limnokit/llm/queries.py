@@ -11,6 +11,7 @@ from limnokit.llm.near_dedup import near_duplicates
 from limnokit.llm.packing import pack_documents
 from limnokit.llm.pii import find_personal_data
 from limnokit.llm.quality import measure_quality
+from limnokit.llm.repeats import remove_repeats
 from limnokit.llm.token_counts import count_tokens
 from limnokit.llm.token_store import store_tokens
 
@@ -35,6 +36,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir)).drop("kept_text")
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_tokens(_documents(spark, sf_dir))
 
@@ -48,6 +53,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_personal_data, op2_decontamination, op3_near_dedup, op4_token_counts, op8_token_store, op9_packing, op10_quality)
+    f.__name__: f for f in (op1_personal_data, op2_decontamination, op3_near_dedup, op4_token_counts, op6_repeats, op8_token_store, op9_packing, op10_quality)
 }
 LLM_ORACLE: dict[str, str] = {}
