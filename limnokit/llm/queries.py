@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from limnokit.llm.decontam import find_contamination
+from limnokit.llm.html_text import extract_text
 from limnokit.llm.near_dedup import near_duplicates
 from limnokit.llm.packing import pack_documents
 from limnokit.llm.pii import find_personal_data
 from limnokit.llm.quality import measure_quality
 from limnokit.llm.repeats import remove_repeats
+from limnokit.llm.secrets import dictionary_from_ranks, scan_secrets
+from limnokit.llm.subwords import tokenizer_path
 from limnokit.llm.token_counts import count_tokens
 from limnokit.llm.token_store import store_tokens
 
@@ -36,10 +40,23 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return extract_text(pages).withColumn("text_sha256", F.sha2("text", 256))
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir)).drop("kept_text")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dictionary = dictionary_from_ranks(spark, "file://" + tokenizer_path("byte_bpe_50k.tiktoken"))
+    found = scan_secrets(_documents(spark, sf_dir), dictionary)
+    return found.select(
+        "doc_id", "ordinal", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("n_chars"), F.round("probability", 6).alias("probability"), "is_secret"
+    )
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_tokens(_documents(spark, sf_dir))
 
@@ -53,6 +70,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_personal_data, op2_decontamination, op3_near_dedup, op4_token_counts, op6_repeats, op8_token_store, op9_packing, op10_quality)
+    f.__name__: f for f in (op1_personal_data, op2_decontamination, op3_near_dedup, op4_token_counts, op5_html_text, op6_repeats, op7_secrets, op8_token_store, op9_packing, op10_quality)
 }
 LLM_ORACLE: dict[str, str] = {}
