@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from limnokit.llm.batches import text_pieces
 from limnokit.llm.bitmaps import bitmap_of, in_bitmap
+from limnokit.llm.filtering import row_key, without_rows
 from limnokit.llm.words import WordTable, word_table
 from limnokit.session import settle
 
@@ -128,15 +129,15 @@ def _extend() -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 6) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of every row of ``docs``.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 6) -> DataFrame:
+    """``doc_id, row_key, n_words, n_hit, n_items, items_sha256, contaminated`` of every row of ``docs``.
 
     ``docs`` has ``doc_id`` and ``text``, ``benchmark`` has ``item_id`` and
     ``text``. Null or empty texts, and texts and items without words, match
     nothing. Repeated rows give a row each; rows of one id with other texts are
     judged apart. Repeated items count once. Other columns are ignored.
     """
-    key = F.xxhash64("doc_id", "text").alias("row_key")
+    key = row_key().alias("row_key")
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.lit(0).cast("long").alias("row_key"), "text")
     shape = f"id {{}}, row_key bigint, n_words bigint, hits {_HITS}"
     prints = settle(
@@ -187,9 +188,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     base = read.select("id", "row_key", "n_words")
     return base.join(both, base["row_key"].eqNullSafe(both["row_key"]) & base["id"].eqNullSafe(both["id"]), "left").select(
         base["id"].alias("doc_id"),
+        base["row_key"],
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 6) -> DataFrame:
+    """As :func:`contamination`, without ``row_key``."""
+    return contamination(docs, benchmark, window, gram).drop("row_key")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 6) -> DataFrame:
+    """``docs`` without the rows that hold benchmark text; the others and all columns stay."""
+    found = contamination(docs, benchmark, window, gram).filter("contaminated").select("doc_id", "row_key")
+    return without_rows(docs, settle(found, "contaminated"))

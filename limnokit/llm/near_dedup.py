@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from limnokit.llm.batches import text_pieces
 from limnokit.llm.bitmaps import bitmap_of, in_bitmap
 from limnokit.llm.components import components
+from limnokit.llm.filtering import one_of_each, row_key, without_rows
 from limnokit.llm.words import WordTable, mix, word_table
 from limnokit.session import settle
 
@@ -126,13 +127,14 @@ def _sketch(shingle: int, bands: int, rows: int):
             yield pa.record_batch(
                 [
                     batch.column("doc_id"),
+                    batch.column("row_key"),
                     pa.array(np.bincount(docs, minlength=n).astype(np.int64)),
                     pa.array(names := _digest(docs, keys, n), pa.binary()),
                     pa.array(_heads(names).view(np.int64)),
                     pa.array([x.tobytes() for x in band_keys(marks, bands, rows)], pa.binary()),
                     pa.array([(x & _U(0xFFFF)).astype("<u2").tobytes() for x in marks], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "class", "head", "bands", "marks"],
+                ["doc_id", "row_key", "n_shingles", "class", "head", "bands", "marks"],
             )
 
     return run
@@ -277,21 +279,16 @@ def near_links(classes: DataFrame, docs: DataFrame, shingle: int, percent: int,
     return first.unionByName(settle(second, "block-links"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 25, rows: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id``, ``text``).
+def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 25, rows: int = 5) -> DataFrame:
+    """``doc_id, row_key, n_shingles, component, component_id`` of every row of ``docs``.
 
-    Two texts are linked if ``100 * shared >= percent * all`` of their distinct
-    ``shingle``-word shingles (A-Z lower-cased, words parted by ASCII white
-    space; a shorter text is one shingle). ``component_id`` is the smallest id
-    that links lead to. With 25 bands of 5 rows a link at 85 % is missed with
-    a chance below 1e-6, at 80 % below 1e-4. Texts without words, and null
-    texts, have an empty set and are linked with nothing. Repeated rows belong
-    to one component; of rows that share an id all are kept or none. A null id
-    takes the least id of its component, and is kept only if that has none.
+    ``component`` names the group of a row; it is null for rows without
+    shingles, which are linked with nothing.
     """
     sketch = settle(
-        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-            _sketch(shingle, bands, rows), "doc_id bigint, n_shingles bigint, class binary, head bigint, bands binary, marks binary"
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text").mapInArrow(
+            _sketch(shingle, bands, rows),
+            "doc_id bigint, row_key bigint, n_shingles bigint, class binary, head bigint, bands binary, marks binary",
         ),
         "sketch",
     )
@@ -302,7 +299,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     owned = classes.select("class", "least").join(parts.withColumnRenamed("node", "class"), "class", "left")
     owned = owned.withColumn("component", F.coalesce("component", "class"))
     lowest = owned.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = owned.join(lowest, "component").select("class", "component_id")
-    empty = sketch.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    found = some.select("doc_id", "n_shingles", "class").join(named, "class").select("doc_id", "n_shingles", "component_id")
-    return found.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    named = owned.join(lowest, "component").select("class", "component", "component_id")
+    columns = ["doc_id", "row_key", "n_shingles", "component", "component_id"]
+    empty = sketch.filter("n_shingles = 0").withColumns({"component": F.lit(None).cast("binary"), "component_id": F.col("doc_id")})
+    return some.join(named, "class").select(*columns).unionByName(empty.select(*columns))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 25, rows: int = 5) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id``, ``text``).
+
+    Two texts are linked if ``100 * shared >= percent * all`` of their distinct
+    ``shingle``-word shingles (A-Z lower-cased, words parted by ASCII white
+    space; a shorter text is one shingle). ``component_id`` is the smallest id
+    that links lead to. With 25 bands of 5 rows a link at 85 % is missed with
+    a chance below 1e-6, at 80 % below 1e-4. Texts without words, and null
+    texts, have an empty set and are linked with nothing. Repeated rows belong
+    to one component; of rows that share an id all are kept or none. A null id
+    takes the least id of its component, and is kept only if that has none.
+    An empty table gives an empty result; other columns are ignored.
+    """
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return near_groups(docs, shingle, percent, bands, rows).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 25, rows: int = 5) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group, that of the least id, and all rows without shingles."""
+    groups = settle(near_groups(docs, shingle, percent, bands, rows).filter("component IS NOT NULL").select("doc_id", "row_key", "component"), "groups")
+    # the row that stays: least id, then least row key; it may be there several times
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first"))
+    copies = groups.groupBy("component", "doc_id", "row_key").agg(F.count("*").alias("n"))
+    chosen = F.col("row_key").eqNullSafe(F.col("first.row_key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    judged = copies.join(first, "component").withColumn("chosen", chosen)
+    dropped = settle(judged.filter("NOT chosen OR n > 1").select("doc_id", "row_key", "chosen"), "dropped")
+    again = dropped.filter("chosen").select("doc_id", "row_key")
+    return without_rows(docs, dropped.select("doc_id", "row_key")).unionByName(one_of_each(docs, again))

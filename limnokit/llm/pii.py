@@ -215,8 +215,10 @@ def mask(text: str) -> str:
 def mask_personal_data(docs: DataFrame, column: str = "text") -> DataFrame:
     """``docs`` with every span of ``column`` masked; rows, columns and null texts stay as they are."""
 
-    @F.pandas_udf("string")
-    def masked(texts):
-        return texts.map(mask, na_action="ignore")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _ in text_pieces(batches, column):
+            at = rows.schema.get_field_index(column)
+            found = pa.array([x if x is None else mask(x) for x in rows.column(at).to_pylist()], rows.column(at).type)
+            yield rows.set_column(at, rows.schema.field(at), found)
 
-    return docs.withColumn(column, masked(F.col(column)))
+    return docs.mapInArrow(run, docs.schema)

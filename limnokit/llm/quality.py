@@ -126,6 +126,42 @@ def _scripts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.where(latin + two + three == 0, 3, best)
 
 
+def judge(
+    texts: pa.StringArray, langs: list[str | None], library: CachedTokenizer, languages: dict[str, Band], scripts: dict[str, Band], min_tokens: int, full: int
+) -> dict[str, pa.Array]:
+    """All columns of ``MEASURES`` but the id, for a batch of texts."""
+    raw, offsets = raw_text(texts)
+    inside = (raw & 0xC0) != 0x80
+    n_words, n_repeat = _repeated_words(texts, 5)
+    n_tokens, chars, byte_share, entropy = _fertility(texts, _sums(inside, offsets), library)
+    script = _SCRIPTS[_scripts(raw, offsets)]
+    bands = [languages.get(a) or scripts[b] for a, b in zip(langs, script, strict=True)]
+    low, high, most_bytes, least_entropy = np.array([(b.low, b.high, b.byte_share, b.entropy) for b in bands]).reshape(-1, 4).T
+    failed = (n_words < 10) | (100 * n_repeat > 20 * n_words)
+    long = n_tokens >= min_tokens
+    most_entropy = np.log2(np.clip(n_tokens, 2, full))
+    verdict = np.select(
+        [failed, long & ((chars < low) | (chars > high)), long & (byte_share > most_bytes), long & (entropy < least_entropy * most_entropy)],
+        ["base", "chars_per_token", "byte_share", "token_entropy"],
+        "kept",
+    )
+    found = {
+        "n_words": n_words,
+        "word_chars": _sums(inside & WORD_BYTES["space"][raw], offsets),
+        "n_symbols": _sums(_SYMBOLS[raw], offsets),
+        "n_dup_lines": _duplicate_lines(raw, offsets),
+        "n_repeat_words": n_repeat,
+        "base_failed": failed,
+        "kept": verdict == "kept",
+        "n_tokens": n_tokens,
+        "chars_per_token": chars,
+        "byte_share": byte_share,
+        "token_entropy": entropy,
+    }
+    labels = {"script": pa.array(script.tolist(), pa.string()), "verdict": pa.array(verdict.tolist(), pa.string())}
+    return {k: pa.array(v) for k, v in found.items()} | labels
+
+
 def measure_quality(
     docs: DataFrame,
     tokenizer: str | None = None,
@@ -148,41 +184,23 @@ def measure_quality(
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = cached_tokenizer(tokenizer, True)
+        names = [c.strip().split()[0] for c in MEASURES.split(",")]
         for rows, texts in text_pieces(batches):
-            raw, offsets = raw_text(texts)
-            inside = (raw & 0xC0) != 0x80
-            n_words, n_repeat = _repeated_words(texts, 5)
-            n_tokens, chars, byte_share, entropy = _fertility(texts, _sums(inside, offsets), library)
-            script = _SCRIPTS[_scripts(raw, offsets)]
-            bands = [languages.get(a) or scripts[b] for a, b in zip(rows.column("lang").to_pylist(), script, strict=True)]
-            low, high, most_bytes, least_entropy = np.array([(b.low, b.high, b.byte_share, b.entropy) for b in bands]).reshape(-1, 4).T
-            failed = (n_words < 10) | (100 * n_repeat > 20 * n_words)
-            judged = n_tokens >= min_tokens
-            most_entropy = np.log2(np.clip(n_tokens, 2, full))
-            verdict = np.select(
-                [failed, judged & ((chars < low) | (chars > high)), judged & (byte_share > most_bytes), judged & (entropy < least_entropy * most_entropy)],
-                ["base", "chars_per_token", "byte_share", "token_entropy"],
-                "kept",
-            )
-            yield pa.record_batch(
-                [
-                    rows.column("doc_id"),
-                    n_words,
-                    _sums(inside & WORD_BYTES["space"][raw], offsets),
-                    _sums(_SYMBOLS[raw], offsets),
-                    _duplicate_lines(raw, offsets),
-                    n_repeat,
-                    pa.array(failed),
-                    pa.array(verdict == "kept"),
-                    n_tokens,
-                    chars,
-                    byte_share,
-                    entropy,
-                    pa.array(script.astype(object), pa.string()),
-                    pa.array(verdict.astype(object), pa.string()),
-                ],
-                [c.strip().split()[0] for c in MEASURES.split(",")],
-            )
+            found = judge(texts, rows.column("lang").to_pylist(), library, languages, scripts, min_tokens, full)
+            yield pa.record_batch([rows.column("doc_id"), *(found[x] for x in names[1:])], names)
 
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     return docs.select(F.col("doc_id").cast("long"), "text", lang.cast("string").alias("lang")).mapInArrow(measure, MEASURES)
+
+
+def keep_good(docs: DataFrame, tokenizer: str | None = None, min_tokens: int = 64, full: int = 512) -> DataFrame:
+    """The rows of ``docs`` that :func:`measure_quality` keeps, with all their columns, without a shuffle."""
+    tokenizer = tokenizer or tokenizer_path("byte_bpe_50k.json")
+
+    def sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = cached_tokenizer(tokenizer, True)
+        for rows, texts in text_pieces(batches):
+            langs = rows.column("lang").to_pylist() if "lang" in rows.schema.names else [None] * rows.num_rows
+            yield rows.filter(judge(texts, langs, library, LANGUAGE_BANDS, SCRIPT_BANDS, min_tokens, full)["kept"])
+
+    return docs.mapInArrow(sift, docs.schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,5 +72,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_personal_data, op2_decontamination, op3_near_dedup, op4_token_counts, op5_html_text, op6_repeats, op7_secrets, op8_token_store, op9_packing, op10_quality)
-}
+} | {"pipeline": corpus_pipeline.run}
 LLM_ORACLE: dict[str, str] = {}
