@@ -135,7 +135,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     ``docs`` has ``doc_id`` and ``text``, ``benchmark`` has ``item_id`` and
     ``text``. Null or empty texts, and texts and items without words, match
     nothing. Repeated rows give a row each; rows of one id with other texts are
-    judged apart. Repeated items count once. Other columns are ignored.
+    judged apart. Repeated items count once. An item without an id marks words
+    but is not listed. Other columns are ignored.
     """
     key = row_key().alias("row_key")
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.lit(0).cast("long").alias("row_key"), "text")

@@ -197,17 +197,19 @@ def visible_text(html: str | None) -> str:
     if not html:
         return ""
     lines = _Lines()
-    unseen = pre = 0
+    unseen, pre, opened = 0, 0, False
     open_: list[tuple] = []  # name, what to restore at its end
     lists: list[int | None] = []
     tables: list[dict] = []
     for kind, value, rest in tree_events(html):
         if kind == "t":
-            if unseen:
+            if unseen or (open_ and open_[-1] == ("details", "closed")):
                 continue
             text = unescape(value) if "&" in value else value
             if pre:
-                first, *others = text.replace("\r\n", "\n").split("\n")
+                text = text.replace("\r\n", "\n")
+                first, *others = (text[1:] if opened and text[:1] == "\n" else text).split("\n")
+                opened = False
                 if first:
                     lines.now.append(first)
                 for part in others:
@@ -250,6 +252,7 @@ def visible_text(html: str | None) -> str:
                     lines.indent += 2
                 elif value == "pre":
                     pre += 1
+                    opened = True  # a line feed right behind the tag is no text
                 elif value == "table":
                     tables.append({"rows": [], "outer": lines, "lists": lists})
                     lines, lists = _Lines(), []

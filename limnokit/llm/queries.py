@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from limnokit.llm.decontam import find_contamination
 from limnokit.llm.html_text import extract_text
 from limnokit.llm.near_dedup import near_duplicates
+from limnokit.llm.oracle import CONTAMINATION, NEAR_DUPLICATES, REPEATS
 from limnokit.llm.packing import pack_documents
 from limnokit.llm.pii import find_personal_data
 from limnokit.llm.quality import measure_quality
@@ -73,4 +74,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_personal_data, op2_decontamination, op3_near_dedup, op4_token_counts, op5_html_text, op6_repeats, op7_secrets, op8_token_store, op9_packing, op10_quality)
 } | {"pipeline": corpus_pipeline.run}
-LLM_ORACLE: dict[str, str] = {}
+LLM_ORACLE: dict[str, str] = {
+    "op2_decontamination": CONTAMINATION,
+    "op3_near_dedup": NEAR_DUPLICATES,
+    "op6_repeats": REPEATS,
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
