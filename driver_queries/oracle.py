@@ -241,11 +241,11 @@ def p_value_cte(source: str, keys: str, t: str, df: str, name: str) -> str:
   FROM {name}_d, range(20001) s(s) GROUP BY {keys})"""
 
 
-def grid_sql(cte: str, source: str, keys: str, y: str, digits: int, x_min: str = "0", group: str = "") -> str:
-    x = f"({x_min} + s.s * (x_max - {x_min}) / 99)"
+def grid_sql(cte: str, source: str, keys: str, y: str, digits: int, x_min: str = "0", points: int = 100) -> str:
+    x = f"({x_min} + s.s * (x_max - {x_min}) / {points - 1})"
     return f"""WITH {cte}
 SELECT {keys}, CAST(s.s AS INTEGER) AS point, {r(x, digits, "x")}, {r(y.format(x=x), digits, "y")}
-FROM {source}, range(100) s(s)"""
+FROM {source}, range({points}) s(s)"""
 
 
 ORDERS_NATIONS = """orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
@@ -271,16 +271,17 @@ shares AS (
   FROM cat GROUP BY ALL)"""
 
 
-def box_sql() -> str:
+def box_sql(events: str = "SELECT * FROM events") -> str:
     return f"""
-WITH q AS (
+WITH v AS ({events}),
+q AS (
   SELECT event_type, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
     quantile_cont(value, 0.75) AS q3
-  FROM events GROUP BY event_type),
+  FROM v GROUP BY event_type),
 e AS (
   SELECT e.event_type, e.value, q.n, q.q1, q.median, q.q3,
     e.value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS within
-  FROM events e JOIN q USING (event_type))
+  FROM v e JOIN q USING (event_type))
 SELECT event_type, any_value(n) AS n, {r("any_value(q1)", 6, "q1")}, {r("any_value(median)", 6, "median")},
   {r("any_value(q3)", 6, "q3")}, {r("least(min(value) FILTER (within), any_value(q1))", 6, "whisker_low")},
   {r("greatest(max(value) FILTER (within), any_value(q3))", 6, "whisker_high")},
@@ -288,6 +289,11 @@ SELECT event_type, any_value(n) AS n, {r("any_value(q1)", 6, "q1")}, {r("any_val
 FROM e GROUP BY event_type"""
 
 
+NON_FINITE = """
+  SELECT event_type, CASE WHEN event_id % 50 = 0 THEN 'inf'::DOUBLE WHEN event_id % 53 = 0 THEN '-inf'::DOUBLE
+    WHEN event_id % 59 = 0 THEN 1.7e308 WHEN event_id % 61 = 0 THEN -1.7e308 ELSE value END AS value FROM events"""
+
+
 def profile_sql(columns: dict[str, str]) -> str:
     return "\nUNION ALL\n".join(
         f"""SELECT '{name}' AS "column", count(*) AS n_rows, count(*) FILTER (v IS NULL) AS n_missing,
@@ -361,6 +367,19 @@ MM_SELECT = ",\n  ".join(
 RATE_LIMITS = "least(nullif(l_discount, 0), nullif(l_tax, 0))"
 CURVE_KEYS = ["site", "inc_month", "type", "analyte"]
 
+CHEMISTRY = """
+chem AS (
+  SELECT o_orderkey AS sample, year(o_orderdate) AS water_year, CAST(o_orderdate AS DATE) AS day,
+    CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'GBL' WHEN 2 THEN 'GBNS1' WHEN 3 THEN 'BWO' WHEN 4 THEN 'SSNS2'
+      ELSE 'elsewhere' END AS site,
+    CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS po4_ugl_dl, o_totalprice / 7 AS no3_mgl_dl,
+    CASE WHEN o_orderstatus = 'F' THEN o_totalprice / 9 END AS nh4_mgl_dl, o_totalprice / 11 AS doc_mgl_dl,
+    o_totalprice AS temp_c FROM orders)"""
+
+SNOW_TABLE = """
+SELECT CAST(event_id AS INTEGER) AS site_id, CAST(ts AS DATE) AS date, CASE WHEN event_type <> 'view' THEN value END AS snow_water_equivalent
+FROM events"""
+
 ORACLE: dict[str, str] = {
     "ols_by_group": f"""WITH {ols_cte("lineitem", "l_returnflag, l_linestatus", "l_quantity", "l_extendedprice")}
 SELECT l_returnflag, l_linestatus, n, {r("slope", 4, "slope")}, {r("intercept", 4, "intercept")},
@@ -399,6 +418,7 @@ SELECT l_returnflag, l_linestatus, {r("vmax", 4, "vmax")}, {r("km", 4, "km")}, {
         "intercept + slope * {x}",
         3,
         x_min="x_min",
+        points=80,
     ),
     "loess_grid": LOESS,
     "group_stats_attach": f"""
@@ -498,6 +518,7 @@ SELECT n_name, count(*) AS sum_total, count(*) FILTER (o_totalprice > 250000) AS
 FROM {ORDERS_NATIONS} GROUP BY n_name""",
     "box_stats": box_sql(),
     "box_stats_selected": box_sql(),
+    "box_stats_nonfinite": box_sql(NON_FINITE),
     "box_outliers": """
 WITH q AS (
   SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY event_type)
@@ -596,6 +617,64 @@ FROM rates""",
 SELECT site, inc_month, type, analyte, n, {r("intercept", 6, "intercept")}, {r("slope", 6, "slope")},
   {r("se_intercept", 6, "se_intercept")}, {r("se_slope", 6, "se_slope")}, df_resid,
   CASE WHEN se_slope > 0 THEN 'ok' ELSE 'exact' END AS status FROM ols""",
+    "mm_pvalues": f"""WITH {MM_POINTS}, {mm_cte("pts", FLAG_STATUS, "x", "y")},
+{p_value_cte("mm", ", ".join(FLAG_STATUS), "vmax / se_vmax", "df_resid", "pv")},
+{p_value_cte("mm", ", ".join(FLAG_STATUS), "km / se_km", "df_resid", "pk")}
+SELECT l_returnflag, l_linestatus, {r("pv.p", 6, "p_vmax")}, {r("pk.p", 6, "p_km")}
+FROM pv JOIN pk USING (l_returnflag, l_linestatus)""",
+    "mm_fit_status": """
+WITH p AS (
+  SELECT CASE WHEN l_linenumber = 1 THEN 'no dose' WHEN l_linenumber = 2 THEN 'one dose'
+      WHEN l_linenumber = 3 AND l_orderkey > 2 THEN NULL WHEN l_linenumber = 3 THEN 'few' ELSE 'many' END AS grp,
+    CASE WHEN l_linenumber = 1 THEN 0 WHEN l_linenumber = 2 THEN 5 ELSE l_quantity END::DOUBLE AS x,
+    CASE WHEN l_tax <> 0 THEN 900 * l_quantity / (12 + l_quantity) + l_tax END AS y FROM lineitem)
+SELECT grp, count(y) FILTER (x >= 0) AS n, count(*) FILTER (y IS NULL) AS n_excluded,
+  count(DISTINCT x) FILTER (x > 0 AND y IS NOT NULL) AS n_doses,
+  CASE WHEN count(DISTINCT x) FILTER (x > 0 AND y IS NOT NULL) = 0 THEN 'failed'
+    WHEN count(DISTINCT x) FILTER (x > 0 AND y IS NOT NULL) < 2 OR count(y) < 3 THEN 'singular' ELSE 'ok' END AS status
+FROM p WHERE grp IS NOT NULL GROUP BY grp""",
+    "discharge": f"""
+SELECT CAST(ts AS DATE) AS date, value AS discharge_cfs, {case_map("event_type", {"view": "GB", "click": "BW"}, "NULL")} AS site,
+  {case_map("event_type", {"view": "east", "click": "west"}, "NULL")} AS label, value * 0.0283168::DOUBLE AS discharge_cms,
+  value * 0.0283168::DOUBLE / CASE event_type WHEN 'view' THEN 10.64485::DOUBLE ELSE 29.00787::DOUBLE END AS scale_q
+FROM events WHERE event_type IN ('view', 'click') AND CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-25'""",
+    "snow": f"""
+WITH d AS (
+  SELECT CASE event_type WHEN 'view' THEN 615 WHEN 'click' THEN 848 ELSE NULL END AS site_id, CAST(ts AS DATE) AS date,
+    sum(value) AS level FROM events
+  WHERE event_type IN ('view', 'click', 'error') AND CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' GROUP BY ALL),
+s AS (SELECT *, CASE WHEN site_id = 615 THEN 'GB' WHEN site_id IS NOT NULL THEN 'BW' END AS site FROM d),
+c AS (SELECT *, level - lag(level, 1, 0) OVER (PARTITION BY site ORDER BY date, site_id NULLS FIRST) AS delta FROM s),
+t AS (SELECT *, sum(delta) OVER (PARTITION BY site ORDER BY date, site_id NULLS FIRST) AS total FROM c)
+SELECT site_id, date, site, {r("level", 3, "snow_water_equivalent")}, {r("delta", 3, "daily_delta")}, {r("total", 3, "cumulative")},
+  CASE WHEN delta > 0 THEN 'Accumulate' ELSE 'Melt' END AS quality, CAST(delta < 0 AS INTEGER) AS rain FROM t""",
+    "chemistry": f"""
+WITH {CHEMISTRY},
+w AS (
+  SELECT *, po4_ugl_dl / 1000 AS po4_mgl_dl, {case_map("site", fixed.SITE_POSITIONS)} AS position FROM chem
+  WHERE water_year = 1995 AND (site IS NULL OR site NOT IN {in_list(fixed.EXCLUDED_CHEMISTRY_SITES)})),
+long AS (
+  SELECT * FROM (SELECT sample, site, position, day, po4_mgl_dl, no3_mgl_dl, nh4_mgl_dl, doc_mgl_dl FROM w)
+  UNPIVOT (concentration FOR variable IN (po4_mgl_dl, no3_mgl_dl, nh4_mgl_dl, doc_mgl_dl)))
+SELECT sample, site, position, day AS date, variable, {r("concentration", 6, "concentration")},
+  CASE variable WHEN 'doc_mgl_dl' THEN 5.0 ELSE 0.125 END::DOUBLE AS y_limit,
+  CAST({case_map("position", {p: i + 1 for i, p in enumerate(fixed.CHEMISTRY_POSITION_ORDER)})} AS INTEGER) AS position_rank
+FROM long""",
+    "temperature": f"""
+WITH {CHEMISTRY},
+w AS (SELECT *, {case_map("site", fixed.SITE_POSITIONS)} AS position FROM chem WHERE water_year = 1995)
+SELECT sample, strftime(day, '%b') AS month, CAST(month(day) AS INTEGER) AS month_rank, position,
+  CASE WHEN position LIKE '%GB%' THEN 'GB' ELSE 'BW' END AS color_group,
+  CAST({case_map("position", {p: i + 1 for i, p in enumerate(fixed.TEMPERATURE_POSITION_ORDER)})} AS INTEGER) AS position_rank, temp_c
+FROM w WHERE month(day) <= 9 AND position IS NOT NULL""",
+    "mean_hours": f"""
+SELECT {r("avg(hour(ts) + minute(ts) / 60.0::DOUBLE)", 6, "mean_hours")} FROM events""",
+    "csv_round_trip": SNOW_TABLE,
+    "parquet_hand_off": SNOW_TABLE,
+    "rule_table_overlap": """
+SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_returnflag IS NULL THEN NULL
+  WHEN l_returnflag = 'A' THEN l_extendedprice < 20000 OR (l_extendedprice > 60000 AND l_quantity <> 50)
+  WHEN l_returnflag = 'N' THEN l_quantity = 7 ELSE FALSE END AS flag FROM lineitem""",
     "incubation_curves": f"""WITH {KEPT}, {mm_cte("kept", CURVE_KEYS, "x", "y")}
 SELECT site, inc_month, type, analyte, CAST(n AS BIGINT) AS n, n_doses, {r("vmax", 3, "vmax")}, {r("km", 3, "km")},
   {r("se_vmax", 3, "se_vmax")}, {r("se_km", 3, "se_km")}, 'ok' AS status FROM mm""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,7 @@ from limnokit.operators.groups import (
     conditional_shares,
     count_true,
     filtered_mean,
+    global_mean,
     group_count,
     level_set,
     roll_up_share,
@@ -51,7 +53,7 @@ from limnokit.operators.predict import predict_grid, saturation_at, trend_line
 from limnokit.operators.profile import profile
 from limnokit.operators.reshape import to_long
 from limnokit.operators.saturation_fit import saturation_fit
-from limnokit.plans.background import change_series, on_dates
+from limnokit.plans.background import change_series, chemistry_long, discharge_series, on_dates, snow_series, temperature_profile
 from limnokit.plans.catalogue import (
     fit_catalogue,
     incubation_counts,
@@ -72,8 +74,8 @@ from limnokit.plans.screening import (
 )
 from limnokit.plans.speciation import ammonia_fraction, convert_ammonium, shore_of
 from limnokit.plans.workflows import MODEL_KEYS, fits_to_summary, rates_to_fits
-from limnokit.session import settle
-from limnokit.sources.tables import union_tables
+from limnokit.session import settle, shared_dir
+from limnokit.sources.tables import read_table, union_tables, write_csv, write_parquet
 
 FLAG_STATUS = ["l_returnflag", "l_linestatus"]
 
@@ -100,10 +102,10 @@ SCREENING_COLUMNS = [
 
 
 def readings(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
-    """lineitem as a stored table of raw vial readings."""
+    """lineitem as a table of raw vial readings."""
     base = table(spark, sf_dir, "lineitem").selectExpr(*select_list(READINGS))
     raw = base.selectExpr("*", *select_list(READINGS_NEXT)).selectExpr("*", *select_list(READINGS_LAST))
-    return settle(raw.select(*columns), "readings")
+    return raw.select(*columns)
 
 
 def lake_conditions(raw: DataFrame) -> DataFrame:
@@ -391,8 +393,18 @@ def box_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def box_by_type_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same statistics by rank selection, the way for groups too large to buffer."""
-    out = box_stats(table(spark, sf_dir, "events"), ["event_type"], "value", buffered_rows=0)
+    """The same statistics of another binding: equal values in every group many times over."""
+    out = box_stats(table(spark, sf_dir, "events").repartition(7, "event_id"), ["event_type"], "value")
+    return rounded(out, 6, "q1", "median", "q3", "whisker_low", "whisker_high")
+
+
+def box_stats_nonfinite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Infinite values and the ends of the double range among the events."""
+    event, inf = F.col("event_id"), float("inf")
+    value = F.col("value")
+    for step, odd in reversed([(50, inf), (53, -inf), (59, 1.7e308), (61, -1.7e308)]):
+        value = F.when(event % step == 0, F.lit(odd)).otherwise(value)
+    out = box_stats(table(spark, sf_dir, "events").withColumn("value", value), ["event_type"], "value")
     return rounded(out, 6, "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
@@ -541,6 +553,118 @@ def trim_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skip_head(orders, order, fixed.BLANK_HEAD_ROWS)
 
 
+# --- the context series on renamed tables -------------------------------------
+
+
+PERIOD = ("2024-01-05", "2024-01-25")
+
+
+def discharge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gauges = {"view": "10336730", "click": "10336660"}
+    daily = table(spark, sf_dir, "events").select(
+        recode("event_type", gauges).alias("site_no"), F.to_date("ts").alias("date"), F.col("value").alias("discharge_cfs")
+    )
+    return discharge_series(daily, start=PERIOD[0], end=PERIOD[1])
+
+
+def snow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily sums of three event types as two stations and one without a number."""
+    station = F.when(F.col("event_type") == "view", 615).when(F.col("event_type") == "click", 848)
+    daily = (
+        table(spark, sf_dir, "events")
+        .filter(is_in("event_type", ["view", "click", "error"]))
+        .groupBy(station.cast("int").alias("site_id"), F.to_date("ts").alias("date"))
+        .agg(F.sum("value").alias("snow_water_equivalent"))
+    )
+    return rounded(snow_series(daily, *PERIOD), 3, "snow_water_equivalent", "daily_delta", "cumulative")
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as a table of chemistry samples."""
+    key, price, status = F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_orderstatus")
+    site = F.when(key % 6 == 0, F.lit(None).cast("string"))
+    for left, name in enumerate(["GBL", "GBNS1", "BWO", "SSNS2"], 1):
+        site = site.when(key % 6 == left, F.lit(name))
+    return table(spark, sf_dir, "orders").select(
+        key.alias("sample"),
+        F.year("o_orderdate").alias("water_year"),
+        site.otherwise(F.lit("elsewhere")).alias("site"),
+        F.date_format("o_orderdate", "M/d/yy").alias("date"),
+        F.when(status != "F", price).alias("po4_ugl_dl"),
+        (price / 7).alias("no3_mgl_dl"),
+        F.when(status == "F", price / 9).alias("nh4_mgl_dl"),
+        (price / 11).alias("doc_mgl_dl"),
+        price.alias("temp_c"),
+    )
+
+
+def chemistry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = chemistry_long(samples(spark, sf_dir), 1995)
+    out = long.select("sample", "site", "position", "date", "variable", "concentration", "y_limit", "position_rank")
+    return rounded(out, 6, "concentration")
+
+
+def temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = temperature_profile(samples(spark, sf_dir), 1995)
+    return out.select("sample", "month", "month_rank", "position", "color_group", "position_rank", "temp_c")
+
+
+def mean_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean decimal hours of clock texts."""
+    clocks = table(spark, sf_dir, "events").select(split_hours(F.date_format("ts", "H:mm")).alias("hours"))
+    return rounded(global_mean(clocks, "hours", "mean_hours"), 6, "mean_hours")
+
+
+def snow_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events in another order of columns, with one column too many."""
+    return table(spark, sf_dir, "events").select(
+        F.when(F.col("event_type") != "view", F.col("value")).alias("snow_water_equivalent"),
+        F.lit("beside").alias("note"),
+        F.to_date("ts").alias("date"),
+        F.col("event_id").cast("int").alias("site_id"),
+    )
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/hand-off/snow-{uuid.uuid4().hex}"
+    write_csv(snow_table(spark, sf_dir), path)
+    return read_table(spark, path, "snow_daily", "csv")
+
+
+def parquet_hand_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/hand-off/snow-{uuid.uuid4().hex}"
+    write_parquet(snow_table(spark, sf_dir), path)
+    return read_table(spark, path, "snow_daily")
+
+
+def rule_table_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several rules for one key hold side by side."""
+    bounds = "rate_lt double, rate_gt double, spike_eq double, spike_ne double"
+    rules = [("A", 20000.0, None, None, None), ("A", None, 60000.0, None, 50.0), ("A", 20000.0, None, None, None), ("N", None, None, 7.0, None)]
+    items = table(spark, sf_dir, "lineitem")
+    table_ = spark.createDataFrame(rules, f"l_returnflag string, {bounds}")
+    flagged = flag_by_rule_table(items, table_, ["l_returnflag"], "l_extendedprice", "l_quantity")
+    return flagged.select("l_orderkey", "l_linenumber", "l_returnflag", "flag")
+
+
+def mm_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits = saturation_fit(mm_points(spark, sf_dir), FLAG_STATUS, "l_quantity", "rate")
+    return rounded(fits.select(*FLAG_STATUS, "p_vmax", "p_km"), 6, "p_vmax", "p_km")
+
+
+def mm_fit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups with no dose, one dose, few and many readings, failed ones kept."""
+    line, x = F.col("l_linenumber"), F.col("l_quantity").cast("double")
+    grp = F.when(line == 1, "no dose").when(line == 2, "one dose").when((line == 3) & (F.col("l_orderkey") <= 2), "few").when(line != 3, "many")
+    points = table(spark, sf_dir, "lineitem").select(
+        grp.alias("grp"),
+        F.when(line == 1, 0.0).when(line == 2, 5.0).otherwise(x).alias("x"),
+        F.when(F.col("l_tax") != 0, 900 * x / (12 + x) + F.col("l_tax")).alias("y"),
+    )
+    fits = saturation_fit(points.filter("grp IS NOT NULL"), ["grp"], "x", "y", p_values=False, keep_failed=True)
+    return fits.select("grp", "n", "n_excluded", "n_doses", "status")
+
+
 # --- workflows --------------------------------------------------------------
 
 
@@ -562,9 +686,8 @@ def uptake_rate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored rate table, normalised and screened."""
-    rates = settle(rate_table(spark, sf_dir), "rates")
-    return kept_rows(screen_outliers(with_normalised_rate(rates)))
+    """The rate table, normalised and screened."""
+    return kept_rows(screen_outliers(with_normalised_rate(rate_table(spark, sf_dir))))
 
 
 def incubation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -635,4 +758,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "incubation_lines": incubation_lines,
     "incubation_curves": incubation_curves,
     "saturating_share": saturating_share,
+    "box_stats_nonfinite": box_stats_nonfinite,
+    "mm_pvalues": mm_pvalues,
+    "mm_fit_status": mm_fit_status,
+    "discharge": discharge,
+    "snow": snow,
+    "chemistry": chemistry,
+    "temperature": temperature,
+    "mean_hours": mean_hours,
+    "csv_round_trip": csv_round_trip,
+    "parquet_hand_off": parquet_hand_off,
+    "rule_table_overlap": rule_table_overlap,
 }

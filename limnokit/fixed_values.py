@@ -69,6 +69,8 @@ UPTAKE_METRICS = ["raw_uptake", "weight_corrected", "afdm_corrected"]
 
 # Points of a predicted response curve; half-width of a 95 % interval in SEs
 CURVE_POINTS = 100
+# Points of a straight trend line
+TREND_POINTS = 80
 NORMAL_95 = 1.96
 SIGNIFICANCE_LEVEL = 0.05
 

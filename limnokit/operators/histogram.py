@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def round_breaks(low: float, high: float, cells: int) -> list[float]:
+def break_range(low: float, high: float, cells: int) -> tuple[int, float, int]:
     """About ``cells`` equal cells covering the range, with width 1, 2 or 5 times a power of ten.
 
+    Gives the first and last break as multiples of the width, and the width.
+
     The width is the largest of 1, 2, 5 and 10 times the power of ten below
     the exact cell width that still leaves enough cells.
     """
@@ -35,30 +37,38 @@ def round_breaks(low: float, high: float, cells: int) -> list[float]:
         last += 1
     if last == first:
         last += 1
+    return first, width, last
+
+
+def round_breaks(low: float, high: float, cells: int) -> list[float]:
+    """The breaks of :func:`break_range` one by one."""
+    first, width, last = break_range(low, high, cells)
     return [i * width for i in range(first, last + 1)]
 
 
 def histogram(df: DataFrame, value: str, cells: int | None = None) -> DataFrame:
-    """Counts per cell; Sturges' number of cells unless given.
+    """Counts per cell of the finite values; Sturges' number of cells unless given.
 
     Needs three numbers of the whole column (count, min, max), read first in
     one aggregate; the counting itself is one pass with partial counts.
-    Empty cells are listed with 0.
+    Empty cells are listed with 0; missing, infinite and NaN values are not
+    counted.
     """
-    n, low, high = df.agg(F.count(value), F.min(value), F.max(value)).first()
+    v = F.col(value).cast("double")
+    finite = df.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    n, low, high = finite.agg(F.count(value), F.min(v), F.max(v)).first()
     if not n:
         return df.sparkSession.createDataFrame([], "cell int, lower double, upper double, n bigint")
-    breaks = round_breaks(float(low), float(high), cells or math.ceil(math.log2(n) + 1))
-    width, fuzz = breaks[1] - breaks[0], 1e-7 * (breaks[1] - breaks[0])
-    last = len(breaks) - 1
+    first, width, last = break_range(low, high, cells or math.ceil(math.log2(n) + 1))
     # A value within the fuzz above a break still belongs to the cell below it
-    cell = F.ceil((F.col(value) - F.lit(breaks[0] + fuzz)) / F.lit(width)).cast("int")
-    cell = F.least(F.greatest(cell, F.lit(1)), F.lit(last))
-    counts = df.filter(F.col(value).isNotNull()).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    frame = df.sparkSession.createDataFrame(
-        [(i + 1, float(breaks[i]), float(breaks[i + 1])) for i in range(last)],
-        "cell int, lower double, upper double",
-    )
+    cell = F.ceil((v - F.lit(first * width + 1e-7 * width)) / F.lit(width)).cast("int")
+    cell = F.least(F.greatest(cell, F.lit(1)), F.lit(last - first))
+    counts = finite.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    frame = df.sparkSession.range(1, last - first + 1).select(F.col("id").cast("int").alias("cell"))
+
+    def edge(back: int) -> Column:
+        return (F.lit(first) + F.col("cell") - F.lit(back)) * F.lit(width)
+
     return frame.join(counts, "cell", "left").select(
-        "cell", "lower", "upper", F.coalesce("n", F.lit(0).cast("bigint")).alias("n")
+        "cell", edge(1).alias("lower"), edge(0).alias("upper"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n")
     )

@@ -71,9 +71,9 @@ def drop_listed(df: DataFrame, values: list | DataFrame, column: str) -> DataFra
 def recode_from_table(
     df: DataFrame, column: str, table: DataFrame, target: str, keep_unmatched: bool = True
 ) -> DataFrame:
-    """Replace values through a (value, label) table with one row per value."""
+    """Replace values through a (value, label) table; of several labels of a value the least is used."""
     source, label = table.columns[:2]
-    renamed = table.select(F.col(source), F.col(label).alias("__label"))
+    renamed = table.groupBy(source).agg(F.min(label).alias("__label"))
     joined = null_safe_join(df, renamed, [(column, source)])
     value = F.coalesce("__label", column) if keep_unmatched else F.col("__label")
     return joined.withColumn(target, value).drop("__label")

@@ -7,7 +7,7 @@ reading and five weighted sums, all of them grouped aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnokit import fixed_values as fixed
@@ -15,21 +15,9 @@ from limnokit.operators.joins import null_safe_join
 from limnokit.operators.order_stats import select_ranks
 from limnokit.session import settle
 
-# Distinct x per group up to which a window over them is short
-WINDOWED_X = 20_000
 
-
-def _bandwidths(distances: DataFrame, keys: list[str], widest: int) -> DataFrame:
+def _bandwidths(distances: DataFrame, keys: list[str]) -> DataFrame:
     """Distance of the ``q``-th nearest reading of each grid point."""
-    if widest <= WINDOWED_X:
-        nearest_first = Window.partitionBy(*keys, "point").orderBy("dist")
-        upto = F.sum("n").over(nearest_first.rangeBetween(Window.unboundedPreceding, 0))
-        return (
-            distances.withColumn("upto", upto)
-            .filter(F.col("upto") >= F.col("q"))
-            .groupBy(*keys, "point")
-            .agg(F.min("dist").alias("h"))
-        )
     targets = distances.groupBy(*keys, "point").agg(F.lit("h").alias("target"), F.first("q").alias("rank"))
     return select_ranks(distances, [*keys, "point"], "dist", targets, weight="n").select(
         *keys, "point", F.col("value").alias("h")
@@ -60,11 +48,9 @@ def loess_curve(
             F.floor(F.sum("n") * F.lit(span) + F.lit(1e-5)).alias("q"),
             F.min("x").alias("x_min"),
             F.max("x").alias("x_max"),
-            F.count(F.lit(1)).alias("n_x"),
         ),
         "loess-groups",
     )
-    widest = groups.agg(F.max("n_x")).first()[0] or 0
     grid = F.col("x_min") + F.col("point") * (F.col("x_max") - F.col("x_min")) / F.lit(points - 1)
     distances = (
         null_safe_join(compact, groups, keys, "inner")
@@ -74,7 +60,7 @@ def loess_curve(
         .withColumn("q", F.greatest(F.col("q"), F.lit(1)))
         .select(*keys, "point", "at", "q", "x", "y", "n", "dist")
     )
-    bands = settle(_bandwidths(distances, keys, widest), "loess-bands")
+    bands = settle(_bandwidths(distances, keys), "loess-bands")
     near = null_safe_join(distances, bands, [*keys, "point"], "inner")
     tricube = F.pow(1 - F.pow(F.col("dist") / F.col("h"), 3), 3)
     weight = F.when(F.col("h") == 0, F.lit(1.0)).otherwise(tricube) * F.col("n")

@@ -1,9 +1,8 @@
 """Exact quantiles, box statistics and outlier rows per group.
 
-Two exact ways, chosen by the measured size of the largest group. Small
-groups use Spark's ``percentile``, whose buffer holds a group's distinct
-values. Larger ones use :func:`select_ranks`, which narrows an interval per
-wanted rank by counting into bins, so no task ever holds a group.
+One way for groups of any size: every wanted rank gets an interval of values,
+and each round counts rows into bins of the intervals still open. Only counts
+move; rows are read again, never written, and no task holds a group.
 """
 
 from __future__ import annotations
@@ -15,19 +14,45 @@ from limnokit.operators.joins import attach_group_values, null_safe_join
 from limnokit.session import settle
 
 BINS = 1024
-# Largest group (rows) for which an aggregation buffer of its values is fine
-BUFFERED_ROWS = 1_000_000
+#: An even round leaves an interval in one binade or with one value; from then
+#: on every round takes 10 of its 52 bits. Odd rounds only make it faster.
+MOST_ROUNDS = 14
+
+
+def _finite(c: Column) -> Column:
+    return ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+
+
+def _binade(v: Column) -> Column:
+    """An integer that rises with the sign and the power of two of a double; infinities and NaN have their own."""
+    power = F.floor(F.log2(F.abs(v))) + 1100
+    return (
+        F.when(F.isnan(v), F.lit(5000))
+        .when(v == 0, F.lit(0))
+        .when(~_finite(v), F.when(v > 0, F.lit(4000)).otherwise(F.lit(-4000)))
+        .otherwise(F.when(v > 0, power).otherwise(-power))
+        .cast("int")
+    )
+
+
+def _even_bin(v: Column, lo: Column, hi: Column) -> Column:
+    """Bin of ``v`` among ``BINS`` equal ones from lo to hi (finite, lo < hi); both ends in different bins."""
+    scale = F.when(_finite(hi - lo), F.lit(1.0)).otherwise(F.lit(0.25))
+    place = (v * scale - lo * scale) / (hi * scale - lo * scale) * F.lit(float(BINS))
+    return F.greatest(F.lit(0), F.least(F.floor(place), F.lit(BINS - 1))).cast("int")
 
 
 def select_ranks(df: DataFrame, keys: list[str], value: str, targets: DataFrame, weight: str | None = None) -> DataFrame:
     """The value at each wanted rank of each group, exactly.
 
     ``targets`` has the keys, a ``target`` label and a 1-based ``rank``
-    (counted in units of ``weight``). Every round counts rows into ``BINS``
-    equal bins of each interval still open, and each target moves to the bin
-    that holds its rank, tightened to the values seen in it; a target is done
-    when its interval is one value. Intervals of a group never overlap, so a
-    row is counted once, and rows outside all of them are left behind.
+    (counted in units of ``weight``). Order is that of Spark: -inf, finite
+    values, inf, NaN. Every round counts rows into bins of each interval still
+    open, and each target moves to the bin that holds its rank, tightened to
+    the values seen in it; a target is done when its interval is one value.
+    Odd rounds use equal bins, even ones powers of two unless the interval
+    lies within one, so any interval is done after ``MOST_ROUNDS`` rounds.
+    Intervals of a group never overlap, so a row is counted once.
     Returns keys, target, rank and ``value``.
     """
     size = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -39,21 +64,26 @@ def select_ranks(df: DataFrame, keys: list[str], value: str, targets: DataFrame,
     state = settle(
         null_safe_join(wanted, spread, keys, "inner").withColumn("before", F.lit(0.0)), "rank-state"
     )
-    finished = state.filter(F.col("lo") == F.col("hi"))
-    active = state.filter(F.col("lo") < F.col("hi"))
-    while not active.isEmpty():
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+    finished = state.filter(lo == hi)
+    for turn in range(MOST_ROUNDS):
+        active = state.filter(lo < hi)
+        if active.isEmpty():
+            return finished.select(*keys, "target", "rank", lo.alias("value"))
         intervals = active.select(*keys, "lo", "hi", "before").distinct()
-        place = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(float(BINS))
-        inside = null_safe_join(points, intervals, keys, "inner").filter(F.col("v").between(F.col("lo"), F.col("hi")))
+        inside = null_safe_join(points, intervals, keys, "inner").filter(v.between(lo, hi))
+        even = _finite(lo) & _finite(hi)
+        if turn % 2:
+            even &= _binade(lo) == _binade(hi)
         counted = (
-            inside.withColumn("bin", F.least(F.floor(place), F.lit(BINS - 1)))
+            inside.withColumn("bin", F.when(even, _even_bin(v, lo, hi)).otherwise(_binade(v)))
             .groupBy(*keys, "lo", "before", "bin")
             .agg(F.sum("w").alias("w"), F.min("v").alias("bin_lo"), F.max("v").alias("bin_hi"))
         )
-        # At most BINS rows per window
+        # At most BINS rows, or one a power of two, per window
         in_order = Window.partitionBy(*keys, "lo").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         bins = counted.withColumn("upto", F.col("before") + F.sum("w").over(in_order)).select(
-            *keys, F.col("lo"), "bin_lo", "bin_hi", "upto", (F.col("upto") - F.col("w")).alias("bin_before")
+            *keys, "lo", "bin_lo", "bin_hi", "upto", (F.col("upto") - F.col("w")).alias("bin_before")
         )
         state = settle(
             null_safe_join(active.drop("hi", "before"), bins, [*keys, "lo"], "inner")
@@ -68,20 +98,17 @@ def select_ranks(df: DataFrame, keys: list[str], value: str, targets: DataFrame,
             ),
             "rank-state",
         )
-        finished = finished.unionByName(state.filter(F.col("lo") == F.col("hi")))
-        active = state.filter(F.col("lo") < F.col("hi"))
-        left = active.select(*keys, "lo", "hi").distinct()
-        points = settle(
-            null_safe_join(points, left, keys, "inner")
-            .filter(F.col("v").between(F.col("lo"), F.col("hi")))
-            .select(*keys, "v", "w"),
-            "rank-points",
-        )
-    return finished.select(*keys, "target", "rank", F.col("lo").alias("value"))
+        finished = finished.unionByName(state.filter(lo == hi))
+    if not state.filter(lo < hi).isEmpty():
+        raise RuntimeError(f"ranks not found in {MOST_ROUNDS} rounds")
+    return finished.select(*keys, "target", "rank", lo.alias("value"))
 
 
-def _selected_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Type-7 quantiles from the two order statistics around each position."""
+def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear between the two order statistics around each position) and ``n`` per group.
+
+    Between equal order statistics the quantile is that value, infinite ones included.
+    """
     sizes = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     sizes = settle(sizes, "group-sizes")
 
@@ -113,27 +140,14 @@ def _selected_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[
         *keys,
         "n",
         *[
-            (F.col(f"{name}_low") * (1 - part[p]) + F.col(f"{name}_high") * part[p]).alias(name)
+            F.when((F.col(f"{name}_low") == F.col(f"{name}_high")) | (part[p] == 0), F.col(f"{name}_low"))
+            .otherwise(F.col(f"{name}_low") * (1 - part[p]) + F.col(f"{name}_high") * part[p])
+            .alias(name)
             for name, p in probs.items()
         ],
     )
 
 
-def group_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], buffered_rows: int = BUFFERED_ROWS
-) -> DataFrame:
-    """Exact quantiles (linear interpolation between order statistics) and ``n`` per group."""
-    present = df.filter(F.col(value).isNotNull())
-    largest = present.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest > buffered_rows:
-        return _selected_quantiles(df, keys, value, probs)
-    at = F.array(*[F.lit(p) for p in probs.values()])
-    packed = present.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile(F.col(value).cast("double"), at).alias("q")
-    )
-    return packed.select(*keys, "n", *[F.col("q")[i].alias(name) for i, name in enumerate(probs)])
-
-
 def approximate_quantiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float], accuracy: int = 10_000
 ) -> DataFrame:
@@ -143,21 +157,21 @@ def approximate_quantiles(
     return packed.select(*keys, "n", *[F.col("q")[i].alias(name) for i, name in enumerate(probs)])
 
 
-def _hinges(df: DataFrame, keys: list[str], value: str, buffered_rows: int) -> DataFrame:
+def _hinges(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    hinges = group_quantiles(df, keys, value, quartiles, buffered_rows)
+    hinges = group_quantiles(df, keys, value, quartiles)
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     return hinges.withColumn("fence_low", F.col("q1") - reach).withColumn("fence_high", F.col("q3") + reach)
 
 
-def box_stats(df: DataFrame, keys: list[str], value: str, buffered_rows: int = BUFFERED_ROWS) -> DataFrame:
+def box_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Hinges, median, whisker ends and outlier count of every group.
 
     Whiskers reach the most extreme value within 1.5 inter-quartile ranges of
     the hinges (never inside the box).
     """
     present = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    hinges = _hinges(present, keys, value, buffered_rows)
+    hinges = _hinges(present, keys, value)
     rows = attach_group_values(present, hinges, keys, "hinges")
     within = F.col(value).between(F.col("fence_low"), F.col("fence_high"))
     box = ["n", "q1", "median", "q3"]
@@ -177,11 +191,11 @@ def box_stats(df: DataFrame, keys: list[str], value: str, buffered_rows: int = B
 
 
 def box_outliers(
-    df: DataFrame, keys: list[str], value: str, carry: list[str] | None = None, buffered_rows: int = BUFFERED_ROWS
+    df: DataFrame, keys: list[str], value: str, carry: list[str] | None = None
 ) -> DataFrame:
     """The rows beyond the whiskers of their group."""
     present = df.filter(F.col(value).isNotNull()).select(*keys, value, *(carry or []))
-    fences = _hinges(present, keys, value, buffered_rows).select(*keys, "fence_low", "fence_high")
+    fences = _hinges(present, keys, value).select(*keys, "fence_low", "fence_high")
     rows = attach_group_values(present, fences, keys, "fences")
     beyond = (F.col(value) < F.col("fence_low")) | (F.col(value) > F.col("fence_high"))
     return rows.filter(beyond).drop("fence_low", "fence_high")

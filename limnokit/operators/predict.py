@@ -32,7 +32,7 @@ def predict_grid(
     return grid.select(*keys, "point", "x", curve(F.col("x")).alias("y"))
 
 
-def trend_line(df: DataFrame, keys: list[str], x: str, y: str, points: int = fixed.CURVE_POINTS) -> DataFrame:
+def trend_line(df: DataFrame, keys: list[str], x: str, y: str, points: int = fixed.TREND_POINTS) -> DataFrame:
     """Least-squares line per group, drawn between its smallest and largest x."""
     complete = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     fits = linear_fit(complete, keys, x, y, p_values=False)

@@ -6,23 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnokit.operators.joins import null_safe_join
-from limnokit.operators.order_stats import BUFFERED_ROWS, group_quantiles
+from limnokit.operators.order_stats import group_quantiles
 
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def profile(
-    df: DataFrame, columns: list[str], quartiles: bool = False, buffered_rows: int = BUFFERED_ROWS
-) -> DataFrame:
+def profile(df: DataFrame, columns: list[str], quartiles: bool = False) -> DataFrame:
     """Row, missing count, mean, SD, min and max of each numeric column.
 
     All columns come from a single aggregate over one scan; the one-row
-    result is then turned on its side. Exact quartiles join that aggregate
-    while the table is small enough to buffer, and are selected by rank in
-    separate passes beyond it.
+    result is then turned on its side. Exact quartiles are selected by rank.
     """
-    buffered = quartiles and df.count() <= buffered_rows
     aggs = []
     for c in columns:
         v = F.col(c).cast("double")
@@ -35,17 +30,12 @@ def profile(
             F.min(v).alias("min"),
             F.max(v).alias("max"),
         ]
-        if buffered:
-            fields.append(F.percentile(v, F.array(*[F.lit(p) for p in QUARTILES.values()])).alias("q"))
         aggs.append(F.struct(*fields))
     out = df.agg(F.array(*aggs).alias("stats")).select(F.explode("stats").alias("s")).select("s.*")
     if not quartiles:
         return out
-    if buffered:
-        return out.select("*", *[F.col("q")[i].alias(name) for i, name in enumerate(QUARTILES)]).drop("q")
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "v")
-    quarts = group_quantiles(long, ["column"], "v", QUARTILES, buffered_rows).drop("n")
-    return null_safe_join(out, quarts, ["column"])
+    return null_safe_join(out, group_quantiles(long, ["column"], "v", QUARTILES).drop("n"), ["column"])
 
 
 def head(df: DataFrame, n: int = 6) -> DataFrame:

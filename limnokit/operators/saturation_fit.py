@@ -33,8 +33,6 @@ NEWTON_STEPS = 5
 PACKED_DOSES = 4096
 # Packed groups per task: the search costs about a millisecond of CPU a group
 GROUPS_PER_TASK = 250
-# Parameter tables of the aggregate rounds are broadcast up to this many rows
-BROADCAST_GROUPS = 100_000
 
 Terms = dict[str, Column]
 Field = Callable[[str], Column]
@@ -218,19 +216,19 @@ def _fit_packed(
 # --- groups with many doses -------------------------------------------------------
 
 
-def _pair(doses: DataFrame, params: DataFrame, keys: list[str], small: bool) -> DataFrame:
-    """Each compact row with its group's parameters."""
-    return null_safe_join(doses, F.broadcast(params) if small else params, keys, "inner")
+def _pair(doses: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
+    """Each compact row with its group's parameters, a settled table whose size Catalyst knows."""
+    return null_safe_join(doses, params, keys, "inner")
 
 
 def _sums(terms: Terms) -> list[Column]:
     return [F.sum(term).alias(name) for name, term in terms.items()]
 
 
-def _grid_round(doses: DataFrame, bounds: DataFrame, keys: list[str], steps: int, small: bool) -> DataFrame:
+def _grid_round(doses: DataFrame, bounds: DataFrame, keys: list[str], steps: int) -> DataFrame:
     lo, hi, step = F.col("km_lo"), F.col("km_hi"), F.col("step")
     scored = (
-        _pair(doses, bounds, keys, small)
+        _pair(doses, bounds, keys)
         .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps))))
         .withColumn("km", _candidate(lo, hi, step, steps))
         .groupBy(*keys, "km_lo", "km_hi", "step")
@@ -248,9 +246,9 @@ def _grid_round(doses: DataFrame, bounds: DataFrame, keys: list[str], steps: int
     )
 
 
-def _newton_round(doses: DataFrame, params: DataFrame, keys: list[str], small: bool) -> DataFrame:
+def _newton_round(doses: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
     sums = (
-        _pair(doses, params, keys, small)
+        _pair(doses, params, keys)
         .groupBy(*keys, "km", "km_lo", "km_hi")
         .agg(*_sums(_newton_terms(F.col, F.col("km"))))
     )
@@ -265,7 +263,6 @@ def _fit_wide(doses: DataFrame, keys: list[str], km_span: tuple[float, float], c
     the next round starts from a file.
     """
     facts = settle(doses.groupBy(*keys).agg(*_facts()).filter(F.col("n_doses") > 0), "dose-groups")
-    small = facts.count() <= BROADCAST_GROUPS
     used = doses.filter(F.col("x").isNotNull() & (F.col("n") > 0)).select(*keys, "x", "n", "y_mean", "spread")
     params = facts.select(
         *keys,
@@ -274,17 +271,17 @@ def _fit_wide(doses: DataFrame, keys: list[str], km_span: tuple[float, float], c
     )
     for steps in (COARSE_STEPS, FINE_STEPS):
         bounds = params.select(*keys, "km_lo", "km_hi")
-        params = settle(_grid_round(used, bounds, keys, steps, small), "fit-grid")
+        params = settle(_grid_round(used, bounds, keys, steps), "fit-grid")
     for _ in range(NEWTON_STEPS):
-        params = settle(_newton_round(used, params, keys, small), "fit-newton")
+        params = settle(_newton_round(used, params, keys), "fit-newton")
     final = (
-        _pair(used, params.select(*keys, "km"), keys, small)
+        _pair(used, params.select(*keys, "km"), keys)
         .groupBy(*keys, "km")
         .agg(*_sums(_search_terms(F.col, F.col("km"))))
         .select(*keys, "km", _best_vmax(F.col).alias("vmax"))
     )
     shape = (
-        _pair(used, settle(final, "fit-final"), keys, small)
+        _pair(used, settle(final, "fit-final"), keys)
         .groupBy(*keys, "vmax", "km")
         .agg(*_sums(_curvature_terms(F.col, F.col("vmax"), F.col("km"), covariance)))
     )

@@ -76,27 +76,27 @@ def flag_by_rule_table(
     spike: str = "spike_ug_l",
     name: str = "flag",
 ) -> DataFrame:
-    """The same flag from a table of rules, one rule per key at most.
+    """The same flag from a table of rules; several rules for one key hold side by side.
 
     Rows without a rule are false; rows with a missing key are unknown.
     """
-    prefixed = rules.select(*keys, *[F.col(b).alias(f"__{b}") for b in BOUNDS], F.lit(True).alias("__has_rule"))
-    joined = attach_group_values(df, prefixed, keys, "rules")
-
-    def passed(bound: str, test: Column) -> Column:
-        return F.col(f"__{bound}").isNull() | test
-
-    crossed = all_of(
-        [
-            passed("rate_lt", F.col(rate) < F.col("__rate_lt")),
-            passed("rate_gt", F.col(rate) > F.col("__rate_gt")),
-            passed("spike_eq", F.col(spike) == F.col("__spike_eq")),
-            passed("spike_ne", F.col(spike) != F.col("__spike_ne")),
-        ]
-    )
+    listed = rules.groupBy(*keys).agg(F.collect_set(F.struct(*BOUNDS)).alias("__rules"))
+    joined = attach_group_values(df, listed, keys, "rules")
+
+    def crossed(rule: Column) -> Column:
+        return all_of(
+            [
+                rule["rate_lt"].isNull() | (F.col(rate) < rule["rate_lt"]),
+                rule["rate_gt"].isNull() | (F.col(rate) > rule["rate_gt"]),
+                rule["spike_eq"].isNull() | (F.col(spike) == rule["spike_eq"]),
+                rule["spike_ne"].isNull() | (F.col(spike) != rule["spike_ne"]),
+            ]
+        )
+
     unknown = any_of([F.col(k).isNull() for k in keys])
-    flag = F.when(F.col("__has_rule"), crossed).when(unknown, F.lit(None).cast("boolean")).otherwise(F.lit(False))
-    return joined.withColumn(name, flag).drop(*[f"__{b}" for b in BOUNDS], "__has_rule")
+    some = F.when(F.col("__rules").isNotNull(), F.exists("__rules", crossed))
+    flag = some.when(unknown, F.lit(None).cast("boolean")).otherwise(F.lit(False))
+    return joined.withColumn(name, flag).drop("__rules")
 
 
 def screen_outliers(df: DataFrame, rules: Iterable[dict] = tuple(fixed.OUTLIER_RULES)) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -8,7 +9,6 @@ from pyspark.sql import functions as F
 
 from limnokit.operators import groups, histogram, joins, order_stats, ordered
 from limnokit.operators.loess import loess_curve
-from limnokit.operators import loess as loess_module
 from limnokit.operators.profile import head, profile
 from limnokit.operators.reshape import to_long
 
@@ -59,8 +59,7 @@ def test_roll_up_is_a_ratio_of_sums(spark):
     assert rows(groups.roll_up_share(counts, ["k"], "part", "total", "p", "t", "share")) == [("s", 10, 2, 0.2)]
 
 
-@pytest.mark.parametrize("buffered_rows", [10**6, 0])
-def test_box_stats_both_ways(spark, buffered_rows):
+def test_box_stats(spark):
     random.seed(2)
     groups_ = {
         "a": [random.lognormvariate(0, 2) for _ in range(501)],
@@ -72,7 +71,7 @@ def test_box_stats_both_ways(spark, buffered_rows):
     }
     data = [(g, v) for g, vs in groups_.items() for v in vs] + [("a", None), ("f", None)]
     df = spark.createDataFrame(data, "g string, v double").repartition(7)
-    got = {r.g: r for r in order_stats.box_stats(df, ["g"], "v", buffered_rows).collect()}
+    got = {r.g: r for r in order_stats.box_stats(df, ["g"], "v").collect()}
     assert set(got) == set(groups_)
     for g, values in groups_.items():
         q1, med, q3 = np.quantile(values, [0.25, 0.5, 0.75])
@@ -81,10 +80,31 @@ def test_box_stats_both_ways(spark, buffered_rows):
         want = (len(values), q1, med, q3, min([*inside, q1]), max([*inside, q3]), len(values) - len(inside))
         r = got[g]
         assert (r.n, r.q1, r.median, r.q3, r.whisker_low, r.whisker_high, r.n_outliers) == pytest.approx(want, rel=1e-12)
-    out = order_stats.box_outliers(df, ["g"], "v", buffered_rows=buffered_rows).filter("g = 'd'")
+    out = order_stats.box_outliers(df, ["g"], "v").filter("g = 'd'")
     assert rows(out) == [("d", 100.0)]
 
 
+def test_ranks_over_the_whole_range_of_doubles(spark):
+    """Infinities, NaN, both ends of the range, zeros, subnormals and neighbours, within the bound of rounds."""
+    random.seed(7)
+    values = [math.inf, -math.inf, math.nan, 1.7976931348623157e308, -1.7976931348623157e308, 0.0, 5e-324, -5e-324, 1.0]
+    values += [math.nextafter(1.0, 2.0), math.nextafter(1.0, 0.0)] * 2
+    values += [random.choice([-1, 1]) * 10.0 ** random.uniform(-320, 308) for _ in range(300)]
+    values += [1 + i * 2.0**-52 for i in range(200)]
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double").repartition(3)
+    order = sorted(values, key=lambda v: (math.isnan(v), v))
+    targets = spark.createDataFrame([("g", str(k), k) for k in range(1, len(values) + 1)], "g string, target string, rank bigint")
+    got = {r["rank"]: r["value"] for r in order_stats.select_ranks(df, ["g"], "v", targets).collect()}
+    assert len(got) == len(values)
+    for k, want in enumerate(order, 1):
+        assert got[k] == want or (math.isnan(got[k]) and math.isnan(want))
+
+
+def test_histogram_counts_finite_values(spark):
+    df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 2.5, math.inf, -math.inf, math.nan, None)], "v double")
+    assert sum(r["n"] for r in histogram.histogram(df, "v", 3).collect()) == 3
+
+
 def test_select_ranks_with_weights(spark):
     df = spark.createDataFrame([("g", 1.0, 3), ("g", 2.0, 1), ("g", 5.0, 2)], "g string, v double, n int")
     targets = spark.createDataFrame([("g", str(k), k) for k in range(1, 7)], "g string, target string, rank bigint")
@@ -155,10 +175,9 @@ def test_previous_and_running_sum_cross_slices(spark):
             assert sums[(s, d)] == (None if run is None else pytest.approx(run))
 
 
-@pytest.mark.parametrize("buffered_rows", [10**6, 0])
-def test_profile_and_reshape(spark, buffered_rows):
+def test_profile_and_reshape(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, 5), (4.0, 6)], "a double, b int")
-    got = {r.column: r for r in profile(df, ["a", "b"], quartiles=True, buffered_rows=buffered_rows).collect()}
+    got = {r.column: r for r in profile(df, ["a", "b"], quartiles=True).collect()}
     assert (got["a"].n_rows, got["a"].n_missing, got["a"].min, got["a"].max) == (3, 0, 1.0, 4.0)
     assert (got["b"].n_missing, got["b"].mean, got["b"].median) == (1, 5.5, 5.5)
     assert rows(to_long(df.withColumn("b", F.col("b").cast("double")), [], ["a", "b"], "k", "v"))[-1] == ("b", None)
@@ -175,9 +194,7 @@ def brute_loess(x, y, at, span=0.75):
     return np.linalg.lstsq(design * sw[:, None], y * sw, rcond=None)[0][0]
 
 
-@pytest.mark.parametrize("windowed", [20_000, 0])
-def test_loess_against_brute_force(spark, monkeypatch, windowed):
-    monkeypatch.setattr(loess_module, "WINDOWED_X", windowed)
+def test_loess_against_brute_force(spark):
     rng = np.random.default_rng(8)
     x = rng.integers(1, 13, 120).astype(float)
     y = np.sin(x / 3) + 0.1 * rng.standard_normal(120)

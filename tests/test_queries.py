@@ -6,8 +6,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check_queries import canonical
+from driver_queries.oracle import ORACLE
+from driver_queries.spark_queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,7 +25,7 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry(spark):
@@ -34,11 +36,11 @@ def test_entry(spark):
 CURVES = {"incubation_curves", "saturating_share"}
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - CURVES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - CURVES))
 def test_query_matches_sql(spark, duck, name):
-    df = queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = pd.DataFrame.from_records([tuple(r) for r in df.collect()], columns=df.columns).astype(object)
-    res = duck.execute(oracle_sql()[name])
+    res = duck.execute(ORACLE[name])
     want = pd.DataFrame.from_records(res.fetchall(), columns=[d[0] for d in res.description]).astype(object)
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got) == canonical(want)
