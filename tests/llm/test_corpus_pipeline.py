@@ -2,16 +2,17 @@
 
 from pathlib import Path
 
-import brute
 import corpus_pipeline
 import pytest
-from conftest import ITEMS, ordered
 
 from __spark_entry__ import oracle_sql, queries
 from limnokit.llm.pii import mask
 from limnokit.llm.quality import measure_quality
 from limnokit.session import settle
 
+from . import brute
+from .conftest import ITEMS, ordered
+
 SF = "/root/testdata/sf0.001"
 
 

@@ -3,12 +3,13 @@
 import random
 
 import pytest
-from conftest import prose
 from pyspark.sql import functions as F
 
 from limnokit.llm.secrets import FEATURES, describe, dictionary_from_ranks, find_candidates, label_by_convention, scan_secrets, score, train_forest
 from limnokit.llm.subwords import tokenizer_path
 
+from .conftest import prose
+
 
 @pytest.fixture(scope="module")
 def dictionary(spark):

@@ -4,10 +4,8 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
-import brute
 import numpy as np
 import pytest
-from conftest import ITEMS, ordered, prose
 
 from limnokit.llm import near_dedup
 from limnokit.llm.components import components
@@ -19,6 +17,9 @@ from limnokit.llm.subwords import CachedTokenizer, tokenizer_path
 from limnokit.llm.token_counts import count_tokens
 from limnokit.llm.token_store import PackedIds, pack_ids, read_token_files, store_tokens, write_token_files
 
+from . import brute
+from .conftest import ITEMS, ordered, prose
+
 
 def test_contamination(docs, no_docs, benchmark, rows):
     got = [tuple(r) for r in find_contamination(docs, benchmark).collect()]

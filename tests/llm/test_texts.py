@@ -2,11 +2,9 @@
 
 import random
 
-import brute
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import ordered
 
 from limnokit.llm import subwords
 from limnokit.llm.html_text import extract_text, visible_text
@@ -14,6 +12,9 @@ from limnokit.llm.pii import BASE_KINDS, find_personal_data, find_spans, mask, m
 from limnokit.llm.quality import keep_good, measure_quality
 from limnokit.llm.words import word_table
 
+from . import brute
+from .conftest import ordered
+
 PIECES = ["a", "B", "é", "É", "́", " ", "  ", "\n", "\t", "'s", "'", "1", "22", ".", "!", "\x85", "\xa0", "\x1c", "​", "\x00"]
 PIECES += ["<|endoftext|>", "漢字", "ß", "İ", "Σ", "😀", " ", "_", "’", "×", "ª", "²", "\r\n", "\x0b"]
 
