@@ -64,8 +64,8 @@ def label_rank(c: Column | str, labels: list[str]) -> Column:
 
 
 def any_of(conditions: list[Column]) -> Column:
-    """Three-valued OR of the conditions."""
-    return reduce(lambda a, b: a | b, conditions)
+    """Three-valued OR of the conditions; false without any."""
+    return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)
 
 
 def all_of(conditions: list[Column]) -> Column:

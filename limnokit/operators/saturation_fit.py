@@ -30,6 +30,8 @@ from limnokit.session import settle
 COARSE_STEPS = 48
 FINE_STEPS = 12
 NEWTON_STEPS = 5
+# A search has converged if one more step changes km by no more than this share
+SETTLED = 1e-6
 PACKED_DOSES = 4096
 # Packed groups per task: the search costs about a millisecond of CPU a group
 GROUPS_PER_TASK = 250
@@ -86,6 +88,11 @@ def _newton_km(s: Field, km: Column, km_lo: Column, km_hi: Column) -> Column:
     return F.greatest(F.least(km * F.exp(step), km_hi), km_lo)
 
 
+def _moved(after: Column, before: Column) -> Column:
+    """Share by which a step changes ``km``."""
+    return F.abs(after / before - 1)
+
+
 def _curvature_terms(d: Field, vmax: Column, km: Column, covariance: str) -> Terms:
     """Residual sum of squares and its Hessian in (vmax, km), from residuals."""
     n, shifted = d("n"), km + d("x")
@@ -206,11 +213,12 @@ def _fit_packed(
         return F.transform(sums, lambda s: _newton_km(lambda f: s[f], km, lo, hi))[0]
 
     out = out.withColumn("km", F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.col("km"), newton))
+    out = out.withColumn("moved", _moved(newton(F.col("km"), F.lit(0)), F.col("km")))
     sums = _fold(F.col("doses"), lambda d: _search_terms(d, F.col("km")))
     out = out.withColumn("sums", sums).withColumn("vmax", _best_vmax(lambda f: F.col(f"sums.{f}")))
     shape = _fold(F.col("doses"), lambda d: _curvature_terms(d, F.col("vmax"), F.col("km"), covariance))
     out = out.withColumn("shape", shape)
-    return out.select(*keys, *FACTS, "vmax", "km", "shape.rss", "shape.h_vv", "shape.h_vk", "shape.h_kk")
+    return out.select(*keys, *FACTS, "moved", "vmax", "km", "shape.rss", "shape.h_vv", "shape.h_vk", "shape.h_kk")
 
 
 # --- groups with many doses -------------------------------------------------------
@@ -253,7 +261,7 @@ def _newton_round(doses: DataFrame, params: DataFrame, keys: list[str]) -> DataF
         .agg(*_sums(_newton_terms(F.col, F.col("km"))))
     )
     moved = _newton_km(F.col, F.col("km"), F.col("km_lo"), F.col("km_hi"))
-    return sums.select(*keys, moved.alias("km"), "km_lo", "km_hi")
+    return sums.select(*keys, moved.alias("km"), _moved(moved, F.col("km")).alias("moved"), "km_lo", "km_hi")
 
 
 def _fit_wide(doses: DataFrame, keys: list[str], km_span: tuple[float, float], covariance: str) -> DataFrame:
@@ -273,19 +281,21 @@ def _fit_wide(doses: DataFrame, keys: list[str], km_span: tuple[float, float], c
         bounds = params.select(*keys, "km_lo", "km_hi")
         params = settle(_grid_round(used, bounds, keys, steps), "fit-grid")
     for _ in range(NEWTON_STEPS):
-        params = settle(_newton_round(used, params, keys), "fit-newton")
+        params = settle(_newton_round(used, params.select(*keys, "km", "km_lo", "km_hi"), keys), "fit-newton")
+    last = settle(_newton_round(used, params.select(*keys, "km", "km_lo", "km_hi"), keys), "fit-newton")
+    params = null_safe_join(params.select(*keys, "km"), last.select(*keys, "moved"), keys, "inner")
     final = (
-        _pair(used, params.select(*keys, "km"), keys)
-        .groupBy(*keys, "km")
+        _pair(used, settle(params, "fit-km"), keys)
+        .groupBy(*keys, "km", "moved")
         .agg(*_sums(_search_terms(F.col, F.col("km"))))
-        .select(*keys, "km", _best_vmax(F.col).alias("vmax"))
+        .select(*keys, "km", "moved", _best_vmax(F.col).alias("vmax"))
     )
     shape = (
         _pair(used, settle(final, "fit-final"), keys)
-        .groupBy(*keys, "vmax", "km")
+        .groupBy(*keys, "vmax", "km", "moved")
         .agg(*_sums(_curvature_terms(F.col, F.col("vmax"), F.col("km"), covariance)))
     )
-    return null_safe_join(facts, shape, keys, "inner").select(*keys, *FACTS, *SHAPE)
+    return null_safe_join(facts, shape, keys, "inner").select(*keys, *FACTS, "moved", *SHAPE)
 
 
 # --- the operator -------------------------------------------------------------------
@@ -314,6 +324,7 @@ def _with_errors(shapes: DataFrame, km_span: tuple[float, float]) -> DataFrame:
             F.when(undetermined, "singular")
             .when((F.col("km") <= low_end) | (F.col("km") >= high_end), "at_bound")
             .when(F.col("se_km").isNull(), "singular")
+            .when(~(F.col("moved") <= SETTLED), "unconverged")
             .otherwise("ok"),
         )
         .withColumns(
@@ -348,6 +359,7 @@ def saturation_fit(
       straight or flat data); the estimates are those at the end;
     * ``singular``: estimates without SE (no residual df, a single dose, or
       a curvature that cannot be inverted);
+    * ``unconverged``: inside the range, but one more step would still move ``km``;
     * ``failed``: no reading with a positive dose. No row unless kept.
     """
     if covariance not in ("observed", "gauss_newton"):

@@ -39,7 +39,7 @@ def convert_ammonium(raw: DataFrame, lake: DataFrame, skip_rows: int | None = No
     without a known size does not cause the readings to be shuffled.
     Rows without an incubation month are dropped by their blank label; with
     ``skip_rows`` they are instead dropped by position, as so many rows at
-    the head of the table sorted by month and vial.
+    the head of the table sorted by month and vial, then by all other columns.
     """
     labelled = raw.withColumn("shore", shore_of("location"))
     conditions = lake.select("shore", "inc_month", "temp_deg_c", "ph")
@@ -47,5 +47,8 @@ def convert_ammonium(raw: DataFrame, lake: DataFrame, skip_rows: int | None = No
     if skip_rows is None:
         kept = joined.filter((F.col("inc_month") != "") | F.col("inc_month").isNull())
     else:
-        kept = skip_head(joined, [F.col(c).asc_nulls_last() for c in ("inc_month", "vial_num")], skip_rows)
+        # the other columns break ties, so that equal keys spread and the same rows go each time
+        first = ["inc_month", "vial_num"]
+        order = [*first, *sorted(c for c in joined.columns if c not in first)]
+        kept = skip_head(joined, [F.col(c).asc_nulls_last() for c in order], skip_rows)
     return with_ammonium(kept).drop("nh3_mgn_l")

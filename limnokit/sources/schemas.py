@@ -41,6 +41,11 @@ TABLES: dict[str, dict[str, tuple[str, str]]] = {
         "p_value_km": ("double", "p_value_Km"),
         "std_error_vmax": ("double", "Std_Error_Vmax"),
         "p_value_vmax": ("double", "p_value_Vmax"),
+        "ci_low_km": ("double", "CI_low_Km"),
+        "ci_high_km": ("double", "CI_high_Km"),
+        "ci_low_vmax": ("double", "CI_low_Vmax"),
+        "ci_high_vmax": ("double", "CI_high_Vmax"),
+        "status": ("string", "status"),
     },
     "fit_linear": {
         "model_name": ("string", "model_name"),
@@ -80,6 +85,40 @@ TABLES: dict[str, dict[str, tuple[str, str]]] = {
     },
 }
 
+# The converted readings: the raw ones with shore, lake conditions and ammonium in place of ammonia
+TABLES["incubation_nh4"] = {k: v for k, v in TABLES["incubation_raw"].items() if k != "nh3_mgn_l"} | {
+    "shore": ("string", "Shore"),
+    "temp_deg_c": ("double", "Temp_degC"),
+    "ph": ("double", "pH"),
+    "nh4_mgn_l": ("double", "NH4_mgNL"),
+}
+TABLES["uptake_rates"] = {
+    "inc_month": ("string", "Inc_month"),
+    "site": ("string", "Site"),
+    "location": ("string", "Location"),
+    "depth": ("double", "Depth"),
+    "analyte": ("string", "Analyte"),
+    "spike_ug_l": ("double", "Spike_µg_L"),
+    "mean_spike_conc": ("double", "mean_spike_conc"),
+    "volume_lake_water_l": ("double", "Volume_lake_water_L"),
+    "type": ("string", "Type"),
+    "no2_no3_mgn_l": ("double", "NO2_NO3_mgNL"),
+    "nh4_mgn_l": ("double", "NH4_mgNL"),
+    "conc_ugn_l": ("double", "conc_ugNL"),
+    "ph": ("double", "pH"),
+    "weight_g": ("double", "Weight_g"),
+    "afdm_g": ("double", "AFDM_g"),
+    "real_icu_hrc": ("double", "real_icu_hrc"),
+    "delta_conc": ("double", "delta_conc"),
+    "delta_conc_hr": ("double", "delta_conc_hr"),
+    "water_delta_conc_hr": ("double", "water_delta_conc_hr"),
+    "net_delta_conc_hr": ("double", "net_delta_conc_hr"),
+}
+TABLES["outlier_rules"] = {
+    name: ("string" if name in ("site", "inc_month", "type", "analyte") else "double", name)
+    for name in ("site", "inc_month", "type", "analyte", "rate_lt", "rate_gt", "spike_eq", "spike_ne")
+}
+
 # Other spellings under which a header arrives
 HEADER_ALIASES = {"OM_%": ["OM_."], "Spike_µg_L": ["Spike_ug_L"]}
 

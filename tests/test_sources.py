@@ -64,3 +64,38 @@ def test_schemas_are_ascii_and_unique():
         assert all(name.isascii() and name == name.lower() for name in columns), table
         headers = [h for _, h in columns.values()]
         assert len(set(headers)) == len(headers)
+
+
+def test_stages_hand_on_every_column(spark, tmp_path):
+    """Raw readings to ammonium, rates and curves, each stage written and read back by its layout."""
+    from limnokit.plans.rates import RATE_COLUMNS, uptake_rates
+    from limnokit.plans.speciation import convert_ammonium
+    from limnokit.plans.workflows import rates_to_fits
+
+    base = dict.fromkeys(TABLES["incubation_raw"]) | {
+        "sample_date": dt.date(2023, 5, 24), "inc_month": "May", "site": "GB3m", "location": "GB", "analyte": "NO3", "depth": 3.0,
+        "actual_incubation_hrs": "6:30", "volume_lake_water_l": 0.1, "weight_g": 2.0, "afdm_g": 0.5, "om_percent": 1.0,
+    }
+    raw, vial = [], 0
+    for dose in (0.0, 100.0, 200.0, 400.0, 800.0):
+        for kind, drop in (("spike", 0.0), ("water", 0.001), ("sediment", 0.03 * dose / (150.0 + dose))):
+            vial += 1
+            raw.append({**base, "vial_num": vial, "type": kind, "spike_ug_l": dose, "no2_no3_mgn_l": 0.05 + dose / 1000 - drop})
+
+    def handed(df, name):
+        tables.write_parquet(df, str(tmp_path / name))
+        back = tables.read_table(spark, str(tmp_path / name), name)
+        assert set(back.columns) == set(df.columns) == set(TABLES[name])
+        assert rows(back.select(*df.columns)) == rows(df)
+        return back
+
+    schema = table_schema("incubation_raw")
+    readings = handed(spark.createDataFrame([tuple(r[f.name] for f in schema) for r in raw], schema), "incubation_raw")
+    lake = handed(spark.createDataFrame([("E", "May", 15.0, 8.0)], table_schema("lake_ph_temp")), "lake_ph_temp")
+    converted = handed(convert_ammonium(readings, lake), "incubation_nh4")
+    rates = handed(uptake_rates(converted), "uptake_rates")
+    assert rates.columns == RATE_COLUMNS and rates.count() == 5
+    fits = rates_to_fits(rates, [])
+    curves = handed(fits.saturation, "fit_mm")
+    handed(fits.linear, "fit_linear")
+    assert [r.model_name for r in curves.collect()] == ["GB3m_May_sediment_NO3"]
