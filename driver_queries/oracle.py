@@ -556,6 +556,11 @@ SELECT event_type, day, {r("level", 4, "level")}, {r("daily_delta", 4, "daily_de
   CASE WHEN daily_delta > 0 THEN 'Accumulate' WHEN daily_delta <= 0 THEN 'Melt' END AS quality,
   CAST(CASE WHEN daily_delta < 0 THEN 1 WHEN daily_delta >= 0 THEN 0 END AS INTEGER) AS rain
 FROM s""",
+    "previous_and_total": """
+WITH e AS (SELECT event_id, user_id, ts, CAST(nullif(floor(value), 7) AS DOUBLE) AS v FROM events)
+SELECT event_id, lag(v) OVER w AS previous,
+  CASE WHEN count(*) FILTER (v IS NULL) OVER w = 0 THEN sum(v) OVER w END AS total
+FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
     "scaled_union": """
 SELECT event_id, value AS discharge_cfs, 'GB' AS site, 'east' AS label, value * 0.0283168::DOUBLE AS discharge_cms,
   value * 0.0283168::DOUBLE / 10.64485::DOUBLE AS scale_q FROM events WHERE event_type = 'view'

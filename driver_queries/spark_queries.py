@@ -48,7 +48,7 @@ from limnokit.operators.joins import attach_group_values, drop_listed, keep_list
 from limnokit.operators.linear_fit import line_at, linear_fit
 from limnokit.operators.loess import loess_curve
 from limnokit.operators.order_stats import box_outliers, box_stats
-from limnokit.operators.ordered import skip_head
+from limnokit.operators.ordered import skip_head, with_previous, with_running_sum
 from limnokit.operators.predict import predict_grid, saturation_at, trend_line
 from limnokit.operators.profile import profile
 from limnokit.operators.reshape import to_long
@@ -455,6 +455,14 @@ def daily_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 4, "level", "daily_delta", "cumulative")
 
 
+def previous_and_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two window operators by themselves, on every event of a user."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.to_date("ts").alias("day"), F.nullif(F.floor("value"), F.lit(7)).cast("double").alias("v"))
+    keyed, order = ["user_id"], ["ts", "event_id"]
+    out = with_running_sum(with_previous(events, keyed, order, "v", "previous", "day"), keyed, order, "v", "total", "day")
+    return out.select("event_id", "previous", "total")
+
+
 def scaled_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("value").alias("discharge_cfs"))
     parts = []
@@ -744,6 +752,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "keep_distinct": keep_distinct,
     "global_counts": global_counts,
     "daily_delta": daily_delta,
+    "previous_and_total": previous_and_total,
     "scaled_union": scaled_union,
     "chem_long": chem_long,
     "month_profile": month_profile,

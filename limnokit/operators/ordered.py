@@ -93,3 +93,36 @@ def with_running_sum(
     whole = (F.col("__gaps") + F.col("__missing_before")) == 0
     total = F.when(whole, F.col("__sum") + F.col("__total_before"))
     return joined.withColumn(name, total).drop("__sum", "__gaps", "__total_before", "__missing_before")
+
+
+def with_change_and_total(
+    df: DataFrame, keys: list[str], order: list[str], value: str, slice_by: str, change: str, total: str, start: float = 0.0
+) -> DataFrame:
+    """Change since the previous row of the group (``start`` before the first) and its running total.
+
+    Both come from one summary of the slices (last value, missing values) and
+    one window within them. The changes of all slices before add up to the
+    last value before, less ``start``. The total is missing from the first
+    missing value on. Slices are as in :func:`with_previous`.
+    """
+    ends = df.groupBy(*keys, slice_by).agg(
+        F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__last"),
+        F.count_if(F.col(value).isNull()).alias("__missing"),
+    )
+    across = Window.partitionBy(*keys).orderBy(slice_by)
+    ahead = across.rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        *keys,
+        slice_by,
+        F.when(F.row_number().over(across) == 1, F.lit(start)).otherwise(F.lag("__last").over(across)["v"]).alias("__carried"),
+        F.coalesce(F.sum("__missing").over(ahead), F.lit(0)).alias("__missing_before"),
+    )
+    joined = null_safe_join(df, settle(carried, "slice-ends"), [*keys, slice_by])
+    within = Window.partitionBy(*keys, slice_by).orderBy(*order)
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    first = F.row_number().over(within) == 1
+    previous = F.when(first, F.col("__carried")).otherwise(F.lag(value).over(within))
+    out = joined.withColumn(change, F.col(value) - previous)
+    gaps = F.count_if(F.col(value).isNull()).over(upto) + F.col("__missing_before")
+    running = F.sum(change).over(upto) + F.col("__carried") - F.lit(start)
+    return out.withColumn(total, F.when(gaps == 0, running)).drop("__carried", "__missing_before")

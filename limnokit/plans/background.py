@@ -10,7 +10,7 @@ from limnokit.functions.clock import month_label, short_date
 from limnokit.functions.numeric import cfs_to_cms, is_in, label_rank, not_in, recode, ug_to_mg
 from limnokit.functions.text import contains_text
 from limnokit.operators.joins import keep_listed
-from limnokit.operators.ordered import with_previous, with_running_sum
+from limnokit.operators.ordered import with_change_and_total
 from limnokit.operators.reshape import to_long
 
 
@@ -63,9 +63,7 @@ def change_series(
     """
     sliced = df.withColumn("__month", F.trunc(date, "month") if slice_by is None else slice_by)
     order = [date, *(tie_break or [])]
-    out = with_previous(sliced, keys, order, level, "__previous", "__month", default=0.0)
-    out = out.withColumn("daily_delta", F.col(level) - F.col("__previous")).drop("__previous")
-    out = with_running_sum(out, keys, order, "daily_delta", "cumulative", "__month").drop("__month")
+    out = with_change_and_total(sliced, keys, order, level, "__month", "daily_delta", "cumulative").drop("__month")
     change = F.col("daily_delta")
     return out.withColumn("quality", F.when(change > 0, "Accumulate").when(change <= 0, "Melt")).withColumn(
         "rain", F.when(change < 0, 1).when(change >= 0, 0)
