@@ -325,31 +325,36 @@ FROM cells c LEFT JOIN lineitem l
   AND l.l_extendedprice <= c.upper + 1e-7 * (c.upper - c.lower)
 GROUP BY ALL"""
 
-LOESS = f"""
-WITH c AS (
-  SELECT event_type, CAST(hour(ts) AS DOUBLE) AS x, count(*) AS n, avg(value) AS y FROM events GROUP BY ALL),
+def loess_sql(ctes: str, key: str, source: str, x: str, y: str) -> str:
+    """Local quadratic regression on 80 points per group, neighbourhoods of 75 %."""
+    return f"""
+WITH {ctes} c AS (
+  SELECT {key}, CAST({x} AS DOUBLE) AS x, count(*) AS n, avg({y}) AS y FROM {source} GROUP BY ALL),
 g AS (
-  SELECT event_type, floor(sum(n) * 0.75 + 1e-5) AS q, min(x) AS lo, max(x) AS hi FROM c GROUP BY event_type),
-p AS (SELECT event_type, q, s.s AS point, lo + s.s * (hi - lo) / 79 AS at_x FROM g, range(80) s(s)),
+  SELECT {key}, floor(sum(n) * 0.75 + 1e-5) AS q, min(x) AS lo, max(x) AS hi FROM c GROUP BY {key}),
+p AS (SELECT {key}, q, s.s AS point, lo + s.s * (hi - lo) / 79 AS at_x FROM g, range(80) s(s)),
 d AS (
-  SELECT p.*, c.x, c.y, c.n, abs(c.x - p.at_x) AS dist FROM p JOIN c USING (event_type)),
+  SELECT p.*, c.x, c.y, c.n, abs(c.x - p.at_x) AS dist FROM p JOIN c USING ({key})),
 h AS (
-  SELECT event_type, point, min(dist) AS h FROM (
-    SELECT *, sum(n) OVER (PARTITION BY event_type, point ORDER BY dist
+  SELECT {key}, point, min(dist) AS h FROM (
+    SELECT *, sum(n) OVER (PARTITION BY {key}, point ORDER BY dist
       RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM d)
   WHERE upto >= q GROUP BY ALL),
 w AS (
-  SELECT event_type, point, at_x, y, x - at_x AS z, n * pow(1 - pow(dist / h, 3), 3) AS w
-  FROM d JOIN h USING (event_type, point) WHERE dist < h),
+  SELECT {key}, point, at_x, y, x - at_x AS z, n * pow(1 - pow(dist / h, 3), 3) AS w
+  FROM d JOIN h USING ({key}, point) WHERE dist < h),
 m AS (
-  SELECT event_type, point, at_x, sum(w) AS a, sum(w * z) AS b, sum(w * z * z) AS c, sum(w * z * z * z) AS d,
+  SELECT {key}, point, at_x, sum(w) AS a, sum(w * z) AS b, sum(w * z * z) AS c, sum(w * z * z * z) AS d,
     sum(w * z * z * z * z) AS e, sum(w * y) AS t, sum(w * y * z) AS u, sum(w * y * z * z) AS v
   FROM w GROUP BY ALL)
-SELECT event_type, CAST(point AS INTEGER) AS point, {r("at_x", 5, "x")},
+SELECT {key}, CAST(point AS INTEGER) AS point, {r("at_x", 5, "x")},
   {r("(t * (c * e - d * d) - u * (b * e - c * d) + v * (b * d - c * c))"
      " / (a * (c * e - d * d) - b * (b * e - c * d) + c * (b * d - c * c))", 5, "y")}
 FROM m"""
 
+
+LOESS = loess_sql("", "event_type", "events", "hour(ts)", "value")
+
 MM_SELECT = ",\n  ".join(
     r(e, 4, n)
     for n, e in {
@@ -672,6 +677,21 @@ SELECT sample, strftime(day, '%b') AS month, CAST(month(day) AS INTEGER) AS mont
   CASE WHEN position LIKE '%GB%' THEN 'GB' ELSE 'BW' END AS color_group,
   CAST({case_map("position", {p: i + 1 for i, p in enumerate(fixed.TEMPERATURE_POSITION_ORDER)})} AS INTEGER) AS position_rank, temp_c
 FROM w WHERE month(day) <= 9 AND position IS NOT NULL""",
+    "temperature_smooth": loess_sql(
+        f"""{CHEMISTRY},
+t AS (
+  SELECT CASE WHEN position LIKE '%GB%' THEN 'GB' ELSE 'BW' END AS color_group, month(day) AS m, temp_c
+  FROM (SELECT *, {case_map("site", fixed.SITE_POSITIONS)} AS position FROM chem WHERE water_year = 1995)
+  WHERE month(day) <= 9 AND position IS NOT NULL),""",
+        "color_group",
+        "t",
+        "m",
+        "temp_c",
+    ),
+    "report_order": f"""
+SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS INTEGER) AS site_rank,
+  CAST(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS INTEGER) AS month_rank,
+  CAST(CASE l_linestatus WHEN 'F' THEN 1 ELSE 3 END AS INTEGER) AS metric_rank FROM lineitem""",
     "mean_hours": f"""
 SELECT {r("avg(hour(ts) + minute(ts) / 60.0::DOUBLE)", 6, "mean_hours")} FROM events""",
     "csv_round_trip": SNOW_TABLE,

@@ -69,11 +69,12 @@ from limnokit.plans.screening import (
     screen_outliers,
     uptake_metrics,
     with_normalised_rate,
+    with_report_ranks,
     with_site_label,
     with_standardised_uptake,
 )
 from limnokit.plans.speciation import ammonia_fraction, convert_ammonium, shore_of
-from limnokit.plans.workflows import MODEL_KEYS, fits_to_summary, rates_to_fits
+from limnokit.plans.workflows import MODEL_KEYS, fits_to_summary, rates_to_fits, smooth_temperature
 from limnokit.session import settle, shared_dir
 from limnokit.sources.tables import read_table, union_tables, write_csv, write_parquet
 
@@ -617,6 +618,22 @@ def temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sample", "month", "month_rank", "position", "color_group", "position_rank", "temp_c")
 
 
+def temperature_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(smooth_temperature(temperature_profile(samples(spark, sf_dir), 1995)), 5, "x", "y")
+
+
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers, flags and states as sites, months and metrics, ranked for reports."""
+    labelled = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        recode("l_linenumber", {i + 1: x for i, x in enumerate(fixed.SITE_ORDER)}, keep_unmatched=False).alias("new_site"),
+        recode("l_returnflag", dict(zip(["A", "N", "R"], fixed.INCUBATION_MONTHS))).alias("inc_month"),
+        recode("l_linestatus", {"F": "raw_uptake", "O": "afdm_corrected"}).alias("metric"),
+    )
+    return with_report_ranks(labelled).drop("new_site", "inc_month", "metric")
+
+
 def mean_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean decimal hours of clock texts."""
     clocks = table(spark, sf_dir, "events").select(split_hours(F.date_format("ts", "H:mm")).alias("hours"))
@@ -774,6 +791,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snow": snow,
     "chemistry": chemistry,
     "temperature": temperature,
+    "temperature_smooth": temperature_smooth,
+    "report_order": report_order,
     "mean_hours": mean_hours,
     "csv_round_trip": csv_round_trip,
     "parquet_hand_off": parquet_hand_off,

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limnokit import fixed_values as fixed
-from limnokit.functions.numeric import all_of, any_of, positive_ratio, ratio, recode
+from limnokit.functions.numeric import all_of, any_of, label_rank, positive_ratio, ratio, recode
 from limnokit.functions.text import leading_letters, paste, without_text
 from limnokit.operators.groups import group_count
 from limnokit.operators.joins import attach_group_values
+from limnokit.operators.order_stats import box_stats
 from limnokit.operators.reshape import to_long
 
 RULE_KEYS = ["site", "inc_month", "type", "analyte"]
@@ -140,3 +141,15 @@ def with_standardised_uptake(df: DataFrame, rate: str = "net_rate_om", dose: str
     """Control label and uptake per unit of dose (spiked rows only)."""
     label = F.when(F.col(dose) == 0, "control").when(F.col(dose).isNotNull(), "spiked")
     return df.withColumn("is_control", label).withColumn("standardized_uptake", positive_ratio(rate, dose))
+
+
+def with_report_ranks(df: DataFrame, site: str = "new_site", month: str = "inc_month", metric: str = "metric") -> DataFrame:
+    """Places of sites, months and metrics in report order, for those of the columns that there are."""
+    orders = {"site_rank": (site, fixed.SITE_ORDER), "month_rank": (month, fixed.INCUBATION_MONTHS), "metric_rank": (metric, fixed.UPTAKE_METRICS)}
+    return df.withColumns({rank: label_rank(column, labels) for rank, (column, labels) in orders.items() if column in df.columns})
+
+
+def rate_figures(rates: DataFrame, value: str = "net_rate_om", dose: str = "mean_spike_conc") -> DataFrame:
+    """Box statistics of the spiked rows by zone label, month and analyte, with their ranks in reports."""
+    spiked = with_site_label(rates).filter(F.col(dose) > 0)
+    return with_report_ranks(box_stats(spiked, ["new_site", "inc_month", "analyte"], value))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from limnokit import fixed_values as fixed
 from limnokit.operators.linear_fit import linear_fit
+from limnokit.operators.loess import loess_curve
 from limnokit.operators.saturation_fit import saturation_fit
+from limnokit.plans.background import chemistry_long, discharge_series, snow_series, temperature_profile
 from limnokit.plans.catalogue import (
     fit_catalogue,
     incubation_counts,
@@ -84,3 +86,27 @@ def fits_to_summary(
     catalogue = fit_catalogue(saturation, linear, excluded)
     shares = significance_shares(catalogue)
     return Summary(catalogue, incubation_counts(catalogue), shares, significance_roll_up(shares))
+
+
+@dataclass
+class Context:
+    """Discharge, snow, chemistry and temperature beside the incubations."""
+
+    discharge: DataFrame
+    snow: DataFrame
+    chemistry: DataFrame
+    temperature: DataFrame
+    temperature_curve: DataFrame
+
+
+def smooth_temperature(profile: DataFrame) -> DataFrame:
+    """Local regression of temperature on the month, by colour group."""
+    return loess_curve(profile, ["color_group"], "month_rank", "temp_c")
+
+
+def context_series(discharge: DataFrame, snow: DataFrame, chemistry: DataFrame, water_year: int = fixed.WATER_YEAR) -> Context:
+    """The daily and sampled tables to the context series and their smooth."""
+    profile = temperature_profile(chemistry, water_year)
+    return Context(
+        discharge_series(discharge), snow_series(snow), chemistry_long(chemistry, water_year), profile, smooth_temperature(profile)
+    )

@@ -420,3 +420,19 @@ def test_temperature_profile(spark):
     got = background.temperature_profile(chemistry(spark)).collect()
     # October is a label but not reported; unplaced sites are left out
     assert [(r.site, r.month, r.month_rank, r.color_group, r.position_rank) for r in got] == [("GBNS1", "May", 5, "GB", 3)]
+
+
+def test_rate_figures_and_context(spark):
+    data = [("BW0.5m", 0.5, "May", "NO3", dose, float(v)) for dose in (0.0, 100.0) for v in range(1, 6)]
+    df = spark.createDataFrame(data, "site string, depth double, inc_month string, analyte string, mean_spike_conc double, net_rate_om double")
+    (r,) = screening.rate_figures(df).collect()
+    assert (r.new_site, r.n, r.q1, r.median, r.q3, r.month_rank) == ("BWINT", 5, 2.0, 3.0, 4.0, 1)
+    assert r.site_rank == 1
+    day = dt.date(2023, 1, 1)
+    discharge = spark.createDataFrame([("10336730", day, 10.0)], table_schema("discharge_daily"))
+    snow = spark.createDataFrame([(615, day, 1.0), (615, dt.date(2023, 1, 2), 3.0)], table_schema("snow_daily"))
+    samples = [(2023, "GBNS1", f"{m}/5/23", 1.0, 0.1, None, 2.0, float(m)) for m in range(1, 10)]
+    context = workflows.context_series(discharge, snow, spark.createDataFrame(samples, table_schema("chemistry")))
+    assert context.discharge.count() == 1 and context.chemistry.count() == 27 and context.temperature.count() == 9
+    assert [r.cumulative for r in context.snow.orderBy("date").collect()] == [1.0, 3.0]
+    assert all(abs(r.y - r.x) < 1e-9 for r in context.temperature_curve.collect())
