@@ -105,7 +105,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     """Write the ids of every text, each followed by ``end_id``, in ascending order of ``doc_id``.
 
     Null texts are empty, so they give the end id alone. Rows with the same id
-    follow each other in order of their text; null ids come first. A document
+    follow each other in order of Spark's hash of their text; null ids come first. A document
     is never cut: a longer one than ``block_tokens`` has a block to itself.
     """
     tokenizer = tokenizer or tokenizer_path("word_bpe_49k.json")
@@ -136,9 +136,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         if held:
             yield flush()
 
-    docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(
-        encode, BLOCK_SCHEMA
-    ).write.parquet(path)
+    # a hash of the text after the id: rows that share an id, or have none, spread over several ranges
+    keyed = docs.select(F.col("doc_id").cast("long"), "text").withColumn("tie", F.xxhash64("text"))
+    ranges = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    ranges.select("doc_id", "text").mapInArrow(encode, BLOCK_SCHEMA).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

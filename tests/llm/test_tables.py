@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from limnokit.llm import near_dedup
 from limnokit.llm.components import components
@@ -124,7 +125,8 @@ def ids_of(texts, name, end):
 
 def test_token_files(spark, docs, no_docs, rows, tmp_path):
     want, start = [], 0
-    ordering = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    tie = dict(docs.select("text", F.xxhash64("text")).collect())
+    ordering = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]))
     for (doc_id, _), ids in zip(ordering, ids_of([t or "" for _, t in ordering], "word_bpe_49k.json", 1), strict=True):
         want.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
