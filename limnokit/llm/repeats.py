@@ -31,13 +31,14 @@ from limnokit.llm.words import WordTable, mix, word_table
 from limnokit.session import settle
 
 _U = np.uint64
+_HIGH = _U(0xFFFFFFFF00000000)
 #: Period -> places, each a perfect difference set (fixed values).
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 #: Anchors only nominate windows, so these many bits of their hashes do.
 ANCHOR_BITS = 48
 #: Rows a task combines at a time.
 COMBINE_ROWS = 2_000_000
-_PLACE = "key bigint, id bigint, pos int, check bigint, known boolean"
+_PLACE = "key bigint, id bigint, pos int, known boolean"
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
@@ -65,19 +66,19 @@ class _Combiner:
         self.parts, self.rows = [], 0
         order = np.argsort(keys, kind="stable")
         keys, ids, pos = keys[order], ids[order], pos[order]
-        check = (keys >> _U(32)).astype(np.int64)
         same = keys[1:] == keys[:-1]
         later, known = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
         later[1:] = same
         known[1:] |= same
         known[:-1] |= same
-        # all but the first of equal keys are settled here and need not meet others
-        keys[later] = mix(ids[later].view(_U) ^ mix(pos[later].astype(_U)))
+        # all but the first of equal keys are settled here and need not meet others; the high half stays as a check
+        own = mix(ids[later].view(_U) ^ mix(pos[later].astype(_U)))
+        keys[later] = (keys[later] & _HIGH) | (own & ~_HIGH)
         for a in range(0, len(keys), 100_000):
             cut = slice(a, a + 100_000)
             yield pa.record_batch(
-                [keys[cut].view(np.int64), ids[cut], pos[cut].astype(np.int32), check[cut], pa.array(known[cut])],
-                ["key", "id", "pos", "check", "known"],
+                [keys[cut].view(np.int64), ids[cut], pos[cut].astype(np.int32), pa.array(known[cut])], ["key", "id", "pos", "known"]
+
             )
 
 
@@ -177,14 +178,14 @@ def _digests(window: int, listed: bool) -> Callable[[Iterable[pa.RecordBatch]],
 
 
 def repeated_words(table: WordTable, places: pa.Array, window: int) -> np.ndarray:
-    """Mask of the words under the windows listed per text, checked by the high half of their hashes."""
+    """Mask of the words under the windows listed per text as high half of the hash | place, which is checked."""
     keys, full = _window_keys(table, window)
     row, values = _flat(places)
-    place = values.field("pos").to_numpy(zero_copy_only=False).astype(np.int64)
-    check = values.field("check").to_numpy(zero_copy_only=False).astype(np.int64)
+    packed = values.to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
+    place = (packed & ~_HIGH).astype(np.int64)
     fits = place < np.diff(table.first)[row]
     at = table.first[row[fits]] + place[fits]
-    ours = full[at] & ((keys[at] >> _U(32)).astype(np.int64) == check[fits])
+    ours = full[at] & (((keys[at] ^ packed[fits]) & _HIGH) == 0)
     edge = np.zeros(len(table.start) + 1, np.int64)
     np.add.at(edge, at[ours], 1)
     np.add.at(edge, at[ours] + window, -1)
@@ -231,12 +232,12 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     windows = likely.select("id", "text").join(anchored, "id").mapInArrow(_candidates(window), _PLACE)
     repeated = (
         met_twice(windows)
-        .select("id", F.struct("pos", "check").alias("place"))
+        .select("id", F.col("key").bitwiseAND(F.lit(-1 << 32)).bitwiseOR(F.col("pos").cast("long")).alias("place"))
         .groupBy("id")
         .agg(F.collect_list("place").alias("places"))
     )
     out = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
-    changed = likely.join(repeated, "id", "left").select("doc_id", "text", F.coalesce("places", F.array().cast("array<struct<pos:int,check:bigint>>")).alias("places"))
+    changed = likely.join(repeated, "id", "left").select("doc_id", "text", F.coalesce("places", F.array().cast("array<bigint>")).alias("places"))
     return changed.mapInArrow(_digests(window, True), out).unionByName(clean.select("doc_id", "text").mapInArrow(_digests(window, False), out))
 
 
