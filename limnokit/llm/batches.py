@@ -8,8 +8,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# Workers live long and share an executor's memory: batches that are done go back to the system.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Text bytes a task works on at once; one longer text makes a piece by itself.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def text_pieces(

@@ -78,7 +78,7 @@ def super_minhash(docs: np.ndarray, keys: np.ndarray, n_docs: int, m: int) -> np
             place = step
         else:
             if order is None:  # after the first round: the order with its first swap made
-                order = np.tile(np.arange(m, dtype=np.uint16), (len(live_key), 1))
+                order = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(live_key), 1))
                 rows = np.arange(len(live_key))
                 drawn0 = mix(live_key + _step(1))
                 step0 = ((drawn0 & _U(0xFFFFFFFF)) * _U(m) >> _U(32)).astype(np.int64)
@@ -171,8 +171,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _verify(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ours, theirs = batch.column("items").to_pylist(), batch.column("pivot_items").to_pylist()
-            ok = [similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(ours, theirs, strict=True)]
+            ours, theirs = batch.column("items"), batch.column("pivot_items")
+            ok = [similar(*(np.frombuffer(x[i].as_buffer(), "<u8") for x in (ours, theirs)), percent) for i in range(batch.num_rows)]
             yield batch.select(["class", "pivot"]).filter(pa.array(ok, pa.bool_()))
 
     return run

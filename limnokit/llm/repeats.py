@@ -37,7 +37,7 @@ COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14,
 #: Anchors only nominate windows, so these many bits of their hashes do.
 ANCHOR_BITS = 48
 #: Rows a task combines at a time.
-COMBINE_ROWS = 2_000_000
+COMBINE_ROWS = 500_000
 _PLACE = "key bigint, id bigint, pos int, known boolean"
 
 

@@ -26,7 +26,7 @@ from limnokit.llm.words import WORD_BYTES, span_hashes, word_bounds
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Units and pre-tokens a worker keeps; when there are more it starts anew.
-KEPT_UNITS, KEPT_PIECES = 3_000_000, 400_000
+KEPT_UNITS, KEPT_PIECES = 1_500_000, 150_000
 
 _PLAIN = re.compile("[\n ]?[!-~\xa1-\xff]+")
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"

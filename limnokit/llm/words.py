@@ -42,7 +42,7 @@ class _Powers:
 
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = max(n, 1 << 20)
             self.up = np.full(size, self.base, _U)
             self.down = np.full(size, self.inverse, _U)
             self.up[0] = self.down[0] = 1
