@@ -104,6 +104,13 @@ def test_entropy_and_bands(spark):
     assert abs(found[1]["token_entropy"] + (share * np.log2(share)).sum()) < 1e-9
 
 
+def test_bands_reject_labelled_bad_texts(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    found = measure_quality(docs).filter("NOT base_failed AND n_tokens >= 64").join(labels, "doc_id").groupBy("quality").agg({"*": "count", "kept": "count_if"})
+    n = {r["quality"]: (r["count_if(kept)"], r["count(1)"]) for r in found.collect()}
+    assert n[0][0] < 0.2 * n[0][1] and n[1][0] > 0.98 * n[1][1]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><ul><li>a<li>b<ol><li>x<li value=5>y</ol><li>c</ul>
 <p>One <b>two</b>
 three<p>Four<br>five &amp; six<div style="display: none">no</div><span hidden>no</span>
