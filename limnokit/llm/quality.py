@@ -4,7 +4,7 @@ Fertility measures are taken over all tokens of the whole text: characters per
 token, share of tokens that are not whole characters (the vocabulary fell back
 to bytes) and entropy of the tokens in bits. A band of accepted values is
 stated per language, with one per script for other languages. Texts of fewer
-than ``min_tokens`` tokens are too short to judge by these and pass.
+than ``min_tokens`` tokens are judged by bands that widen with ``1/sqrt(n)``.
 """
 
 from __future__ import annotations
@@ -58,8 +58,8 @@ LANGUAGE_BANDS = {
 SCRIPT_BANDS = {
     "latin": Band(1.3, 8.0, 0.20, 0.45),
     "two_byte": Band(0.35, 4.0, 0.95, 0.35),  # Greek, Cyrillic, Hebrew, Arabic and neighbours
-    "three_byte": Band(0.2, 3.0, 1.0, 0.35),  # Indic, Thai, Han, Kana, Hangul
-    "none": Band(0.0, 1e9, 1.0, 0.0),
+    "three_byte": Band(0.38, 3.0, 0.99, 0.35),  # Indic, Thai, Han, Kana, Hangul
+    "none": Band(1.6, 6.0, 0.20, 0.52),  # tables of numbers, dates and prices pass; symbols and rows of few digits do not
 }
 _SCRIPTS = np.array(list(SCRIPT_BANDS))
 _BYTE_TOKENS: dict[int, np.ndarray] = {}
@@ -137,7 +137,9 @@ def _scripts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _least_entropy(n: np.ndarray, share: np.ndarray, rise: np.ndarray, min_tokens: int, full: int) -> np.ndarray:
     """Least accepted entropy of texts of ``n`` tokens, as ``Band`` has it; no ``rise`` is NaN."""
     flat = share * np.log2(np.clip(n, 2, full))
-    bent = share * np.log2(full) + rise * np.log2(np.clip(n, min(min_tokens, full), 2 * full) / full)
+    least = min(max(min_tokens, 2), full)
+    bent = share * np.log2(full) + rise * np.log2(np.clip(n, least, 2 * full) / full)
+    bent *= np.log2(np.clip(n, 2, least)) / np.log2(least)  # the share of min_tokens holds below
     return np.where(np.isnan(rise), flat, bent)
 
 
@@ -154,10 +156,10 @@ def judge(
     numbers = [(b.low, b.high, b.byte_share, b.entropy, np.nan if b.rise is None else b.rise) for b in bands]
     low, high, most_bytes, least_entropy, rise = np.array(numbers, float).reshape(-1, 5).T
     failed = (n_words < 10) | (100 * n_repeat > 20 * n_words)
-    long = n_tokens >= min_tokens
+    slack = np.where(n_tokens < min_tokens, 1 / np.sqrt(np.maximum(n_tokens, 1)), 0.0)
     floor = _least_entropy(n_tokens, least_entropy, rise, min_tokens, full)
     verdict = np.select(
-        [failed, long & ((chars < low) | (chars > high)), long & (byte_share > most_bytes), long & (entropy < floor)],
+        [failed, (chars < low * (1 - slack)) | (chars > high * (1 + slack)), byte_share > most_bytes + slack, entropy < floor * (1 - slack)],
         ["base", "chars_per_token", "byte_share", "token_entropy"],
         "kept",
     )

@@ -111,6 +111,19 @@ def test_bands_reject_labelled_bad_texts(spark):
     assert n[0][0] < 0.2 * n[0][1] and n[1][0] > 0.98 * n[1][1]
 
 
+def test_no_class_of_texts_passes_unjudged(spark):
+    r = random.Random(3)
+    symbols = " ".join("".join(r.choice("#*$%&|<>!?~^=+-_/") for _ in range(r.randint(1, 6))) for _ in range(120))
+    han = " ".join("".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(4)) for _ in range(60))
+    numbers = " ".join(f"{r.randrange(500)}.{r.randrange(100):02d}" for _ in range(120))
+    korean = "어제는 친구와 함께 도서관에 갔습니다. 우리는 시험 공부를 하고 점심에는 김밥을 먹었습니다. 날씨가 좋아서 공원을 걸으며 이야기를 나누었습니다."
+    short = "x# q% z$ 7& k* v| b< j> w# y% n$ c&"
+    rows = [(1, symbols, None), (2, han, None), (3, short, "en"), (4, numbers, None), (5, korean, None), (6, "The boat left the small harbour before noon and came back late.", "en")]
+    found = {x["doc_id"]: x for x in measure_quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert [found[i]["verdict"] for i in range(1, 7)] == ["chars_per_token", "byte_share", "chars_per_token", "kept", "kept", "kept"]
+    assert found[1]["script"] == "none" and found[2]["script"] == found[5]["script"] == "three_byte" and found[3]["n_tokens"] < 64
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><ul><li>a<li>b<ol><li>x<li value=5>y</ol><li>c</ul>
 <p>One <b>two</b>
 three<p>Four<br>five &amp; six<div style="display: none">no</div><span hidden>no</span>
