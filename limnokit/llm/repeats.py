@@ -134,7 +134,7 @@ def _candidates(window: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa
             keys, full = _window_keys(table, window)
             row, values = _flat(rows.column("places"))
             place = values.to_numpy(zero_copy_only=False).astype(np.int64)
-            fits = place < np.diff(table.first)[row]  # places of another row of the same id may lie beyond
+            fits = place < np.diff(table.first)[row]  # those of another text with the same hash may lie beyond
             at = table.first[row[fits]] + place[fits]
             edge = np.zeros(len(table.start) + 1, np.int64)
             np.add.at(edge, np.maximum(at - period + 1, table.first[row[fits]]), 1)
@@ -209,20 +209,31 @@ def _within(bitmap, inside: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterat
     return run
 
 
+def keyed_by_text(docs: DataFrame) -> DataFrame:
+    """``doc_id, id, text``; only rows equal in both share an ``id``, a hash."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, "text").alias("id"), "text")
+
+
+def gathered(places: DataFrame) -> DataFrame:
+    """The distinct ``places`` of each ``id``."""
+    return places.groupBy("id").agg(F.collect_set("place").alias("places"))
+
+
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept_text`` of every row of ``docs`` (``doc_id``, ``text``).
 
     A word (a run of anything but ASCII white space) is removed if a window of
     ``window`` words over it starts anywhere else too, in its own text or
     another row. ``kept_text`` joins the rest by one space. Null texts have no
-    words. Repeated rows repeat each other. Rows of one id with other texts
-    are kept apart by hashes of their windows; rows without an id go by a hash
-    of their text. Texts shorter than a window lose nothing.
+    words. Repeated rows repeat each other. Places are gathered by a hash of id
+    and text and each once, so an array is bounded by one text however many
+    rows share an id. Texts shorter than a window lose nothing.
     """
     spark = docs.sparkSession
-    work = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), "text")
+    work = keyed_by_text(docs)
     anchored = settle(
-        met_twice(work.select("id", "text").mapInArrow(_anchors(window), _PLACE)).groupBy("id").agg(F.collect_set("pos").alias("places")),
+        gathered(met_twice(work.select("id", "text").mapInArrow(_anchors(window), _PLACE)).select("id", F.col("pos").alias("place"))),
         "anchored",
     )
     hashed = anchored.select("id").mapInArrow(_mixed_ids, "key bigint")
@@ -230,12 +241,8 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     shape = "doc_id bigint, id bigint, text string"
     likely, clean = (work.mapInArrow(_within(bitmap, x), shape) for x in (True, False))
     windows = likely.select("id", "text").join(anchored, "id").mapInArrow(_candidates(window), _PLACE)
-    repeated = (
-        met_twice(windows)
-        .select("id", F.col("key").bitwiseAND(F.lit(-1 << 32)).bitwiseOR(F.col("pos").cast("long")).alias("place"))
-        .groupBy("id")
-        .agg(F.collect_list("place").alias("places"))
-    )
+    place = F.col("key").bitwiseAND(F.lit(-1 << 32)).bitwiseOR(F.col("pos").cast("long"))
+    repeated = gathered(met_twice(windows).select("id", place.alias("place")))
     out = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
     changed = likely.join(repeated, "id", "left").select("doc_id", "text", F.coalesce("places", F.array().cast("array<bigint>")).alias("places"))
     return changed.mapInArrow(_digests(window, True), out).unionByName(clean.select("doc_id", "text").mapInArrow(_digests(window, False), out))

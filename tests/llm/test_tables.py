@@ -13,7 +13,7 @@ from limnokit.llm.components import components
 from limnokit.llm.decontam import drop_contaminated, find_contamination
 from limnokit.llm.near_dedup import keep_one_of_each, near_duplicates, super_minhash
 from limnokit.llm.packing import best_fit, complete_bins, lower_bound, pack_documents
-from limnokit.llm.repeats import COVERS, cover_for, remove_repeats
+from limnokit.llm.repeats import COVERS, cover_for, gathered, keyed_by_text, remove_repeats
 from limnokit.llm.subwords import CachedTokenizer, tokenizer_path
 from limnokit.llm.token_counts import count_tokens
 from limnokit.llm.token_store import PackedIds, pack_ids, read_token_files, store_tokens, write_token_files
@@ -98,6 +98,17 @@ def test_repeats(docs, no_docs, rows, window):
         assert remove_repeats(no_docs).count() == 0
 
 
+def test_repeat_places_are_bounded_by_one_text(spark):
+    texts = [prose(900 + i, 60) for i in range(30)]
+    rows = [(7, t) for t in texts] + [(7, texts[0])] * 30 + [(None, texts[0])] * 30
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    keyed = keyed_by_text(docs)
+    assert keyed.select("id").distinct().count() == 31
+    places = gathered(keyed.select("id", F.explode(F.sequence(F.lit(0), F.lit(25))).alias("place")))
+    assert {len(r["places"]) for r in places.collect()} == {26}
+    assert ordered(tuple(r)[:4] for r in remove_repeats(docs).collect()) == ordered(brute.repeats(rows, 35))
+
+
 def test_covers_hold_every_difference():
     for period, cover in COVERS.items():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
