@@ -5,7 +5,8 @@ nested open and close events: it supplies implied end tags (``p``, ``li``, ``dt`
 ``td``, ``tr``, ``option`` and others), ignores stray ones and closes what the
 end leaves open. A renderer walks the events: what is not displayed (``head``,
 scripts, ``hidden``, ``display:none``, ``aria-hidden``, closed ``details``) gives no
-text; white space collapses except in ``pre``; blocks start new lines, and
+text, nor do titles, descriptions and definitions of ``svg`` and annotations of
+``math``, which else are inline (parts of a formula run together); white space collapses except in ``pre``; blocks start new lines, and
 paragraphs, headings, lists and tables are set off by an empty line; list items
 carry a bullet or their number; cells of a table are aligned in columns. No
 step recurses, so depth does not matter.
@@ -32,8 +33,18 @@ _BLANKS = re.compile(r"[ \t\r\n\f]+")
 _UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript template svg math".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes datalist audio video canvas object map rp title".split())
+RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript template".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes datalist audio video canvas object rp title".split())
+#: Roots of foreign content: inline, but for what describes or defines. There ``/>`` ends any element.
+FOREIGN = frozenset({"svg", "math"})
+FOREIGN_UNSEEN = frozenset("desc defs metadata annotation annotation-xml".split())
+#: Elements of foreign content set apart by a space.
+_SPACED = frozenset({"text", "mtd"})
+#: HTML again inside foreign content, and the start tags that end it elsewhere.
+_HTML_INSIDE = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+_ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 SET_OFF = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure".split())
 BLOCKS = SET_OFF | frozenset(
     "html body address article aside dd details dialog div dt fieldset figcaption footer form header hgroup hr legend li main nav option optgroup search section select summary caption thead tbody tfoot tr center dir menu".split()
@@ -64,8 +75,14 @@ _TABLE_PARTS = frozenset("td th tr thead tbody tfoot caption colgroup".split())
 def tree_events(html: str) -> Iterator[tuple[str, str, str]]:
     """``(kind, name or text, attributes)``, kind ``<``, ``>`` or ``t``; every open element is closed."""
     stack: list[str] = []
+    roots: list[int] = []  # places of svg and math in the stack
     at, n = 0, len(html)
 
+    def foreign() -> bool:
+        while roots and (roots[-1] >= len(stack) or stack[roots[-1]] not in FOREIGN):
+            roots.pop()
+        return bool(roots) and _HTML_INSIDE.isdisjoint(stack[roots[-1] + 1 :])
+
     def implied(tag: str) -> Iterator[tuple[str, str, str]]:
         for i in range(len(stack) - 1, -1, -1):
             name = stack[i]
@@ -100,11 +117,16 @@ def tree_events(html: str) -> Iterator[tuple[str, str, str]]:
                         break
         elif found.group(2):
             name, rest = found.group(2).lower(), found.group(3)
+            inside = bool(roots) and foreign()
+            while inside and name in _ENDS_FOREIGN:
+                while len(stack) > roots[-1]:
+                    yield ">", stack.pop(), ""
+                inside = foreign()
             yield from implied(name)
             yield "<", name, rest
-            if name in VOID or (rest.endswith("/>") and name in ("svg", "math")):
+            if name in VOID or (rest.endswith("/>") and (inside or name in FOREIGN)):
                 yield ">", name, ""
-            elif name in RAW:
+            elif name in RAW and not (inside and name == "title"):
                 end = re.compile(f"</{re.escape(name)}[\\s/>]", re.I).search(html, at)
                 stop = end.start() if end else n
                 if name in ("textarea", "xmp", "title") and stop > at:
@@ -114,6 +136,8 @@ def tree_events(html: str) -> Iterator[tuple[str, str, str]]:
                 if at == 0:
                     at = n
             else:
+                if name in FOREIGN:
+                    roots.append(len(stack))
                 stack.append(name)
     while stack:
         yield ">", stack.pop(), ""
@@ -197,7 +221,7 @@ def visible_text(html: str | None) -> str:
     if not html:
         return ""
     lines = _Lines()
-    unseen, pre, opened = 0, 0, False
+    unseen, pre, opened, foreign = 0, 0, False, 0
     open_: list[tuple] = []  # name, what to restore at its end
     lists: list[int | None] = []
     tables: list[dict] = []
@@ -219,7 +243,8 @@ def visible_text(html: str | None) -> str:
                 lines.text(_BLANKS.sub(" ", text))
         elif kind == "<":
             values = attributes(rest) if len(rest) > 1 else {}
-            gone = value in UNSEEN or (bool(values) and _unseen(value, values))
+            foreign += value in FOREIGN
+            gone = value in UNSEEN or (foreign > 0 and value in FOREIGN_UNSEEN) or (bool(values) and _unseen(value, values))
             if value == "details" and "open" not in values:
                 gone = False
                 open_.append((value, "closed"))
@@ -267,11 +292,14 @@ def visible_text(html: str | None) -> str:
                     lines = _Lines()
         else:
             name, state = open_.pop()
+            foreign -= name in FOREIGN
             if state is True:
                 unseen -= 1
                 continue
             if unseen:
                 continue
+            if foreign and name in _SPACED:
+                lines.text(" ")
             if name in ("td", "th") and tables and tables[-1].get("before"):
                 lines.end_line()
                 tables[-1]["rows"][-1].append((lines.done or [""], max(1, tables[-1].pop("span", 1))))

@@ -141,6 +141,17 @@ def test_layout():
     assert visible_text("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
 
 
+def test_formulas_labels_and_maps_are_visible():
+    assert visible_text("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be</p>") == "Let x=2 be"
+    label = "<svg width=9><title>no</title><desc>no</desc><defs><text>no</text></defs><defs/><path d='M0 0'/><g><text>Lake</text><text>Depth</text></g></svg>"
+    assert visible_text(f"a {label} b") == "a Lake Depth b"
+    assert visible_text("<map name=m>inside<area href=x></map> out") == "inside out"
+    for unclosed in ("<svg>", "<math>", "<svg><defs>", "<svg><title/>", "<svg><text>"):
+        assert visible_text(f"<p>one {unclosed}<p>two <b>three</b></p>") == "one\n\ntwo three"
+    assert visible_text("<svg/>one <desc>two</desc>") == "one two"
+    assert visible_text("<svg>" + "<g>" * 20_000 + "x") == "x"
+
+
 def test_broken_markup_never_fails():
     r = random.Random(1)
     parts = "<p> <td> <tr> <table> </table> </td> <li> <ul> </ul> x < &amp </p> <pre> \n <br> <details> </details> <summary> <!-- --> <script> </script> <th\tcolspan=3> ' \" <a\thref=' > <ol> </ol> <div\thidden> </div>"
