@@ -1,7 +1,7 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are strings of key-like characters with a digit, long enough to be
-a credential. Each is described by its length, the transitions between kinds
+Candidates are long strings of key-like characters, issued formats and
+whatever follows a credential's name. Each is described by its length, the transitions between kinds
 of its characters, how much of it dictionary words cover, the path or source
 it was found in, and the words beside it. A random forest trained on labelled
 findings gives each a probability.
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from limnokit.session import settle
 
-#: A candidate: at least 16 key-like characters with a digit among the first 64.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,63}[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 BEFORE, BEHIND = 80, 40
 
 CREDENTIAL_WORDS = r"(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
@@ -30,7 +28,14 @@ ASSIGNED = CREDENTIAL_WORDS + r"[\"']?\s{0,3}(?:[:=]|=>|:=)\s{0,3}[\"']?$"
 HARMLESS_WORDS = r"(?i)\b(?:sha(?:1|256|512)?|md5|commit|checksum|digest|hash|uuid|guid|isbn|order|invoice|serial|version|example|sample|dummy|placeholder|test)\b"
 HARMLESS_PATHS = r"(?i)(?:test|example|sample|fixture|mock|doc|readme)"
 #: Documented formats of issued credentials.
-ISSUED = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{16,})"
+ISSUED = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{16,})"
+_NAMED = r"(?<=[=:>\s\"'`])(?<=" + CREDENTIAL_WORDS.replace("(?i)(?:", "(?i:") + r"[A-Za-z0-9_-]{0,16}[\"']?(?:\s{0,3}(?:[:=]|=>|:=)\s{0,3}|\s{1,3}(?:is\s{1,3})?)"
+#: A candidate: what follows a credential's name (all in quotes, or 4 or more characters), an issued format, or 16 or more key-like characters.
+CANDIDATE = (
+    _NAMED + r"[\"'`])[^\"'`\r\n]{4,256}(?=[\"'`])|"
+    + _NAMED + r"[\"'`]?)(?![=:])[^\s\"'`,;<>(){}\[\]]{4,}+|"
+    + r"(?<![A-Za-z0-9+/_-])(?=[+/_-]*+[A-Za-z0-9])[A-Za-z0-9+/_-]{16,}+={0,2}|" + ISSUED
+)
 
 FEATURES = (
     "length", "digit_share", "upper_share", "hex_share", "distinct_share", "letter_digit", "digit_letter", "case_change", "symbol_change",

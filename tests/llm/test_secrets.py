@@ -42,6 +42,17 @@ def test_candidates_with_their_neighbours(spark):
     assert [(r["ordinal"], r["before"].strip(), r["behind"].strip()) for r in find_candidates(two).orderBy("ordinal").collect()] == [(1, "", "mid"), (2, "mid", "")]
 
 
+def test_short_lettered_and_embedded_secrets_are_candidates(spark):
+    letters, late = "QwErTyUiOpAsDfGhJk", "a" * 70 + "1"
+    texts = ['password = "Tr0ub4dor&3"', 'pwd: "two words, three"', "password=hunter", f"x {letters} y", late, "see /hooks/xoxb-abcdefghij", "at //host/ghp_" + "a1" * 18, ": xoxb-abcdefghij"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["value"] for r in find_candidates(docs).collect()}
+    assert got == {0: "Tr0ub4dor&3", 1: "two words, three", 2: "hunter", 3: letters, 4: late, 5: "/hooks/xoxb-abcdefghij", 6: "//host/ghp_" + "a1" * 18, 7: "xoxb-abcdefghij"}
+    words = spark.createDataFrame([("host",)], "word string")
+    issued = {r["doc_id"] for r in describe(find_candidates(docs), words).filter("issued = 1").collect()}
+    assert issued == {5, 6, 7}
+
+
 def test_held_out_accuracy(spark, dictionary):
     def found(n, seed):
         docs = spark.createDataFrame(labelled_rows(n, seed), "doc_id bigint, text string, label double")
