@@ -31,10 +31,11 @@ HARMLESS_PATHS = r"(?i)(?:test|example|sample|fixture|mock|doc|readme)"
 ISSUED = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{16,})"
 _NAMED = r"(?<=[=:>\s\"'`])(?<=" + CREDENTIAL_WORDS.replace("(?i)(?:", "(?i:") + r"[A-Za-z0-9_-]{0,16}[\"']?(?:\s{0,3}(?:[:=]|=>|:=)\s{0,3}|\s{1,3}(?:is\s{1,3})?)"
 #: A candidate: what follows a credential's name (all in quotes, or 4 or more characters), an issued format, or 16 or more key-like characters.
+UNNAMED = r"(?<![A-Za-z0-9+/_-])(?=[+/_-]*+[A-Za-z0-9])[A-Za-z0-9+/_-]{16,}+={0,2}|" + ISSUED
 CANDIDATE = (
     _NAMED + r"[\"'`])[^\"'`\r\n]{4,256}(?=[\"'`])|"
     + _NAMED + r"[\"'`]?)(?![=:])[^\s\"'`,;<>(){}\[\]]{4,}+|"
-    + r"(?<![A-Za-z0-9+/_-])(?=[+/_-]*+[A-Za-z0-9])[A-Za-z0-9+/_-]{16,}+={0,2}|" + ISSUED
+    + UNNAMED
 )
 
 FEATURES = (
@@ -55,8 +56,11 @@ def dictionary_from_ranks(spark: SparkSession, path: str) -> DataFrame:
 def find_candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, ordinal, value, before, behind, path`` of every candidate of ``docs`` (``doc_id``, ``text``)."""
     where = F.col(path).cast("string") if path and path in docs.columns else F.lit(None).cast("string")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), "text").filter(F.col("text").rlike(CANDIDATE))
-    found = found.withColumns({"values": F.regexp_extract_all("text", F.lit(CANDIDATE), 0), "between": F.split("text", CANDIDATE, -1)})
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), "text")
+    named = F.col("text").rlike(CREDENTIAL_WORDS)  # without one, the slower pattern finds the same
+    values = F.when(named, F.regexp_extract_all("text", F.lit(CANDIDATE), 0)).otherwise(F.regexp_extract_all("text", F.lit(UNNAMED), 0))
+    found = found.withColumn("values", values).filter(F.size("values") > 0)
+    found = found.withColumn("between", F.when(named, F.split("text", CANDIDATE, -1)).otherwise(F.split("text", UNNAMED, -1)))
     each = F.transform(
         F.sequence(F.lit(1), F.size("values")),
         lambda i: F.struct(
