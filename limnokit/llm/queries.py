@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 
 from limnokit.llm.decontam import find_contamination
 from limnokit.llm.html_text import extract_text
+from limnokit.llm.kneser_ney import score_documents
 from limnokit.llm.near_dedup import near_duplicates
 from limnokit.llm.oracle import CONTAMINATION, NEAR_DUPLICATES, REPEATS
 from limnokit.llm.packing import pack_documents
 from limnokit.llm.pii import find_personal_data
+from limnokit.llm.prefix_trie import prefix_trie, regrouped, turn_rows
 from limnokit.llm.quality import measure_quality
 from limnokit.llm.repeats import remove_repeats
 from limnokit.llm.secrets import dictionary_from_ranks, scan_secrets
 from limnokit.llm.subwords import tokenizer_path
 from limnokit.llm.token_counts import count_tokens
 from limnokit.llm.token_store import store_tokens
+from limnokit.llm.turn_repair import damaged, repair_conversations
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +74,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure_quality(_documents(spark, sf_dir))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(regrouped(turn_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+def op13_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(_documents(spark, sf_dir)).drop("perplexity")
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_personal_data, op2_decontamination, op3_near_dedup, op4_token_counts, op5_html_text, op6_repeats, op7_secrets, op8_token_store, op9_packing, op10_quality)
+    f.__name__: f for f in (op1_personal_data, op2_decontamination, op3_near_dedup, op4_token_counts, op5_html_text, op6_repeats, op7_secrets, op8_token_store, op9_packing, op10_quality, op11_turn_repair, op12_prefix_trie, op13_kneser_ney)
 } | {"pipeline": corpus_pipeline.run}
 LLM_ORACLE: dict[str, str] = {
     "op2_decontamination": CONTAMINATION,
