@@ -24,7 +24,7 @@ HEADLINE = [
     "group_stats_attach",
     "baseline_delta",
     "box_stats",
-    "box_stats_selected",
+    "mm_fit_continuous",
     "daily_delta",
     "loess_grid",
     "hist_bins",

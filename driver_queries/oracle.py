@@ -522,7 +522,6 @@ SELECT n_name, count(*) AS sum_total, count(*) FILTER (o_totalprice > 250000) AS
   {r("count(*) FILTER (o_totalprice > 250000)::DOUBLE / count(*)", 8, "share")}
 FROM {ORDERS_NATIONS} GROUP BY n_name""",
     "box_stats": box_sql(),
-    "box_stats_selected": box_sql(),
     "box_stats_nonfinite": box_sql(NON_FINITE),
     "box_outliers": """
 WITH q AS (
@@ -695,7 +694,36 @@ SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS INTEGER) AS site_rank,
     "mean_hours": f"""
 SELECT {r("avg(hour(ts) + minute(ts) / 60.0::DOUBLE)", 6, "mean_hours")} FROM events""",
     "csv_round_trip": SNOW_TABLE,
+    "csv_many_layouts": """
+SELECT 'say "' || event_type || '", line' || chr(10) || user_id AS shore, CAST(event_id AS VARCHAR) AS inc_month,
+  CASE WHEN event_id % 10 = 3 THEN NULL ELSE CAST(event_id % 40 AS DOUBLE) END AS temp_deg_c, value AS ph FROM events""",
+    "csv_faults": """SELECT 'temp_deg_c' AS "column", count(*) AS n FROM events WHERE event_id % 10 = 3""",
     "parquet_hand_off": SNOW_TABLE,
+    "parquet_hand_off_bucketed": f"""
+SELECT date, count(*) AS n, {r("sum(snow_water_equivalent)", 4, "total")} FROM ({SNOW_TABLE}) GROUP BY date""",
+    "rate_figures": f"""WITH {RAW},
+spiked AS (
+  SELECT concat(regexp_extract(site, '^[A-Za-z]+'), coalesce(CASE depth WHEN 0.5 THEN 'INT' WHEN 3 THEN 'NS' WHEN 10 THEN 'SL' END, 'NA')) AS new_site,
+    inc_month, analyte, scatter * 5000 AS value FROM raw WHERE spike_ug_l > 0),
+q AS (
+  SELECT new_site, inc_month, analyte, count(value) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
+    quantile_cont(value, 0.75) AS q3 FROM spiked GROUP BY ALL),
+e AS (SELECT *, value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS within FROM spiked JOIN q USING (new_site, inc_month, analyte))
+SELECT new_site, inc_month, analyte, any_value(n) AS n, {r("any_value(q1)", 6, "q1")}, {r("any_value(median)", 6, "median")}, {r("any_value(q3)", 6, "q3")},
+  {r("least(min(value) FILTER (within), any_value(q1))", 6, "whisker_low")}, {r("greatest(max(value) FILTER (within), any_value(q3))", 6, "whisker_high")},
+  count(*) FILTER (NOT within) AS n_outliers,
+  CAST({case_map("new_site", {p: i + 1 for i, p in enumerate(fixed.SITE_ORDER)})} AS INTEGER) AS site_rank,
+  CAST({case_map("inc_month", {p: i + 1 for i, p in enumerate(fixed.INCUBATION_MONTHS)})} AS INTEGER) AS month_rank
+FROM e GROUP BY new_site, inc_month, analyte""",
+    "replicate_stats": f"""WITH {RAW}
+SELECT l_orderkey, l_linenumber, {r("avg(measured) OVER w", 6, "mean_conc")}, {r("stddev_samp(measured) OVER w", 6, "sd_conc")}
+FROM raw WINDOW w AS (PARTITION BY site, location, inc_month, type, analyte, spike_ug_l)""",
+    "mm_fit_continuous": f"""WITH pts AS (
+  SELECT l_returnflag, l_linestatus, l_extendedprice::DOUBLE AS x,
+    900.0::DOUBLE * l_extendedprice / (20000 + l_extendedprice) + 1000.0::DOUBLE * (l_discount - 0.05::DOUBLE) AS y FROM lineitem),
+{mm_cte("pts", FLAG_STATUS, "x", "y")}
+SELECT l_returnflag, l_linestatus, CAST(n AS BIGINT) AS n, n_doses, 'ok' AS status,
+  {", ".join(r(c, 3, c) for c in ("vmax", "km", "se_vmax", "se_km"))} FROM mm""",
     "rule_table_overlap": """
 SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_returnflag IS NULL THEN NULL
   WHEN l_returnflag = 'A' THEN l_extendedprice < 20000 OR (l_extendedprice > 60000 AND l_quantity <> 50)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +47,7 @@ from limnokit.operators.joins import attach_group_values, drop_listed, keep_list
 from limnokit.operators.linear_fit import line_at, linear_fit
 from limnokit.operators.loess import loess_curve
 from limnokit.operators.order_stats import box_outliers, box_stats
-from limnokit.operators.ordered import skip_head, with_previous, with_running_sum
+from limnokit.operators.ordered import SEGMENT, in_segments, skip_head, with_previous, with_running_sum
 from limnokit.operators.predict import predict_grid, saturation_at, trend_line
 from limnokit.operators.profile import profile
 from limnokit.operators.reshape import to_long
@@ -60,12 +59,13 @@ from limnokit.plans.catalogue import (
     significance_roll_up,
     significance_shares,
 )
-from limnokit.plans.rates import clean_readings, limit_substituted, patched_baseline, uptake_rates
+from limnokit.plans.rates import clean_readings, limit_substituted, patched_baseline, uptake_rates, with_replicate_stats
 from limnokit.plans.screening import (
     flag_by_rule_table,
     flag_report,
     flagged_rows,
     kept_rows,
+    rate_figures,
     screen_outliers,
     uptake_metrics,
     with_normalised_rate,
@@ -75,8 +75,8 @@ from limnokit.plans.screening import (
 )
 from limnokit.plans.speciation import ammonia_fraction, convert_ammonium, shore_of
 from limnokit.plans.workflows import MODEL_KEYS, fits_to_summary, rates_to_fits, smooth_temperature
-from limnokit.session import settle, shared_dir
-from limnokit.sources.tables import read_table, union_tables, write_csv, write_parquet
+from limnokit.session import scratch_path, settle
+from limnokit.sources.tables import read_bucketed, read_table, scan_csv, union_tables, write_bucketed, write_csv, write_parquet
 
 FLAG_STATUS = ["l_returnflag", "l_linestatus"]
 
@@ -393,12 +393,6 @@ def box_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 6, "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
-def box_by_type_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same statistics of another binding: equal values in every group many times over."""
-    out = box_stats(table(spark, sf_dir, "events").repartition(7, "event_id"), ["event_type"], "value")
-    return rounded(out, 6, "q1", "median", "q3", "whisker_low", "whisker_high")
-
-
 def box_stats_nonfinite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Infinite values and the ends of the double range among the events."""
     event, inf = F.col("event_id"), float("inf")
@@ -457,10 +451,11 @@ def daily_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def previous_and_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two window operators by themselves, on every event of a user."""
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.to_date("ts").alias("day"), F.nullif(F.floor("value"), F.lit(7)).cast("double").alias("v"))
+    """The two window operators by themselves, on every event of a user, in the segments of one range partitioning."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.nullif(F.floor("value"), F.lit(7)).cast("double").alias("v"))
     keyed, order = ["user_id"], ["ts", "event_id"]
-    out = with_running_sum(with_previous(events, keyed, order, "v", "previous", "day"), keyed, order, "v", "total", "day")
+    cut = in_segments(events, keyed, order)
+    out = with_running_sum(with_previous(cut, keyed, order, "v", "previous", SEGMENT), keyed, order, "v", "total", SEGMENT)
     return out.select("event_id", "previous", "total")
 
 
@@ -558,8 +553,7 @@ def scalar_math(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trim_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    order = [F.col("o_orderstatus").asc_nulls_last(), F.col("o_orderkey").asc_nulls_last()]
-    return skip_head(orders, order, fixed.BLANK_HEAD_ROWS)
+    return skip_head(orders, ["o_orderstatus", "o_orderkey"], fixed.BLANK_HEAD_ROWS)
 
 
 # --- the context series on renamed tables -------------------------------------
@@ -651,17 +645,70 @@ def snow_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/hand-off/snow-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "snow")
     write_csv(snow_table(spark, sf_dir), path)
     return read_table(spark, path, "snow_daily", "csv")
 
 
+def lake_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """events as lake tables in two layouts: quotes and line feeds in texts, unreadable temperatures, a column too many."""
+    event = F.col("event_id")
+    shore = F.concat(F.lit('say "'), "event_type", F.lit('", line\n'), "user_id")
+    warm = F.when(event % 10 == 3, "n.d.").otherwise((event % 40).cast("string"))
+    named = table(spark, sf_dir, "events").select(
+        "event_id", shore.alias("Shore"), event.cast("string").alias("Inc_month"), warm.alias("Temp_degC"), F.col("value").alias("pH"), F.lit("").alias("Note")
+    )
+    paths = [scratch_path(spark, "lake") for _ in range(2)]
+    write_csv(named.filter(event % 2 == 0).select("Shore", "Inc_month", "Temp_degC", "pH"), paths[0])
+    write_csv(named.filter(event % 2 == 1).select("pH", "Note", "Temp_degC", "Inc_month", "Shore"), paths[1])
+    return paths
+
+
+def csv_many_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, lake_files(spark, sf_dir), "lake_ph_temp", "csv")
+
+
+def csv_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_csv(spark, lake_files(spark, sf_dir), "lake_ph_temp").faults
+
+
 def parquet_hand_off(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/hand-off/snow-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "snow")
     write_parquet(snow_table(spark, sf_dir), path)
     return read_table(spark, path, "snow_daily")
 
 
+def parquet_hand_off_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Handed on by date, so that the next stage's daily sums need no exchange."""
+    path = scratch_path(spark, "snow")
+    write_bucketed(snow_table(spark, sf_dir).drop("note"), path, ["date"], 8)
+    daily = read_bucketed(spark, path, "snow_daily", ["date"], 8).groupBy("date")
+    return rounded(daily.agg(F.count(F.lit(1)).alias("n"), F.sum("snow_water_equivalent").alias("total")), 4, "total")
+
+
+def rate_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures' box statistics of readings with a ready-made rate."""
+    raw = readings(spark, sf_dir, ["site", "inc_month", "analyte", "depth", "spike_ug_l", "scatter"])
+    rates = raw.select("site", "inc_month", "analyte", "depth", F.col("spike_ug_l").alias("mean_spike_conc"), (F.col("scatter") * 5000.0).alias("net_rate_om"))
+    out = rate_figures(rates).drop("metric_rank")
+    return rounded(out, 6, "q1", "median", "q3", "whisker_low", "whisker_high")
+
+
+def replicate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = readings(spark, sf_dir, ["site", "location", "inc_month", "type", "analyte", "spike_ug_l", "measured", "l_orderkey", "l_linenumber"])
+    out = with_replicate_stats(raw.withColumnRenamed("measured", "conc_ugn_l"))
+    return rounded(out.select("l_orderkey", "l_linenumber", "mean_conc", "sd_conc"), 6, "mean_conc", "sd_conc")
+
+
+def mm_fit_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dose that hardly repeats: nearly as many doses as readings."""
+    x = F.col("l_extendedprice").cast("double")
+    rate = F.lit(900.0) * x / (F.lit(20000.0) + x) + F.lit(1000.0) * (F.col("l_discount") - F.lit(0.05))
+    points = table(spark, sf_dir, "lineitem").select(*FLAG_STATUS, x.alias("x"), rate.alias("rate"))
+    fits = saturation_fit(points, FLAG_STATUS, "x", "rate", p_values=False)
+    return rounded(fits.select(*FLAG_STATUS, "n", "n_doses", "status", "vmax", "km", "se_vmax", "se_km"), 3, "vmax", "km", "se_vmax", "se_km")
+
+
 def rule_table_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several rules for one key hold side by side."""
     bounds = "rate_lt double, rate_gt double, spike_eq double, spike_ne double"
@@ -728,7 +775,7 @@ def incubation_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def saturating_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fits = rates_to_fits(settle(rate_table(spark, sf_dir), "rates"))
+    fits = rates_to_fits(rate_table(spark, sf_dir))
     return rounded(fits_to_summary(fits.saturation, fits.linear).roll_up, 8, "prop_sig")
 
 
@@ -761,7 +808,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sig_rollup": sig_rollup,
     "nation_share": nation_share,
     "box_stats": box_by_type,
-    "box_stats_selected": box_by_type_selected,
     "box_outliers": box_outlier_rows,
     "hist_bins": hist_bins,
     "profile": column_profile,
@@ -795,6 +841,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_order": report_order,
     "mean_hours": mean_hours,
     "csv_round_trip": csv_round_trip,
+    "csv_many_layouts": csv_many_layouts,
+    "csv_faults": csv_faults,
     "parquet_hand_off": parquet_hand_off,
+    "parquet_hand_off_bucketed": parquet_hand_off_bucketed,
+    "rate_figures": rate_boxes,
+    "replicate_stats": replicate_stats,
+    "mm_fit_continuous": mm_fit_continuous,
     "rule_table_overlap": rule_table_overlap,
 }

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limnokit.functions.tdist import two_sided_p
+from limnokit.operators.doses import line_moments
 
 
 def linear_moments(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -31,10 +32,18 @@ def linear_fit(
     variance is left to give an SE; ``failed`` where no line is defined
     (fewer than two distinct x). Failed groups give no row unless kept.
     """
+    return _fitted(linear_moments(df, keys, x, y), keys, p_values, keep_failed)
+
+
+def linear_fit_of_doses(doses: DataFrame, keys: list[str], p_values: bool = True, keep_failed: bool = False) -> DataFrame:
+    """:func:`linear_fit` from a settled table of :func:`limnokit.operators.doses.compact_doses`."""
+    return _fitted(line_moments(doses, keys), keys, p_values, keep_failed)
+
+
+def _fitted(moments: DataFrame, keys: list[str], p_values: bool, keep_failed: bool) -> DataFrame:
     sxx, sxy, n = F.col("sxx"), F.col("sxy"), F.col("n")
     fitted = (
-        linear_moments(df, keys, x, y)
-        .withColumn("slope", F.when(sxx > 0, sxy / sxx))
+        moments.withColumn("slope", F.when(sxx > 0, sxy / sxx))
         .withColumn("intercept", F.col("y_mean") - F.col("slope") * F.col("x_mean"))
         .withColumn("df_resid", n - 2)
         .withColumn("rss", F.greatest(F.col("syy") - F.col("slope") * sxy, F.lit(0.0)))

@@ -1,19 +1,25 @@
 """Exact quantiles, box statistics and outlier rows per group.
 
-One way for groups of any size: every wanted rank gets an interval of values,
-and each round counts rows into bins of the intervals still open. Only counts
-move; rows are read again, never written, and no task holds a group.
+A mergeable sketch narrows every wanted rank to a bracket of values, and one
+grouped count settles it; only counts move and no task holds a group. Where a
+sketch fails (NaN), every rank gets an interval of values, and each round
+counts rows into bins of the intervals still open.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from limnokit.operators.joins import attach_group_values, null_safe_join
+from limnokit.operators.joins import null_safe_join
 from limnokit.session import settle
 
 BINS = 1024
+#: Rank error of a sketch, as a share of one over this.
+ACCURACY = 100_000
 #: An even round leaves an interval in one binade or with one value; from then
 #: on every round takes 10 of its 52 bits. Odd rounds only make it faster.
 MOST_ROUNDS = 14
@@ -104,39 +110,44 @@ def select_ranks(df: DataFrame, keys: list[str], value: str, targets: DataFrame,
     return finished.select(*keys, "target", "rank", lo.alias("value"))
 
 
-def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact quantiles (linear between the two order statistics around each position) and ``n`` per group.
+def _position(p: float) -> Column:
+    return (F.col("n") - 1) * F.lit(p)
 
-    Between equal order statistics the quantile is that value, infinite ones included.
-    """
-    sizes = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    sizes = settle(sizes, "group-sizes")
 
-    def position(p: float) -> Column:
-        return (F.col("n") - 1) * F.lit(p)
+def _rank_ends(p: float) -> dict[str, Column]:
+    """Ranks of the order statistics on both sides of a quantile."""
+    low = F.floor(_position(p)) + 1
+    return {"low": low, "high": F.least(low + 1, F.col("n"))}
 
-    wanted = F.array(
-        *[
-            F.struct(F.lit(f"{name}:{side}").alias("target"), rank.cast("bigint").alias("rank"))
-            for name, p in probs.items()
-            for side, rank in (
-                ("low", F.floor(position(p)) + 1),
-                ("high", F.least(F.floor(position(p)) + 2, F.col("n"))),
-            )
-        ]
-    )
-    targets = sizes.select(*keys, F.explode(wanted).alias("t")).select(*keys, "t.target", "t.rank")
-    found = select_ranks(df, keys, value, targets)
-    ends = found.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("target") == f"{name}:{side}", F.col("value"))).alias(f"{name}_{side}")
-            for name in probs
-            for side in ("low", "high")
-        ]
-    )
-    joined = null_safe_join(sizes, ends, keys, "left")
-    part = {p: position(p) - F.floor(position(p)) for p in probs.values()}
-    return joined.select(
+
+def _reaches(p: float) -> list[tuple[float, float]]:
+    """Pairs of probabilities around ``p``, each four times as wide as the one before, the last the whole range."""
+    wide = [3 / ACCURACY * 4**k for k in range(8)]
+    return [(max(0.0, p - w), min(1.0, p + w)) for w in wide] + [(0.0, 1.0)]
+
+
+def rank_sketch(value: Column, probs: dict[str, float]) -> Column:
+    """Approximate quantiles around each prob, from one mergeable sketch with rank errors below n / ``ACCURACY``."""
+    return F.percentile_approx(value, F.array(*[F.lit(x) for p in probs.values() for pair in _reaches(p) for x in pair]), ACCURACY)
+
+
+def _brackets(probs: dict[str, float]) -> dict[str, tuple[Column, Column]]:
+    """The narrowest pair of sketched values that holds the wanted ranks in spite of the sketch's error."""
+    out, at = {}, 0
+    for name, p in probs.items():
+        pairs = _reaches(p)
+        pick = F.lit(len(pairs) - 1)
+        for k in reversed(range(len(pairs) - 1)):
+            pick = F.when(F.lit(3 / ACCURACY * 4**k) * F.col("n") >= 4, F.lit(k)).otherwise(pick)
+        out[name] = tuple(F.get("sketch", F.lit(at + side) + 2 * pick) for side in (0, 1))
+        at += 2 * len(pairs)
+    return out
+
+
+def _between(ends: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """Quantiles from the order statistics ``{name}_low`` and ``{name}_high``."""
+    part = {p: _position(p) - F.floor(_position(p)) for p in probs.values()}
+    return ends.select(
         *keys,
         "n",
         *[
@@ -148,6 +159,75 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     )
 
 
+def _counted_ends(points: DataFrame, sketches: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """Order statistics that lie in the brackets of ``sketches`` (keys, ``n``, ``sketch``); NULL where one does not.
+
+    One pass over the points counts the values inside brackets one by one and
+    the rest by the number of brackets they are above. In the order (number of
+    brackets above, rest first, value) running counts are ranks: a value in a
+    bracket is above all the rest with as many brackets below them.
+    """
+    brackets = _brackets(probs)
+    bounds = sketches.select(*keys, "n", *[c.alias(f"{name}_{side}") for name, pair in brackets.items() for side, c in zip(("from", "to"), pair, strict=True)])
+    v = F.col("v")
+    inside = reduce(or_, [v.between(F.col(f"{name}_from"), F.col(f"{name}_to")) for name in probs])
+    above = reduce(add, [(v > F.col(f"{name}_to")).cast("int") for name in probs])
+    rows = null_safe_join(points, bounds, keys, "inner") if keys else points.crossJoin(bounds)
+    counted = rows.groupBy(*keys, "n", above.alias("above"), F.when(inside, v).alias("at")).agg(F.count(F.lit(1)).alias("w"))
+    order = Window.partitionBy(*keys, "n").orderBy("above", F.col("at").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("upto", F.sum("w").over(order))
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((rank > F.col("upto") - F.col("w")) & (rank <= F.col("upto")), F.col("at")))
+
+    return ranked.groupBy(*keys, "n").agg(*[value_at(rank).alias(f"{name}_{side}") for name, p in probs.items() for side, rank in _rank_ends(p).items()])
+
+
+def _searched_ends(points: DataFrame, sizes: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """The same order statistics by :func:`select_ranks`."""
+    wanted = F.array(
+        *[
+            F.struct(F.lit(f"{name}_{side}").alias("target"), rank.cast("bigint").alias("rank"))
+            for name, p in probs.items()
+            for side, rank in _rank_ends(p).items()
+        ]
+    )
+    targets = sizes.select(*keys, F.explode(wanted).alias("t")).select(*keys, "t.target", "t.rank")
+    found = select_ranks(points, keys, "v", targets)
+    ends = found.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("target") == f"{name}_{side}", F.col("value"))).alias(f"{name}_{side}") for name in probs for side in ("low", "high")]
+    )
+    return null_safe_join(sizes, ends, keys, "left")
+
+
+def quantiles_of_sketches(points: DataFrame, sketches: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles of ``v`` in ``points`` (keys, ``v`` not null), given settled ``sketches`` (keys, ``n``, ``sketch``).
+
+    The sketch only narrows the search: a rank it does not bracket (it knows no
+    order of NaN) shows in the counts, and its group is searched by bins.
+    """
+    ends = settle(_counted_ends(points, sketches, keys, probs), "rank-ends")
+    lost = reduce(or_, [F.col(f"{name}_{side}").isNull() for name in probs for side in ("low", "high")])
+    if ends.filter(lost).isEmpty():
+        return _between(ends, keys, probs)
+    sizes = settle(ends.filter(lost).select(*keys, "n"), "group-sizes")
+    rest = null_safe_join(points, sizes.select(*keys), keys, "left_semi")
+    return _between(ends.filter(~lost).unionByName(_searched_ends(rest, sizes, keys, probs)), keys, probs)
+
+
+def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear between the two order statistics around each position) and ``n`` per group.
+
+    Two passes over the rows: a sketch brackets each rank, then one grouped
+    count finds it. Rows in brackets, the only ones counted by value, are less
+    than ``n / 10,000`` of a large group. Between equal order statistics the
+    quantile is that value, infinite ones included.
+    """
+    points = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    sketches = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), rank_sketch(F.col("v"), probs).alias("sketch"))
+    return quantiles_of_sketches(points, settle(sketches, "rank-sketches"), keys, probs)
+
+
 def approximate_quantiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float], accuracy: int = 10_000
 ) -> DataFrame:
@@ -171,8 +251,7 @@ def box_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     the hinges (never inside the box).
     """
     present = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    hinges = _hinges(present, keys, value)
-    rows = attach_group_values(present, hinges, keys, "hinges")
+    rows = null_safe_join(present, _hinges(present, keys, value), keys)
     within = F.col(value).between(F.col("fence_low"), F.col("fence_high"))
     box = ["n", "q1", "median", "q3"]
     ends = rows.groupBy(*keys).agg(
@@ -196,6 +275,6 @@ def box_outliers(
     """The rows beyond the whiskers of their group."""
     present = df.filter(F.col(value).isNotNull()).select(*keys, value, *(carry or []))
     fences = _hinges(present, keys, value).select(*keys, "fence_low", "fence_high")
-    rows = attach_group_values(present, fences, keys, "fences")
+    rows = null_safe_join(present, fences, keys)
     beyond = (F.col(value) < F.col("fence_low")) | (F.col(value) > F.col("fence_high"))
     return rows.filter(beyond).drop("fence_low", "fence_high")

@@ -1,11 +1,15 @@
 """Order-dependent values that do not need a whole group, or table, in one task.
 
-Rows are cut into slices that follow the order. Inside a slice a window does
-the work; between slices only one summary row each is carried.
+Rows are cut into slices that follow the order: a column of the caller's, or
+the parts of a range partitioning, whatever the keys. Inside a slice a window
+does the work; between slices only one summary row each is carried.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,9 @@ from limnokit.operators.joins import null_safe_join
 from limnokit.session import settle
 
 SLICE = "__slice"
+SEGMENT = "__segment"
+#: Rows that tasks keep at the top of their own order; positions are counted beyond.
+TOP_ROWS = 100_000
 
 
 def with_row_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
@@ -35,9 +42,57 @@ def with_row_position(df: DataFrame, order: list[Column], name: str = "position"
     return joined.withColumn(name, place).drop(SLICE, "__id", "__offset")
 
 
-def skip_head(df: DataFrame, order: list[Column], count: int) -> DataFrame:
-    """All rows but the first ``count`` in the order."""
-    return with_row_position(df, order, "__position").filter(F.col("__position") > count).drop("__position")
+def in_segments(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` with a ``SEGMENT`` that does not decrease along the order and cuts a group of any size.
+
+    The rows are range-partitioned by keys and order and a segment is a part of
+    that, so a group in which most rows lie is spread over as many parts. The
+    order should end in a unique column: rows equal in it stay together.
+    """
+    ranged = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in (*keys, *order)])
+    return settle(ranged.withColumn(SEGMENT, F.spark_partition_id()), "segments")
+
+
+def _sliced(df: DataFrame, keys: list[str], order: list[str], slice_by: str | None) -> tuple[DataFrame, str]:
+    return (df, slice_by) if slice_by is not None else (in_segments(df, keys, order), SEGMENT)
+
+
+def _beyond(row: dict, columns: list[str], df: DataFrame) -> tuple[Column, Column]:
+    """Whether a row comes after ``row`` in ascending order with missing values last, and whether it is equal in it."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    after, same = [], []
+    for c in columns:
+        value = F.lit(row[c]).cast(kinds[c])
+        if row[c] is not None:
+            after.append(reduce(and_, same, F.coalesce(F.col(c) > value, F.lit(True))))
+        same.append(F.col(c).eqNullSafe(value))
+    return reduce(or_, after, F.lit(False)), reduce(and_, same)
+
+
+def skip_head(df: DataFrame, order: list[str], count: int, top_rows: int = TOP_ROWS) -> DataFrame:
+    """All rows but the first ``count`` in ascending order, missing values last.
+
+    Each task keeps its first ``count`` rows of the order columns, the least of
+    all of them give the last row to skip, and a plain filter does the rest:
+    the table is neither sorted nor moved. Of rows that are equal in the order
+    to that last one, as many are skipped as fill the count. A count above
+    ``top_rows`` goes by :func:`with_row_position`.
+    """
+    if count <= 0:
+        return df
+    if count > top_rows:
+        place = [F.col(c).asc_nulls_last() for c in order]
+        return with_row_position(df, place, "__position").filter(F.col("__position") > count).drop("__position")
+    first = settle(df.select(*order).orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(count), "head-rows")
+    last = first.orderBy(*[F.when(F.col(c).isNull(), 1).otherwise(0).desc() if k else F.col(c).desc() for c in order for k in (1, 0)]).first()
+    if last is None:
+        return df
+    after, same = _beyond(last.asDict(), order, df)
+    skipped, tied = first.filter(same).count(), df.filter(same).count()
+    if skipped == tied:
+        return df.filter(after)
+    rest = with_row_position(df.filter(same), [F.xxhash64(*df.columns).asc()], "__position")
+    return df.filter(after).unionByName(rest.filter(F.col("__position") > skipped).drop("__position"))
 
 
 def sort_rows(df: DataFrame, *columns: str) -> DataFrame:
@@ -46,13 +101,14 @@ def sort_rows(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def with_previous(
-    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, slice_by: str, default: float | None = None
+    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, slice_by: str | None = None, default: float | None = None
 ) -> DataFrame:
     """The previous row's value within the group, ``default`` on its first row.
 
     ``slice_by`` is a column that does not decrease along the order (the month
-    of the date, say).
+    of the date, say); without it, slices are those of :func:`in_segments`.
     """
+    given, (df, slice_by) = slice_by, _sliced(df, keys, order, slice_by)
     last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__last")
     ends = df.groupBy(*keys, slice_by).agg(last)
     across = Window.partitionBy(*keys).orderBy(slice_by)
@@ -64,17 +120,18 @@ def with_previous(
     joined = null_safe_join(marked, settle(carried, "slice-ends"), [*keys, slice_by])
     first = F.when(F.col("__nth") == 1, F.lit(default)).otherwise(F.col("__carried.v"))
     previous = F.when(F.col("__row") == 1, first).otherwise(F.col("__prev"))
-    return joined.withColumn(name, previous).drop("__prev", "__row", "__carried", "__nth")
+    return joined.withColumn(name, previous).drop("__prev", "__row", "__carried", "__nth", *([] if given else [SEGMENT]))
 
 
 def with_running_sum(
-    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, slice_by: str
+    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, slice_by: str | None = None
 ) -> DataFrame:
     """Running total within the group; missing from the first missing value on.
 
     Slices are as in :func:`with_previous`; after it, with the same column,
     the rows are already where they are needed.
     """
+    given, (df, slice_by) = slice_by, _sliced(df, keys, order, slice_by)
     totals = df.groupBy(*keys, slice_by).agg(
         F.sum(value).alias("__total"), F.count_if(F.col(value).isNull()).alias("__missing")
     )
@@ -92,7 +149,7 @@ def with_running_sum(
     joined = null_safe_join(summed, settle(carried, "slice-totals"), [*keys, slice_by])
     whole = (F.col("__gaps") + F.col("__missing_before")) == 0
     total = F.when(whole, F.col("__sum") + F.col("__total_before"))
-    return joined.withColumn(name, total).drop("__sum", "__gaps", "__total_before", "__missing_before")
+    return joined.withColumn(name, total).drop("__sum", "__gaps", "__total_before", "__missing_before", *([] if given else [SEGMENT]))
 
 
 def with_change_and_total(

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnokit.operators.joins import null_safe_join
-from limnokit.operators.order_stats import group_quantiles
+from limnokit.operators.order_stats import quantiles_of_sketches, rank_sketch
+from limnokit.session import settle
 
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -16,7 +17,8 @@ def profile(df: DataFrame, columns: list[str], quartiles: bool = False) -> DataF
     """Row, missing count, mean, SD, min and max of each numeric column.
 
     All columns come from a single aggregate over one scan; the one-row
-    result is then turned on its side. Exact quartiles are selected by rank.
+    result is then turned on its side. With exact quartiles that aggregate
+    also sketches every column, and a second scan counts for all of them.
     """
     aggs = []
     for c in columns:
@@ -30,12 +32,16 @@ def profile(df: DataFrame, columns: list[str], quartiles: bool = False) -> DataF
             F.min(v).alias("min"),
             F.max(v).alias("max"),
         ]
+        if quartiles:
+            fields += [F.count(v).alias("n"), rank_sketch(v, QUARTILES).alias("sketch")]
         aggs.append(F.struct(*fields))
     out = df.agg(F.array(*aggs).alias("stats")).select(F.explode("stats").alias("s")).select("s.*")
     if not quartiles:
         return out
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "v")
-    return null_safe_join(out, group_quantiles(long, ["column"], "v", QUARTILES).drop("n"), ["column"])
+    out = settle(out, "profile")
+    points = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("p")).select("p.*").filter("v IS NOT NULL")
+    found = quantiles_of_sketches(points, out.select("column", "n", "sketch"), ["column"], QUARTILES)
+    return null_safe_join(out.drop("n", "sketch"), found.drop("n"), ["column"])
 
 
 def head(df: DataFrame, n: int = 6) -> DataFrame:

@@ -4,224 +4,36 @@ The readings are read once: equal doses of a group collapse to (count, mean,
 spread) without loss, and every later step is a sum over that compact table.
 For a fixed ``km`` the best ``vmax`` has a closed form, so only ``km`` is
 searched: two grids of candidates, the second around the best of the first,
-then Newton steps on ln(km).
+then Newton steps on ln(km) until no group moves.
 
-The sums are taken in one of two ways, chosen by the counted number of doses:
-
-* groups of up to ``PACKED_DOSES`` doses are packed, one row per group with
-  an array of doses, and searched inside that row after a single shuffle;
-* groups with more doses (a continuous x) are searched by grouped aggregates,
-  one round per step. There a group is a reduce key and never a task: its
-  rows are summed map-side before anything is shuffled.
+There is one way for every number of groups and doses. A round is one grouped
+aggregate over the compact rows: a grid has two sums a candidate, side by side
+in the aggregate's row, so rows are not multiplied and a group of any size is a
+reduce key whose rows are summed before anything is shuffled. Between rounds a
+settled table keeps one row per group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limnokit import fixed_values as fixed
+from limnokit.operators.doses import compact_doses, settled_doses
 from limnokit.operators.joins import null_safe_join
 from limnokit.operators.linear_fit import with_p_values
 from limnokit.session import settle
 
-COARSE_STEPS = 48
-FINE_STEPS = 12
-NEWTON_STEPS = 5
-# A search has converged if one more step changes km by no more than this share
-SETTLED = 1e-6
-PACKED_DOSES = 4096
-# Packed groups per task: the search costs about a millisecond of CPU a group
-GROUPS_PER_TASK = 250
-
-Terms = dict[str, Column]
-Field = Callable[[str], Column]
-
-
-# --- the sums, written once for both ways -----------------------------------
-
-
-def _search_terms(d: Field, km: Column) -> Terms:
-    u = d("x") / (km + d("x"))
-    return {"uy": d("n") * d("y_mean") * u, "uu": d("n") * u * u}
-
-
-def _gain(s: Field) -> Column:
-    """Reduction of the squared residuals by the best ``vmax``."""
-    return F.try_divide(s("uy") * s("uy"), s("uu"))
-
-
-def _newton_terms(d: Field, km: Column) -> Terms:
-    n, y, shifted = d("n"), d("y_mean"), km + d("x")
-    u = d("x") / shifted
-    u1 = -u / shifted
-    u2 = 2 * u / (shifted * shifted)
-    return {
-        "uy": n * y * u,
-        "u1y": n * y * u1,
-        "u2y": n * y * u2,
-        "uu": n * u * u,
-        "uu1": n * u * u1,
-        "u1u1": n * u1 * u1,
-        "uu2": n * u * u2,
-    }
-
-
-def _best_vmax(s: Field) -> Column:
-    return F.try_divide(s("uy"), s("uu"))
-
-
-def _newton_km(s: Field, km: Column, km_lo: Column, km_hi: Column) -> Column:
-    """One Newton step on ln(km) for the residuals at the best ``vmax``, kept in the bracket."""
-    v = _best_vmax(s)
-    resid_u1 = s("u1y") - v * s("uu1")
-    resid_u2 = s("u2y") - v * s("uu2")
-    slope = -2 * v * resid_u1
-    h_vk = 2 * (v * s("uu1") - resid_u1)
-    h_kk = 2 * (v * v * s("u1u1") - v * resid_u2)
-    curvature = h_kk - F.try_divide(h_vk * h_vk, 2 * s("uu"))
-    log_slope, log_curvature = km * slope, km * km * curvature + km * slope
-    step = F.when(log_curvature > 0, -log_slope / log_curvature).otherwise(F.lit(0.0))
-    step = F.greatest(F.least(step, F.lit(1.0)), F.lit(-1.0))
-    return F.greatest(F.least(km * F.exp(step), km_hi), km_lo)
-
-
-def _moved(after: Column, before: Column) -> Column:
-    """Share by which a step changes ``km``."""
-    return F.abs(after / before - 1)
-
-
-def _curvature_terms(d: Field, vmax: Column, km: Column, covariance: str) -> Terms:
-    """Residual sum of squares and its Hessian in (vmax, km), from residuals."""
-    n, shifted = d("n"), km + d("x")
-    u = d("x") / shifted
-    u1 = -u / shifted
-    u2 = 2 * u / (shifted * shifted)
-    resid = d("y_mean") - vmax * u
-    observed = F.lit(1.0 if covariance == "observed" else 0.0)
-    return {
-        "rss": d("spread") + n * resid * resid,
-        "h_vv": 2 * n * u * u,
-        "h_vk": 2 * n * (vmax * u * u1 - observed * resid * u1),
-        "h_kk": 2 * n * (vmax * vmax * u1 * u1 - observed * resid * vmax * u2),
-    }
-
-
-def _candidate(km_lo: Column, km_hi: Column, step: Column, steps: int) -> Column:
-    return km_lo * F.pow(km_hi / km_lo, step / F.lit(float(steps)))
-
-
-def _around(km_lo: Column, km_hi: Column, step: Column, steps: int) -> tuple[Column, Column]:
-    """The candidates next to the best one."""
-    below, above = F.greatest(step - 1, F.lit(0)), F.least(step + 1, F.lit(steps))
-    return _candidate(km_lo, km_hi, below, steps), _candidate(km_lo, km_hi, above, steps)
-
+__all__ = ["compact_doses", "saturation_fit", "saturation_fit_of_doses"]
 
-# --- compaction ---------------------------------------------------------------
-
-
-def compact_doses(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """One row per group and dose: readings used, their mean and squared spread.
-
-    Readings without a rate, and with a missing or negative dose, are only
-    counted (in ``rows``; missing and negative doses share one row).
-    """
-    dose = F.when(F.col(x) >= 0, F.col(x)).cast("double")
-    usable = F.when(dose.isNotNull(), F.col(y).cast("double"))
-    return (
-        df.select(*keys, dose.alias("x"), usable.alias("y"))
-        .groupBy(*keys, "x")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.count("y").alias("n"),
-            F.avg("y").alias("y_mean"),
-            (F.var_pop("y") * F.count("y")).alias("spread"),
-        )
-    )
-
-
-def _facts() -> list[Column]:
-    used = F.col("n") > 0
-    return [
-        F.sum("n").alias("n"),
-        (F.sum("rows") - F.sum("n")).alias("n_excluded"),
-        F.count_if(used & (F.col("x") > 0)).alias("n_doses"),
-        F.max("x").alias("x_max"),
-        F.max(F.when(used, F.col("x"))).alias("x_scale"),
-    ]
-
-
-FACTS = ["n", "n_excluded", "n_doses", "x_max", "x_scale"]
-SHAPE = ["vmax", "km", "rss", "h_vv", "h_vk", "h_kk"]
-
-
-# --- packed groups --------------------------------------------------------------
-
-
-def _fold(doses: Column, terms: Callable[[Field], Terms]) -> Column:
-    """Struct of sums of the terms over an array of doses."""
-    names = list(terms(lambda _: F.lit(0.0)))
-    zero = F.struct(*[F.lit(0.0).alias(name) for name in names])
-
-    def add(acc: Column, d: Column) -> Column:
-        return F.struct(*[(acc[name] + term).alias(name) for name, term in terms(lambda f: d[f]).items()])
-
-    return F.aggregate(doses, zero, add)
-
-
-def _best_step(km_lo: Column, km_hi: Column, steps: int) -> Column:
-    """Number of the best candidate; the smaller one on a tie."""
-    candidates = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: _candidate(km_lo, km_hi, i, steps))
-    sums = F.transform(candidates, lambda km: _fold(F.col("doses"), lambda d: _search_terms(d, km)))
-    scores = F.transform(sums, lambda s, i: F.struct(_gain(lambda f: s[f]).alias("gain"), (-i).alias("back")))
-    return -F.array_max(scores)["back"]
-
-
-def _fit_packed(
-    doses: DataFrame, keys: list[str], km_span: tuple[float, float], covariance: str, groups: int
-) -> DataFrame:
-    """Facts and shape of groups whose doses fit in one row each.
-
-    The work is CPU, not bytes, so the number of tasks follows the number of
-    groups; left to itself, adaptive coalescing would go by the few bytes.
-    """
-    limit = int(doses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(1, min(limit, -(-groups // GROUPS_PER_TASK)))
-    dose = F.struct("x", "n", "y_mean", "spread")
-    packed = doses.repartition(tasks, *keys).groupBy(*keys).agg(
-        *_facts(),
-        F.collect_list(F.when((F.col("n") > 0) & F.col("x").isNotNull(), dose)).alias("doses"),
-    )
-    lo, hi = F.col("km_lo"), F.col("km_hi")
-    out = (
-        packed.filter(F.col("n_doses") > 0)
-        .withColumn("doses", F.array_sort("doses"))
-        .withColumn("km_lo", F.col("x_scale") * F.lit(km_span[0]))
-        .withColumn("km_hi", F.col("x_scale") * F.lit(km_span[1]))
-    )
-    for steps in (COARSE_STEPS, FINE_STEPS):
-        below, above = _around(lo, hi, F.col("step"), steps)
-        best = _candidate(lo, hi, F.col("step"), steps)
-        out = out.withColumn("step", _best_step(lo, hi, steps)).withColumns(
-            {"km": best, "km_lo": below, "km_hi": above}
-        )
-
-    def newton(km: Column, _: Column) -> Column:
-        sums = F.array(_fold(F.col("doses"), lambda d: _newton_terms(d, km)))
-        return F.transform(sums, lambda s: _newton_km(lambda f: s[f], km, lo, hi))[0]
-
-    out = out.withColumn("km", F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.col("km"), newton))
-    out = out.withColumn("moved", _moved(newton(F.col("km"), F.lit(0)), F.col("km")))
-    sums = _fold(F.col("doses"), lambda d: _search_terms(d, F.col("km")))
-    out = out.withColumn("sums", sums).withColumn("vmax", _best_vmax(lambda f: F.col(f"sums.{f}")))
-    shape = _fold(F.col("doses"), lambda d: _curvature_terms(d, F.col("vmax"), F.col("km"), covariance))
-    out = out.withColumn("shape", shape)
-    return out.select(*keys, *FACTS, "moved", "vmax", "km", "shape.rss", "shape.h_vv", "shape.h_vk", "shape.h_kk")
-
-
-# --- groups with many doses -------------------------------------------------------
+COARSE_STEPS = 48
+FINE_STEPS = 24
+# Newton goes on while any group's km moves by more than this share; the error left is about its square
+STILL = 1e-6
+NEWTON_ROUNDS = 40
+# A search has converged if the last step changed km by no more than this share
+SETTLED = 1e-5
+BRACKET = ["km", "km_lo", "km_hi"]
 
 
 def _pair(doses: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
@@ -229,76 +41,95 @@ def _pair(doses: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
     return null_safe_join(doses, params, keys, "inner")
 
 
-def _sums(terms: Terms) -> list[Column]:
-    return [F.sum(term).alias(name) for name, term in terms.items()]
+def _grid_round(doses: DataFrame, params: DataFrame, keys: list[str], ratios: list[float]) -> DataFrame:
+    """The best of the candidates ``km * ratio``; the smaller one on a tie. The bracket becomes the ratio next to it."""
+    # As SQL text: so many terms are slow to build one column operation at a time
+    sums, tried = [], []
+    for i, ratio in enumerate(ratios):
+        u = f"(x / (km * {ratio!r}D + x))"
+        sums += [F.expr(f"sum(n * y_mean * {u}) AS uy{i}"), F.expr(f"sum(n * {u} * {u}) AS uu{i}")]
+        # Reduction of the squared residuals by the best vmax
+        tried.append(f"named_struct('gain', try_divide(uy{i} * uy{i}, uu{i}), 'back', {-i}, 'km', km * {ratio!r}D)")
+    scored = _pair(doses, params, keys).groupBy(*keys, *BRACKET).agg(*sums)
+    step = ratios[1] / ratios[0]
+    best = scored.withColumn("best", F.expr(f"array_max(array({', '.join(tried)})).km"))
+    lo, hi = F.greatest("km_lo", F.col("best") / F.lit(step)), F.least("km_hi", F.col("best") * F.lit(step))
+    return best.select(*keys, F.least(F.greatest("best", "km_lo"), "km_hi").alias("km"), lo.alias("km_lo"), hi.alias("km_hi"))
 
 
-def _grid_round(doses: DataFrame, bounds: DataFrame, keys: list[str], steps: int) -> DataFrame:
-    lo, hi, step = F.col("km_lo"), F.col("km_hi"), F.col("step")
-    scored = (
-        _pair(doses, bounds, keys)
-        .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps))))
-        .withColumn("km", _candidate(lo, hi, step, steps))
-        .groupBy(*keys, "km_lo", "km_hi", "step")
-        .agg(*_sums(_search_terms(F.col, F.col("km"))))
-    )
-    best = scored.groupBy(*keys, "km_lo", "km_hi").agg(
-        F.max(F.struct(_gain(F.col).alias("gain"), (-step).alias("back"))).alias("best")
-    )
-    below, above = _around(lo, hi, -F.col("best.back"), steps)
-    return best.select(
-        *keys,
-        _candidate(lo, hi, -F.col("best.back"), steps).alias("km"),
-        below.alias("km_lo"),
-        above.alias("km_hi"),
-    )
-
+U, U1, U2 = "(x / (km + x))", "(-x / ((km + x) * (km + x)))", "(2 * x / ((km + x) * (km + x) * (km + x)))"
 
-def _newton_round(doses: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
-    sums = (
-        _pair(doses, params, keys)
-        .groupBy(*keys, "km", "km_lo", "km_hi")
-        .agg(*_sums(_newton_terms(F.col, F.col("km"))))
-    )
-    moved = _newton_km(F.col, F.col("km"), F.col("km_lo"), F.col("km_hi"))
-    return sums.select(*keys, moved.alias("km"), _moved(moved, F.col("km")).alias("moved"), "km_lo", "km_hi")
 
+def _sums(terms: dict[str, str]) -> list[Column]:
+    return [F.expr(f"sum({term}) AS {name}") for name, term in terms.items()]
 
-def _fit_wide(doses: DataFrame, keys: list[str], km_span: tuple[float, float], covariance: str) -> DataFrame:
-    """Facts and shape of groups with any number of doses, by grouped aggregates.
 
-    Every round is settled: its table has one row per group, and the plan of
-    the next round starts from a file.
+def _newton_round(doses: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
+    """One Newton step on ln(km) for the residuals at the best ``vmax``, kept in the bracket."""
+    terms = {
+        "uy": f"n * y_mean * {U}", "u1y": f"n * y_mean * {U1}", "u2y": f"n * y_mean * {U2}", "uu": f"n * {U} * {U}",
+        "uu1": f"n * {U} * {U1}", "u1u1": f"n * {U1} * {U1}", "uu2": f"n * {U} * {U2}",
+    }
+    sums = _pair(doses, params.select(*keys, *BRACKET), keys).groupBy(*keys, *BRACKET).agg(*_sums(terms))
+    carried = [*keys, *BRACKET]
+    best = sums.selectExpr("*", "try_divide(uy, uu) AS __v").selectExpr("*", "u1y - __v * uu1 AS __e1", "u2y - __v * uu2 AS __e2")
+    bent = best.selectExpr(
+        *carried, "__v", "-2 * __v * __e1 AS __slope",
+        "2 * (__v * __v * u1u1 - __v * __e2) - try_divide(pow(2 * (__v * uu1 - __e1), 2), 2 * uu) AS __bend",
+    )
+    logs = bent.selectExpr(*carried, "__v", "km * __slope AS __g", "km * km * __bend + km * __slope AS __h")
+    step = logs.selectExpr(*carried, "__v", "CASE WHEN __h > 0 THEN greatest(least(-__g / __h, 1D), -1D) ELSE 0D END AS __step")
+    moved = step.selectExpr(*carried, "__v", "greatest(least(km * exp(__step), km_hi), km_lo) AS __after")
+    return moved.selectExpr(*keys, "__after AS km", "km_lo", "km_hi", "abs(__after / km - 1) AS moved", "__v AS near_vmax")
+
+
+def _shape(doses: DataFrame, params: DataFrame, keys: list[str], covariance: str) -> DataFrame:
+    """Best ``vmax`` at the found ``km``, the residual sum of squares and its Hessian in (vmax, km).
+
+    All of them follow from residuals at a nearby ``vmax``, corrected exactly
+    for the difference, so one pass does and nothing cancels.
     """
-    facts = settle(doses.groupBy(*keys).agg(*_facts()).filter(F.col("n_doses") > 0), "dose-groups")
-    used = doses.filter(F.col("x").isNotNull() & (F.col("n") > 0)).select(*keys, "x", "n", "y_mean", "spread")
-    params = facts.select(
-        *keys,
-        (F.col("x_scale") * F.lit(km_span[0])).alias("km_lo"),
-        (F.col("x_scale") * F.lit(km_span[1])).alias("km_hi"),
-    )
-    for steps in (COARSE_STEPS, FINE_STEPS):
-        bounds = params.select(*keys, "km_lo", "km_hi")
-        params = settle(_grid_round(used, bounds, keys, steps), "fit-grid")
-    for _ in range(NEWTON_STEPS):
-        params = settle(_newton_round(used, params.select(*keys, "km", "km_lo", "km_hi"), keys), "fit-newton")
-    last = settle(_newton_round(used, params.select(*keys, "km", "km_lo", "km_hi"), keys), "fit-newton")
-    params = null_safe_join(params.select(*keys, "km"), last.select(*keys, "moved"), keys, "inner")
-    final = (
-        _pair(used, settle(params, "fit-km"), keys)
-        .groupBy(*keys, "km", "moved")
-        .agg(*_sums(_search_terms(F.col, F.col("km"))))
-        .select(*keys, "km", "moved", _best_vmax(F.col).alias("vmax"))
+    r = f"(y_mean - near_vmax * {U})"
+    terms = {
+        "rr": f"spread + n * {r} * {r}", "ru": f"n * {r} * {U}", "ru1": f"n * {r} * {U1}", "ru2": f"n * {r} * {U2}",
+        "uu": f"n * {U} * {U}", "uu1": f"n * {U} * {U1}", "u1u1": f"n * {U1} * {U1}", "uu2": f"n * {U} * {U2}",
+    }
+    group = [*keys, "km", "moved", "near_vmax"]
+    sums = _pair(doses, params.select(*group), keys).groupBy(*group).agg(*_sums(terms))
+    near = sums.selectExpr("*", "try_divide(ru, uu) AS __more").selectExpr("*", "near_vmax + __more AS vmax", "ru1 - __more * uu1 AS __e1", "ru2 - __more * uu2 AS __e2")
+    observed = "1D" if covariance == "observed" else "0D"
+    return near.selectExpr(
+        *keys, "km", "moved", "vmax", "rr - __more * ru AS rss", "2 * uu AS h_vv",
+        f"2 * (vmax * uu1 - {observed} * __e1) AS h_vk", f"2 * (vmax * vmax * u1u1 - {observed} * vmax * __e2) AS h_kk",
+    )
+
+
+def _facts(doses: DataFrame, keys: list[str]) -> DataFrame:
+    """Readings used and not used, positive doses, and the largest doses of each group."""
+    valid = F.col("x") >= 0
+    used = F.when(valid, F.col("n"))
+    return doses.groupBy(*keys).agg(
+        F.coalesce(F.sum(used), F.lit(0)).alias("n"),
+        (F.sum("rows") - F.coalesce(F.sum(used), F.lit(0))).alias("n_excluded"),
+        F.count_if((F.col("n") > 0) & (F.col("x") > 0)).alias("n_doses"),
+        F.max(F.when(valid, F.col("x"))).alias("x_max"),
+        F.max(F.when(valid & (F.col("n") > 0), F.col("x"))).alias("x_scale"),
     )
-    shape = (
-        _pair(used, settle(final, "fit-final"), keys)
-        .groupBy(*keys, "vmax", "km", "moved")
-        .agg(*_sums(_curvature_terms(F.col, F.col("vmax"), F.col("km"), covariance)))
-    )
-    return null_safe_join(facts, shape, keys, "inner").select(*keys, *FACTS, "moved", *SHAPE)
 
 
-# --- the operator -------------------------------------------------------------------
+def _search(doses: DataFrame, facts: DataFrame, keys: list[str], km_span: tuple[float, float]) -> DataFrame:
+    """``km`` of every group with its last movement and a ``vmax`` near the best."""
+    low, high = (F.col("x_scale") * F.lit(end) for end in km_span)
+    params = facts.select(*keys, low.alias("km"), low.alias("km_lo"), high.alias("km_hi"))
+    step = (km_span[1] / km_span[0]) ** (1 / COARSE_STEPS)
+    params = settle(_grid_round(doses, params, keys, [step**i for i in range(COARSE_STEPS + 1)]), "fit-grid")
+    fine = [step ** (i / FINE_STEPS) for i in range(-FINE_STEPS, FINE_STEPS + 1)]
+    params = settle(_grid_round(doses, params, keys, fine), "fit-grid")
+    for _ in range(NEWTON_ROUNDS):
+        params = settle(_newton_round(doses, params, keys), "fit-newton")
+        if params.filter(F.col("moved") > STILL).isEmpty():
+            break
+    return params
 
 
 def _with_errors(shapes: DataFrame, km_span: tuple[float, float]) -> DataFrame:
@@ -337,6 +168,37 @@ def _with_errors(shapes: DataFrame, km_span: tuple[float, float]) -> DataFrame:
     )
 
 
+def saturation_fit_of_doses(
+    doses: DataFrame,
+    keys: list[str],
+    covariance: str = "observed",
+    km_span: tuple[float, float] = (1e-6, 1e4),
+    p_values: bool = True,
+    keep_failed: bool = False,
+) -> DataFrame:
+    """:func:`saturation_fit` from a settled table of :func:`limnokit.operators.doses.compact_doses`."""
+    if covariance not in ("observed", "gauss_newton"):
+        raise ValueError("covariance is 'observed' or 'gauss_newton'")
+    facts = settle(_facts(doses, keys), "dose-groups")
+    curved = facts.filter(F.col("n_doses") > 0)
+    used = doses.filter((F.col("x") >= 0) & (F.col("n") > 0)).select(*keys, "x", "n", "y_mean", "spread")
+    # Settled, since the errors below use each of its columns many times over
+    shapes = settle(_shape(used, _search(used, curved, keys, km_span), keys, covariance), "fit-shapes")
+    fits = _with_errors(null_safe_join(shapes, curved, keys, "inner"), km_span)
+    columns = [
+        *keys, "n", "n_excluded", "n_doses", "x_max", "vmax", "km", "se_vmax", "se_km", "t_vmax", "t_km",
+        "ci_low_km", "ci_high_km", "ci_low_vmax", "ci_high_vmax", "rss", "df_resid", "status",
+    ]
+    out = fits.select(*columns)
+    if p_values:
+        out = with_p_values(out, {"t_vmax": "p_vmax", "t_km": "p_km"})
+    if keep_failed:
+        failed = facts.filter(F.col("n_doses") == 0)
+        failed = failed.select(*keys, "n", "n_excluded", "n_doses", "x_max", F.lit("failed").alias("status"))
+        out = out.unionByName(failed, allowMissingColumns=True)
+    return out
+
+
 def saturation_fit(
     df: DataFrame,
     keys: list[str],
@@ -346,7 +208,6 @@ def saturation_fit(
     km_span: tuple[float, float] = (1e-6, 1e4),
     p_values: bool = True,
     keep_failed: bool = False,
-    packed_doses: int = PACKED_DOSES,
 ) -> DataFrame:
     """Least-squares ``vmax`` and ``km`` per group with SE, t, p and 95 % intervals.
 
@@ -362,32 +223,4 @@ def saturation_fit(
     * ``unconverged``: inside the range, but one more step would still move ``km``;
     * ``failed``: no reading with a positive dose. No row unless kept.
     """
-    if covariance not in ("observed", "gauss_newton"):
-        raise ValueError("covariance is 'observed' or 'gauss_newton'")
-    doses = settle(compact_doses(df, keys, x, y), "doses")
-    sizes = doses.groupBy(*keys).agg(F.count(F.lit(1)).alias("doses"))
-    largest, groups = sizes.agg(F.coalesce(F.max("doses"), F.lit(0)), F.count(F.lit(1))).first()
-    if largest <= packed_doses:
-        shapes = _fit_packed(doses, keys, km_span, covariance, groups)
-    else:
-        sizes = settle(sizes, "dose-counts")
-        narrow = sizes.filter(F.col("doses") <= packed_doses).select(*keys)
-        wide = sizes.filter(F.col("doses") > packed_doses).select(*keys)
-        few = null_safe_join(doses, narrow, keys, "left_semi")
-        many = settle(null_safe_join(doses, wide, keys, "left_semi"), "wide-doses")
-        shapes = _fit_packed(few, keys, km_span, covariance, groups).unionByName(
-            _fit_wide(many, keys, km_span, covariance)
-        )
-    fits = _with_errors(shapes, km_span)
-    columns = [
-        *keys, "n", "n_excluded", "n_doses", "x_max", "vmax", "km", "se_vmax", "se_km", "t_vmax", "t_km",
-        "ci_low_km", "ci_high_km", "ci_low_vmax", "ci_high_vmax", "rss", "df_resid", "status",
-    ]
-    out = fits.select(*columns)
-    if p_values:
-        out = with_p_values(out, {"t_vmax": "p_vmax", "t_km": "p_km"})
-    if keep_failed:
-        failed = doses.groupBy(*keys).agg(*_facts()).filter(F.col("n_doses") == 0)
-        failed = failed.select(*keys, "n", "n_excluded", "n_doses", "x_max", F.lit("failed").alias("status"))
-        out = out.unionByName(failed, allowMissingColumns=True)
-    return out
+    return saturation_fit_of_doses(settled_doses(df, keys, x, y), keys, covariance, km_span, p_values, keep_failed)

@@ -50,5 +50,5 @@ def convert_ammonium(raw: DataFrame, lake: DataFrame, skip_rows: int | None = No
         # the other columns break ties, so that equal keys spread and the same rows go each time
         first = ["inc_month", "vial_num"]
         order = [*first, *sorted(c for c in joined.columns if c not in first)]
-        kept = skip_head(joined, [F.col(c).asc_nulls_last() for c in order], skip_rows)
+        kept = skip_head(joined, order, skip_rows)
     return with_ammonium(kept).drop("nh3_mgn_l")

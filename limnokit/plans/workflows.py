@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnokit import fixed_values as fixed
-from limnokit.operators.linear_fit import linear_fit
+from limnokit.operators.doses import settled_doses
+from limnokit.operators.linear_fit import linear_fit_of_doses
 from limnokit.operators.loess import loess_curve
-from limnokit.operators.saturation_fit import saturation_fit
+from limnokit.operators.saturation_fit import saturation_fit_of_doses
 from limnokit.plans.background import chemistry_long, discharge_series, snow_series, temperature_profile
 from limnokit.plans.catalogue import (
     fit_catalogue,
@@ -49,12 +50,12 @@ def _with_model_name(fits: DataFrame) -> DataFrame:
 def rates_to_fits(rates: DataFrame, rules: Iterable[dict] = tuple(fixed.OUTLIER_RULES)) -> Fits:
     """Normalise, screen, and fit both curves to every incubation.
 
-    ``rates`` feeds two fits: pass it settled (or read from its file) when it
-    is expensive to compute.
+    ``rates`` is read once: both fits start from its compact table of doses.
     """
     kept = kept_rows(screen_outliers(with_normalised_rate(rates), rules))
-    curves = _with_model_name(saturation_fit(kept, MODEL_KEYS, DOSE, RATE))
-    lines = _with_model_name(linear_fit(kept, MODEL_KEYS, DOSE, RATE))
+    doses = settled_doses(kept, MODEL_KEYS, DOSE, RATE)
+    curves = _with_model_name(saturation_fit_of_doses(doses, MODEL_KEYS))
+    lines = _with_model_name(linear_fit_of_doses(doses, MODEL_KEYS))
     saturation = curves.select(
         "model_name", "vmax", "km",
         F.col("se_km").alias("std_error_km"), F.col("p_km").alias("p_value_km"),

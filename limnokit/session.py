@@ -37,6 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named or spark.conf.get("spark.sql.warehouse.dir")
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A path in a new folder of the shared one; the folder goes when the session's file system closes."""
+    folder = f"{shared_dir(spark)}/hand-off/{label}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(target)
+    system.deleteOnExit(target)
+    return f"{folder}/data"
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

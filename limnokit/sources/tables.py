@@ -7,8 +7,12 @@ Columnar inputs are read as they are, with pushdown and pruning by Catalyst.
 
 from __future__ import annotations
 
+import csv
+import uuid
 from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,21 +34,90 @@ def _typed(raw: Column, kind: str) -> Column:
     return text.try_cast(kind)
 
 
-def read_csv_table(spark: SparkSession, path: str | list[str], table: str) -> DataFrame:
-    """Scan CSV files with a header line as one of the known tables.
+# RFC 4180: a quote inside quotes is doubled, and white space belongs to the text
+RFC_4180 = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+RECORD = "__record"
 
-    A column that the files do not have is NULL throughout.
+
+@dataclass
+class CsvScan:
+    """``rows`` of a table, and ``faults``: how many cells of each ``column`` could not be read as its type.
+
+    A record with more or fewer fields than its header is no row; ``faults``
+    counts those under the column ``(record)``. A bad cell is NULL in its row.
     """
-    raw = spark.read.option("header", True).csv(path)
-    columns = []
-    for name, (kind, header) in TABLES[table].items():
-        spellings = [header, name, *HEADER_ALIASES.get(header, [])]
-        found = next((s for s in spellings if s in raw.columns), None)
-        if found is None:
+
+    rows: DataFrame
+    faults: DataFrame
+
+
+def _layouts(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Header line of the files -> the files that begin with it.
+
+    One scan of the text; of each file, whichever task holds its beginning
+    gives the first line that is not blank.
+    """
+    lines = spark.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    first = lines.filter("file_block_start = 0 AND trim(value) != ''").groupBy("file_path").agg(F.first("value").alias("header"))
+    found: dict[str, list[str]] = {}
+    for row in first.collect():
+        found.setdefault(row["header"], []).append(unquote(row["file_path"]))
+    return found
+
+
+def _header_fields(header: str) -> list[str]:
+    try:
+        return next(csv.reader([header.removeprefix("\ufeff")], strict=True))
+    except csv.Error as problem:
+        raise ValueError(f"a header must be one line: {header!r}") from problem
+
+
+def _scan_layout(spark: SparkSession, header: str, files: list[str], table: str, multi_line: bool) -> DataFrame:
+    """The table's columns as typed values, ``__bad`` with the names of unreadable cells, ``__whole`` for well-formed records."""
+    fields = _header_fields(header)
+    schema = ", ".join(f"c{i} string" for i in range(len(fields)))
+    reader = spark.read.schema(f"{schema}, {RECORD} string").options(**RFC_4180, multiLine=multi_line)
+    # Without pruning, or a record with too many fields would pass where its last columns are not asked for
+    raw = reader.options(columnPruning=False, columnNameOfCorruptRecord=RECORD).csv(files)
+    columns, bad = [], []
+    for name, (kind, delivered) in TABLES[table].items():
+        spellings = [delivered, name, *HEADER_ALIASES.get(delivered, [])]
+        at = next((fields.index(s) for s in spellings if s in fields), None)
+        if at is None:
             columns.append(F.lit(None).cast(kind).alias(name))
-        else:
-            columns.append(_typed(F.col(f"`{found}`"), kind).alias(name))
-    return raw.select(*columns)
+            continue
+        cell = F.col(f"c{at}")
+        value = _typed(cell, kind)
+        columns.append(value.alias(name))
+        if kind != "string":
+            bad.append(F.when((F.trim(cell) != "") & (cell != F.lit(MISSING)) & value.isNull(), F.lit(name)))
+    listed = F.filter(F.array(*bad), lambda name: name.isNotNull()) if bad else F.array().cast("array<string>")
+    return raw.select(*columns, listed.alias("__bad"), F.col(RECORD).isNull().alias("__whole"))
+
+
+def scan_csv(spark: SparkSession, path: str | list[str], table: str, multi_line: bool = True) -> CsvScan:
+    """Scan CSV files, each by its own header, as one of the known tables.
+
+    Files with the same header line are one scan; the scans are united by
+    column name, so the order and the number of the columns may differ from
+    file to file. A column that a file does not have is NULL there.
+    ``multi_line=False`` lets large files be split among tasks; no quoted text
+    may hold a line feed then.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    layouts = _layouts(spark, paths)
+    if not layouts:
+        empty = spark.createDataFrame([], table_schema(table))
+        return CsvScan(empty, spark.createDataFrame([], "column string, n long"))
+    scans = [_scan_layout(spark, header, paths if len(layouts) == 1 else files, table, multi_line) for header, files in sorted(layouts.items())]
+    both = union_tables(scans)
+    found = both.select(F.explode(F.when(F.col("__whole"), F.col("__bad")).otherwise(F.array(F.lit("(record)")))).alias("column"))
+    return CsvScan(both.filter("__whole").drop("__bad", "__whole"), found.groupBy("column").agg(F.count(F.lit(1)).alias("n")))
+
+
+def read_csv_table(spark: SparkSession, path: str | list[str], table: str, multi_line: bool = True) -> DataFrame:
+    """The rows of :func:`scan_csv`."""
+    return scan_csv(spark, path, table, multi_line).rows
 
 
 def read_parquet_table(spark: SparkSession, path: str | list[str], table: str) -> DataFrame:
@@ -80,6 +153,31 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     writer.parquet(path)
 
 
+def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
+    """Hand a table to a stage that groups or joins it by ``keys``: one sorted file a bucket of them.
+
+    Rows are dealt once here; every reader that knows the layout groups them
+    without an exchange. A key that holds most rows makes a large bucket: for
+    such tables use :func:`write_parquet`.
+    """
+    name = f"bucketed_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")
+
+
+def read_bucketed(spark: SparkSession, path: str, table: str, keys: list[str], buckets: int = 64) -> DataFrame:
+    """A known table written by :func:`write_bucketed`, with its layout known to Catalyst."""
+    columns = ", ".join(f"{c} {kind}" for c, (kind, _) in TABLES[table].items())
+    by, name = ", ".join(keys), f"bucketed_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    """CSV with a header line and ``NA`` for missing values."""
-    df.write.mode(mode).option("header", True).option("nullValue", MISSING).option("emptyValue", "").csv(path)
+    """CSV with a header line, ``NA`` for missing values and ``""`` for blank texts.
+
+    Quotes are doubled and line feeds stay inside quotes, so ``read_csv_table``
+    gives every text back but ``NA`` itself, which reads as missing.
+    """
+    df.write.mode(mode).options(**RFC_4180, nullValue=MISSING).csv(path)

@@ -3,9 +3,10 @@ import math
 import numpy as np
 import pytest
 
-from limnokit.operators.linear_fit import linear_fit
+from limnokit.operators.doses import settled_doses
+from limnokit.operators.linear_fit import linear_fit, linear_fit_of_doses
 from limnokit.operators.predict import predict_grid, saturation_at, trend_line
-from limnokit.operators.saturation_fit import saturation_fit
+from limnokit.operators.saturation_fit import saturation_fit, saturation_fit_of_doses
 
 DOSES = [0.0, 50.0, 100.0, 200.0, 400.0, 800.0]
 
@@ -49,8 +50,7 @@ def reference_mm(points):
     return v, km, math.sqrt(cov[0, 0]), math.sqrt(cov[1, 1]), rss
 
 
-@pytest.mark.parametrize("packed_doses", [4096, 0])
-def test_saturation_fit_matches_a_dense_search(spark, packed_doses):
+def test_saturation_fit_matches_a_dense_search(spark):
     groups = {
         "a": mm_rows("a", 30, 100, 1.0, 1),
         "b": mm_rows("b", 5, 700, 0.2, 2),
@@ -58,7 +58,7 @@ def test_saturation_fit_matches_a_dense_search(spark, packed_doses):
         "d": mm_rows("d", 1e4, 20, 150.0, 4),
     }
     df = frame(spark, sum(groups.values(), []))
-    fits = {r.g: r for r in saturation_fit(df, ["g"], "x", "y", packed_doses=packed_doses).collect()}
+    fits = {r.g: r for r in saturation_fit(df, ["g"], "x", "y").collect()}
     for g, points in groups.items():
         v, km, se_v, se_km, rss = reference_mm(points)
         r = fits[g]
@@ -73,8 +73,7 @@ def test_saturation_fit_matches_a_dense_search(spark, packed_doses):
         assert 0 <= r.p_km <= 1
 
 
-@pytest.mark.parametrize("packed_doses", [4096, 0])
-def test_saturation_fit_failure_policy(spark, packed_doses):
+def test_saturation_fit_failure_policy(spark):
     data = (
         mm_rows("good", 10, 100, 0.1)
         + [("line", x, 2.0 * x) for x in DOSES]
@@ -87,7 +86,7 @@ def test_saturation_fit_failure_policy(spark, packed_doses):
         + [(None, x, 10 * x / (100 + x) + (0.1 if x > 100 else -0.1)) for x in DOSES]
     )
     df = frame(spark, data)
-    got = {r.g: r for r in saturation_fit(df, ["g"], "x", "y", keep_failed=True, packed_doses=packed_doses).collect()}
+    got = {r.g: r for r in saturation_fit(df, ["g"], "x", "y", keep_failed=True).collect()}
     status = {g: r.status for g, r in got.items()}
     assert status == {
         "good": "ok", "line": "at_bound", "two": "singular", "one_dose": "singular", "zero_x": "failed",
@@ -96,16 +95,16 @@ def test_saturation_fit_failure_policy(spark, packed_doses):
     assert got["two"].vmax is not None and got["two"].se_km is None and got["two"].p_km is None
     assert got["negative"].n == 0 and got["negative"].n_excluded == 2
     assert got["null_y"].vmax is None
-    kept = {r.g for r in saturation_fit(df, ["g"], "x", "y", packed_doses=packed_doses).collect()}
+    kept = {r.g for r in saturation_fit(df, ["g"], "x", "y").collect()}
     assert kept == {g for g, s in status.items() if s != "failed"}
 
 
-def test_saturation_fit_continuous_dose_mixes_both_ways(spark):
+def test_saturation_fit_takes_continuous_doses(spark):
     rng = np.random.default_rng(5)
     xs = rng.uniform(1, 900, 400)
     data = [("wide", float(x), float(20 * x / (150 + x) + 0.5 * rng.standard_normal())) for x in xs]
     points = mm_rows("narrow", 30, 100, 1.0)
-    fits = {r.g: r for r in saturation_fit(frame(spark, data + points), ["g"], "x", "y", packed_doses=50).collect()}
+    fits = {r.g: r for r in saturation_fit(frame(spark, data + points), ["g"], "x", "y").collect()}
     for g, pts in (("wide", data), ("narrow", points)):
         v, km, se_v, se_km, _ = reference_mm(pts)
         assert fits[g].vmax == pytest.approx(v, rel=1e-6)
@@ -113,6 +112,34 @@ def test_saturation_fit_continuous_dose_mixes_both_ways(spark):
         assert fits[g].se_km == pytest.approx(se_km, rel=1e-4)
 
 
+def test_both_fits_start_from_one_table_of_doses(spark):
+    """Line and curve of the compact table are those of the readings; a negative dose is the line's only."""
+    rng = np.random.default_rng(9)
+    data = mm_rows("a", 30, 100, 1.0) + [("a", -20.0, 1.0), ("a", -20.0, 4.0), ("a", None, 3.0), ("a", 50.0, None)]
+    data += [("far", 1e6 + float(x), float(1e6 + 2 * x + y)) for x, y in zip(rng.uniform(0, 9, 60), rng.standard_normal(60))]
+    data += [("one", 5.0, 1.0), ("none", None, 1.0), ("none", 3.0, None)]
+    df = frame(spark, data)
+    doses = settled_doses(df, ["g"], "x", "y")
+    want = {r.g: r for r in linear_fit(df, ["g"], "x", "y", keep_failed=True).collect()}
+    got = {r.g: r for r in linear_fit_of_doses(doses, ["g"], keep_failed=True).collect()}
+    assert set(got) == set(want) == {"a", "far", "one", "none"}
+    for g in want:
+        assert (got[g].status, got[g].n, got[g].df_resid) == (want[g].status, want[g].n, want[g].df_resid)
+    for g in ("a", "far"):
+        for c in ("slope", "intercept", "se_slope", "se_intercept", "p_slope", "x_min", "x_max"):
+            assert got[g][c] == pytest.approx(want[g][c], rel=1e-7), (g, c)
+    curve, alone = (f.filter("g = 'a'").first() for f in (saturation_fit_of_doses(doses, ["g"]), saturation_fit(df, ["g"], "x", "y")))
+    assert curve == alone and curve.n == 18 and curve.n_excluded == 4
+
+
+def test_every_group_settles(spark):
+    """Noisy, steep and flat groups: Newton goes on until each stands still or lies at an end of the range."""
+    rng = np.random.default_rng(12)
+    data = [(f"g{k}", x, float(5 * x / (10 ** (k % 7) + x) + rng.standard_normal())) for k in range(60) for x in DOSES[1:] * 2]
+    got = saturation_fit(frame(spark, data), ["g"], "x", "y").collect()
+    assert len(got) == 60 and {r.status for r in got} <= {"ok", "at_bound", "singular"}
+
+
 def test_saturation_fit_does_not_depend_on_partitioning(spark):
     data = mm_rows("a", 30, 100, 1.0, copies=30) + mm_rows("b", 5, 700, 0.2, 2, copies=30)
     results = []

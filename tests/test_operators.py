@@ -11,6 +11,7 @@ from limnokit.operators import groups, histogram, joins, order_stats, ordered
 from limnokit.operators.loess import loess_curve
 from limnokit.operators.profile import head, profile
 from limnokit.operators.reshape import to_long
+from limnokit.session import settle
 
 
 def test_null_safe_join_matches_missing_keys(spark):
@@ -151,10 +152,60 @@ def test_row_positions_over_many_partitions(spark):
     got = ordered.with_row_position(df, order).orderBy("position").collect()
     assert [r.position for r in got] == list(range(1, 501))
     assert [(r.a, r.b) for r in got] == want
-    assert rows(ordered.skip_head(df, order, 490).select("b")) == rows(spark.createDataFrame([(b,) for _, b in want[490:]], "b int"))
+    assert rows(ordered.skip_head(df, ["a", "b"], 490).select("b")) == rows(spark.createDataFrame([(b,) for _, b in want[490:]], "b int"))
     assert [r.a for r in ordered.sort_rows(df, "a", "b").collect()][-1] is None
 
 
+def test_skipped_rows_fill_the_count_among_ties(spark):
+    data = [(a, b, i) for i, (a, b) in enumerate([(1, "x"), (1, "x"), (1, None), (2, "x"), (2, "x"), (2, "x"), (None, "y"), (None, None), (None, None)] * 3)]
+    df = spark.createDataFrame(data, "a int, b string, i int").repartition(5)
+    order = sorted(data, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or ""))
+    for count in (0, 1, 4, 7, 8, 13, 20, 26, 27, 40):
+        for top in (1000, 3):
+            left = ordered.skip_head(df, ["a", "b"], count, top).collect()
+            assert sorted(map(str, [r[:2] for r in left])) == sorted(str(r[:2]) for r in order[count:])
+            assert len({r.i for r in left}) == len(left)
+
+
+def test_a_group_that_is_the_table_is_cut_into_segments(spark):
+    random.seed(6)
+    values = [None if i == 700 else float(i % 13) for i in range(1000)]
+    df = spark.createDataFrame([("hot" if i % 50 else "rare", i, v) for i, v in enumerate(values)], "k string, i int, v double").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cut = ordered.in_segments(df, ["k"], ["i"])
+        assert cut.filter("k = 'hot'").select(ordered.SEGMENT).distinct().count() >= 3
+        out = ordered.with_running_sum(ordered.with_previous(df, ["k"], ["i"], "v", "p", default=-1.0), ["k"], ["i"], "v", "t")
+        out = settle(out, "scans")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out.columns == ["k", "i", "v", "p", "t"]
+    for k in ("hot", "rare"):
+        before, run = -1.0, 0.0
+        for r in out.filter(F.col("k") == k).orderBy("i").collect():
+            run = None if run is None or r.v is None else run + r.v
+            assert (r.p, r.t) == (before, run)
+            before = r.v
+
+
+def test_quantiles_with_ties_odd_values_and_any_size(spark):
+    random.seed(3)
+    groups = {f"n{n}": [random.choice([random.gauss(0, 1), 0.5, 2.0]) for _ in range(n)] for n in (1, 2, 3, 4, 5, 7, 18, 100, 3000)}
+    groups |= {"same": [4.0] * 50, "inf": [float("inf"), float("-inf"), 1.0, 2.0] * 9, "nan": [float("nan"), 1.0, 2.0, 3.0, 4.0], "large": [float(i * i % 99991) for i in range(60_000)]}
+    data = [(g, v) for g, vs in groups.items() for v in vs] + [("null", None), (None, 3.0)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(6)
+    probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
+    got = {r.g: r for r in order_stats.group_quantiles(df, ["g"], "v", probs).collect()}
+    assert set(got) == set(groups) | {None} and got[None].c == 3.0
+    for g, vs in groups.items():
+        vs = sorted(vs, key=lambda v: (v != v, v))
+        for name, p in probs.items():
+            at = (len(vs) - 1) * p
+            low, high = vs[math.floor(at)], vs[min(math.floor(at) + 1, len(vs) - 1)]
+            want = low if at == math.floor(at) or low == high else low * (1 - at % 1) + high * (at % 1)
+            assert got[g][name] == pytest.approx(want, nan_ok=True), (g, name)
+
+
 def test_previous_and_running_sum_cross_slices(spark):
     days = [dt.date(2023, 1, 1) + dt.timedelta(days=i) for i in range(100)]
     random.seed(4)

@@ -8,14 +8,17 @@ import pytest
 
 from limnokit.operators.groups import attach_mean_sd
 from limnokit.operators.linear_fit import linear_fit
-from limnokit.operators.saturation_fit import compact_doses, saturation_fit
+from limnokit.operators.order_stats import box_stats
+from limnokit.operators.ordered import skip_head
+from limnokit.operators.profile import profile
+from limnokit.operators.saturation_fit import _grid_round, compact_doses, saturation_fit
 from limnokit.plans.background import discharge_series
 from limnokit.plans.rates import uptake_rates
 from limnokit.plans.screening import kept_rows, screen_outliers, with_normalised_rate
 from limnokit.plans.speciation import convert_ammonium
 from limnokit.session import settle
 from limnokit.sources.schemas import table_schema
-from limnokit.sources.tables import read_table
+from limnokit.sources.tables import read_bucketed, read_table, write_bucketed
 
 SF = "/root/testdata/sf0.001"
 KEYS = ["l_returnflag", "l_linestatus"]
@@ -63,11 +66,46 @@ def test_large_group_tables_are_shuffled_not_broadcast(spark, lineitem):
 
 
 @needs_tables
-def test_packed_fit_shuffles_the_compact_table_once(lineitem):
+def test_fit_rounds_move_sums_only(lineitem):
+    """Grids do not multiply rows, the compact rows stay where they are, and no task gets all sums."""
     compact = compact_doses(lineitem, KEYS, "l_quantity", "l_extendedprice")
     assert shuffles(compact) == 1
     df = saturation_fit(lineitem, KEYS, "l_quantity", "l_extendedprice", p_values=False)
-    assert shuffles(df) == 1 and "SortMergeJoin" not in plan(df)
+    text = plan(df)
+    assert shuffles(df) == 0 and "SortMergeJoin" not in text and "SinglePartition" not in text
+    params = settle(lineitem.select(*KEYS).distinct().selectExpr("*", "1.0D AS km", "0.1D AS km_lo", "9.0D AS km_hi"), "params")
+    grid = _grid_round(settle(compact, "doses"), params, KEYS, [2.0**i for i in range(49)])
+    assert "Generate" not in plan(grid) and "Expand" not in plan(grid) and shuffles(grid) == 1
+
+
+@needs_tables
+def test_skipping_the_head_leaves_the_scan_where_it_is(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    df = skip_head(orders, ["o_orderstatus", "o_orderkey"], 70)
+    assert shuffles(df) == 0 and "Sort" not in plan(df) and "Window" not in plan(df)
+    assert df.count() == orders.count() - 70
+
+
+@needs_tables
+def test_quantiles_read_the_rows_twice(lineitem):
+    """A sketch and a count; what is left reads settled tables."""
+    text = plan(box_stats(lineitem, KEYS, "l_quantity"))
+    assert text.count("lineitem.parquet") == 1 and "rank-ends" in text
+    wide = plan(profile(lineitem, ["l_quantity", "l_tax", "l_discount"], quartiles=True))
+    assert "lineitem.parquet" not in wide
+
+
+def test_bucketed_tables_group_without_an_exchange(spark, tmp_path):
+    keys = ["site", "inc_month", "type", "analyte"]
+    row = dict.fromkeys(f.name for f in table_schema("uptake_rates")) | {"inc_month": "May", "type": "sediment", "analyte": "NO3"}
+    data = [tuple({**row, "site": f"S{i % 9}", "mean_spike_conc": float(i % 5), "net_delta_conc_hr": float(i)}.values()) for i in range(200)]
+    rates = spark.createDataFrame(data, table_schema("uptake_rates"))
+    write_bucketed(rates, str(tmp_path / "rates"), keys, 4)
+    back = read_bucketed(spark, str(tmp_path / "rates"), "uptake_rates", keys, 4)
+    assert sorted(back.collect(), key=str) == sorted(rates.collect(), key=str)
+    doses = compact_doses(back, keys, "mean_spike_conc", "net_delta_conc_hr")
+    assert shuffles(doses) == 0 and shuffles(compact_doses(rates, keys, "mean_spike_conc", "net_delta_conc_hr")) == 1
+    assert doses.count() == 45
 
 
 def stored(spark, tmp_path, table, *values):

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from conftest import rows
@@ -35,6 +36,34 @@ def test_files_with_other_column_orders_line_up(spark, tmp_path):
     assert rows(both) == [("E", "May", 10.0, 8.0), ("W", "May", 11.0, 7.0)]
 
 
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text('Shore,Inc_month,Temp_degC,pH\nE,May,10,8\n"He said ""no"", then\nleft",June,n.d.,x\nW,July,1\n')
+    (tmp_path / "c.csv").write_bytes('\ufeffpH,Temp_degC,Extra,Inc_month,Shore\r\n7,11,"a,b",May,W\r\n6,,,NA,\r\n1,2,3,4,5,6\r\n'.encode())
+    (tmp_path / "d.csv").write_text("pH,Shore\n")
+    scan = tables.scan_csv(spark, [str(tmp_path / n) for n in ("a b.csv", "c.csv", "d.csv")], "lake_ph_temp")
+    want = [("", None, None, 6.0), ("E", "May", 10.0, 8.0), ('He said "no", then\nleft', "June", None, None), ("W", "May", 11.0, 7.0)]
+    assert rows(scan.rows) == rows(spark.createDataFrame(want, table_schema("lake_ph_temp")))
+    assert {r["column"]: r["n"] for r in scan.faults.collect()} == {"temp_deg_c": 1, "ph": 1, "(record)": 2}
+    assert rows(tables.read_table(spark, str(tmp_path), "lake_ph_temp", "csv")) == rows(scan.rows)
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "e.csv").write_text("\n")
+    empty = tables.scan_csv(spark, str(tmp_path / "none"), "lake_ph_temp")
+    assert (empty.rows.count(), empty.faults.count()) == (0, 0) and empty.rows.schema == table_schema("lake_ph_temp")
+    (tmp_path / "broken.csv").write_text('"Sh\nore",pH\n1,2\n')
+    with pytest.raises(ValueError):
+        tables.scan_csv(spark, str(tmp_path / "broken.csv"), "lake_ph_temp")
+
+
+def test_any_text_survives_a_csv_file(spark, tmp_path):
+    """Quotes, separators, line ends, backslashes and white space in random texts."""
+    r = random.Random(2)
+    texts = ["".join(r.choice('",\n\r\\\t #;\'aé漢') for _ in range(r.randrange(8))) for _ in range(400)] + ['"', '""', '\\"', "\n", " ", "", "\r\n", "\r"]
+    df = spark.createDataFrame([(t, str(i), float(i), None) for i, t in enumerate(texts)], table_schema("lake_ph_temp")).repartition(3)
+    tables.write_csv(df, str(tmp_path / "csv"))
+    got = {r.inc_month: r.shore for r in tables.read_table(spark, str(tmp_path / "csv"), "lake_ph_temp", "csv").collect()}
+    assert got == {str(i): t for i, t in enumerate(texts)}
+
+
 def test_csv_and_parquet_round_trip(spark, tmp_path):
     data = [("a,b", "May", 1.5, None), (None, "", None, 7.0), ('q"x', "J", 2.0, 0.1)]
     df = spark.createDataFrame(data, table_schema("lake_ph_temp"))
