@@ -10,6 +10,154 @@ def _words(table: str, key: str, pattern: str, lower: bool) -> str:
     return f"SELECT {key}, regexp_extract_all({text}, '{pattern}') AS w FROM {table}"
 
 
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))"
+    letters = f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substring({text}, i, 1)) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {letters}), lambda c, b: {byte}), 4294967295)"
+
+
+_TIE = "sha256(concat(length(role), ':', role, text))"
+
+
+def _edit(old: str, cost: str, letter: str, line: str | None = None) -> str:
+    """A state after one more edit; states are cost, audit and repaired lines."""
+    lines = f"list_append({old}.o, {line})" if line else f"{old}.o"
+    return f"{{'c': {old}.c + {cost}, 'a': {old}.a || '{letter}', 'o': {lines}}}"
+
+
+def _least(*states: str) -> str:
+    return f"list_sort([{', '.join(states)}])[1]"
+
+
+_NEVER = "{'c': 1000000, 'a': '', 'o': CAST([] AS VARCHAR[])}"
+
+
+def _if(condition: str, state: str) -> str:
+    return f"CASE WHEN {condition} THEN {state} ELSE {_NEVER} END"
+
+
+def _taken(to: str, letter: str, role: str, states: tuple[str, ...]) -> list[str]:
+    """The row kept, or its role changed, where the order wants that role."""
+    kept = [_if(f"NOT gone AND role[1] = '{letter}'", _edit(s, "more", "K", "role || ':' || text")) for s in states]
+    return kept + ([_if("NOT gone", _edit(s, "more + 1", "R", f"'{role}:' || text")) for s in states] if role else [])
+
+
+_INSERTED = f"""
+  SELECT * EXCLUDE (s2, s3), s2, {_least("s3", _edit("s2", "5", "I", "'assistant:'"))} AS s3
+  FROM (SELECT * EXCLUDE (s2), {_least("s2", *[_edit(s, "5", "I", "'user:'") for s in ("s0", "s1", "s3")])} AS s2 FROM @)
+"""
+
+TURN_REPAIR = f"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations),
+kinds AS (SELECT *, {_crc32("name")} % 20 AS kind FROM named),
+harmed AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_TIE}, copy) AS pos,
+    regexp_extract_all(text, '[^\\x20\\x09-\\x0D]') AS inside
+  FROM harmed),
+judged AS (
+  SELECT *, CASE WHEN len(inside) = 0 THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+      WHEN inside[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+    left(lag(role) OVER (PARTITION BY conv_id ORDER BY pos), 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS broken
+  FROM placed),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (broken) AS illegal, max(pos) AS n
+  FROM judged GROUP BY conv_id),
+steps AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, {{'c': 0, 'a': '', 'o': CAST([] AS VARCHAR[])}} AS s0, {_NEVER} AS s1, {_NEVER} AS s2, {_NEVER} AS s3 FROM facts
+  UNION ALL
+  SELECT conv_id, nr, {_edit("s0", "2", "D")}, {_least(_edit("s1", "2", "D"), *_taken("s1", "s", "", ("s0",)))},
+    {_least(_edit("s2", "2", "D"), *_taken("s2", "u", "user", ("s0", "s1", "s3")))}, {_least(_edit("s3", "2", "D"), *_taken("s3", "a", "assistant", ("s2",)))}
+  FROM ({_INSERTED.replace("@", "(SELECT steps.*, judged.pos AS nr, role, text, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM steps JOIN judged ON judged.conv_id IS NOT DISTINCT FROM steps.conv_id AND judged.pos = steps.pos + 1)")})),
+best AS (
+  SELECT conv_id, {_least("s0", "s3")} AS s
+  FROM ({_INSERTED.replace("@", "(SELECT steps.* FROM steps JOIN facts ON facts.conv_id IS NOT DISTINCT FROM steps.conv_id AND steps.pos = facts.n)")}))
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(s.c, 0) AS BIGINT) AS cost,
+  coalesce(s.a, '') AS audit, sha256(coalesce(array_to_string(s.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS ids
+LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+PREFIX_TRIE = f"""
+WITH named AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, {_TIE} AS id, len(regexp_extract_all(text, '{_SPACED}')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_TIE}) AS pos
+  FROM named),
+sizes AS (SELECT conv_id, max(pos) AS n, {_crc32("CAST(conv_id AS VARCHAR)")} % 4 AS h, conv_id - (conv_id % 20 + 20) % 20 AS head FROM own GROUP BY conv_id),
+plan AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS kept FROM sizes AS c LEFT JOIN sizes AS b ON b.conv_id = c.head),
+turns AS (
+  SELECT conv_id, pos - h + kept AS pos, id, words FROM own JOIN plan USING (conv_id) WHERE pos > h
+  UNION ALL SELECT plan.conv_id, pos, id, words FROM plan JOIN own ON own.conv_id = plan.head WHERE pos <= h),
+places AS (
+  SELECT conv_id, pos AS depth, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY pos) AS path, words FROM turns
+  UNION ALL SELECT conv_id, 0, '', 0 FROM plan),
+nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(words) AS words FROM places GROUP BY path, depth),
+kids AS (SELECT left(path, 64 * (depth - 1)) AS path, count(*) AS kids FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT nodes.*, coalesce(kids, 0) AS kids FROM nodes LEFT JOIN kids USING (path)),
+below AS (
+  SELECT left(path, 64 * up) AS path, count(*) FILTER (kids = 0) AS leaves, sum((n - 1) * words) AS saved
+  FROM (SELECT *, unnest(range(depth + 1)) AS up FROM full_nodes) GROUP BY 1),
+ends AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+         FROM (SELECT conv_id, arg_max(path, depth) AS path FROM places GROUP BY conv_id) GROUP BY path)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(v.n AS BIGINT) AS n_convs, CAST(v.kids AS BIGINT) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_nodes AS v JOIN below USING (path) LEFT JOIN ends USING (path)
+LEFT JOIN nodes AS p ON v.depth > 0 AND p.depth = v.depth - 1 AND p.path = left(v.path, 64 * (v.depth - 1))
+"""
+
+
+def _discount(n: str, k: int) -> str:
+    """Discount of count ``k`` from the numbers ``n1`` to ``n4`` of counts."""
+    here, above = f"{n}.n{k}", f"{n}.n{k + 1}"
+    share = f"(CASE WHEN {n}.n1 + {n}.n2 > 0 THEN {n}.n1 / ({n}.n1 + 2 * {n}.n2) ELSE 0.0 END)"
+    value = f"(CASE WHEN {here} > 0 THEN {k} - {k + 1} * {share} * {above} / {here} ELSE 0.0 END)"
+    return f"CASE WHEN {value} > 0 AND {value} <= {k} THEN {value} ELSE 0.5 END"
+
+
+def _levels(table: str, count: str) -> str:
+    return "SELECT " + ", ".join(f"CAST(count(*) FILTER ({count} = {k}) AS DOUBLE) AS n{k}" for k in range(1, 5)) + f" FROM {table}"
+
+
+def _cut(count: str, cuts: str) -> str:
+    return f"CASE least({count}, 3) WHEN 1 THEN {cuts}.d1 WHEN 2 THEN {cuts}.d2 WHEN 3 THEN {cuts}.d3 ELSE 0.0 END"
+
+
+KNESER_NEY = f"""
+WITH texts AS (SELECT row_number() OVER () AS row, * FROM ({_words("(SELECT *, " + _crc32("coalesce(CAST(doc_id AS VARCHAR), '')") + " % 7 = 2 AS held_out FROM documents)", "doc_id, held_out", _SPACED, True)})),
+tokens AS (SELECT row, held_out, unnest(list_append(w, ' ')) AS w, unnest(list_prepend('  ', w)) AS v FROM texts),
+ones AS (SELECT w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY w),
+twos AS (SELECT v, w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY v, w),
+ahead AS (SELECT w, count(*) AS c FROM twos GROUP BY w),
+n AS (SELECT sum(c) AS n, count(*) AS v FROM ones),
+two_levels AS ({_levels("twos", "c")}), one_levels AS ({_levels("ahead", "c")}),
+upper AS (SELECT {", ".join(f"{_discount('two_levels', k)} AS d{k}" for k in (1, 2, 3))} FROM two_levels),
+lower_ AS (SELECT {", ".join(f"{_discount('one_levels', k)} AS d{k}" for k in (1, 2, 3))} FROM one_levels),
+pairs AS (SELECT count(*) AS p FROM twos),
+free AS (SELECT sum({_cut("c", "lower_")}) / any_value(p) / (any_value(n.v) + 1) AS unknown FROM ahead, lower_, pairs, n),
+alone AS (SELECT w, (c - {_cut("c", "lower_")}) / p + unknown AS q FROM ahead, lower_, pairs, free),
+context AS (SELECT v, sum(c) AS c, sum({_cut("c", "upper")}) / sum(c) AS gamma FROM twos, upper GROUP BY v),
+scored AS (
+  SELECT row, coalesce(ones.c, 0) AS c, coalesce(q, unknown) AS q, context.c AS heard, gamma, coalesce(twos.c, 0) AS joint
+  FROM tokens AS t LEFT JOIN ones USING (w) LEFT JOIN alone USING (w) LEFT JOIN context USING (v) LEFT JOIN twos ON twos.v = t.v AND twos.w = t.w, free),
+sums AS (
+  SELECT row, count(*) AS n_tokens, count(*) FILTER (s.c > 0) AS n_known, fsum(log10((s.c + 1) / CAST(n.n + n.v + 1 AS DOUBLE))) AS base,
+    fsum(log10(CASE WHEN heard IS NULL THEN q ELSE (joint - {_cut("joint", "upper")}) / heard + gamma * q END)) AS own
+  FROM scored AS s, n, upper GROUP BY row)
+SELECT doc_id, held_out, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(n_known AS BIGINT) AS n_known, CAST(n.n AS BIGINT) AS train_tokens,
+  round(base, 6) AS base_score, round(own, 6) AS score
+FROM texts JOIN sums USING (row), n
+"""
+
 CONTAMINATION = f"""
 WITH d AS ({_words("documents", "doc_id", _ALNUM, True)}),
 i AS ({_words("benchmark", "item_id", _ALNUM, True)}),

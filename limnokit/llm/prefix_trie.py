@@ -19,8 +19,8 @@ length of a key is bounded and no conversation is in one row.
 
 A null role or text is the empty text. Rows of a conversation come by turn,
 nulls first, then by turn id; equal rows are turns of their own. Rows without
-a conversation id belong to no conversation. Other columns are ignored. An
-empty table gives no node.
+a conversation id belong to no conversation; remainders of negative ids are not
+negative. Other columns are ignored. An empty table gives no node.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def regrouped(turns: DataFrame) -> DataFrame:
     turns = settle(turns, "turns")
     sizes = turns.groupBy("conv_id").agg(F.max("pos").alias("n"))
     taken = F.crc32(F.col("conv_id").cast("string")) % HEADS
-    sizes = settle(sizes.select("conv_id", "n", taken.alias("taken"), (F.col("conv_id") - F.col("conv_id") % GROUP).alias("head")), "turn-counts")
+    sizes = settle(sizes.select("conv_id", "n", taken.alias("taken"), (F.col("conv_id") - F.pmod("conv_id", F.lit(GROUP))).alias("head")), "turn-counts")
     heads = sizes.select(F.col("conv_id").alias("head"), F.col("n").alias("n_head"))
     plan = settle(sizes.join(heads, "head", "left").select("conv_id", "head", "taken", F.least("taken", F.coalesce("n_head", F.lit(0))).alias("kept")), "turn-plan")
     own = turns.join(plan.select("conv_id", "taken", "kept"), "conv_id").filter(F.col("pos") > F.col("taken"))

@@ -12,7 +12,7 @@ from limnokit.llm.decontam import find_contamination
 from limnokit.llm.html_text import extract_text
 from limnokit.llm.kneser_ney import score_documents
 from limnokit.llm.near_dedup import near_duplicates
-from limnokit.llm.oracle import CONTAMINATION, NEAR_DUPLICATES, REPEATS
+from limnokit.llm.oracle import CONTAMINATION, KNESER_NEY, NEAR_DUPLICATES, PREFIX_TRIE, REPEATS, TURN_REPAIR
 from limnokit.llm.packing import pack_documents
 from limnokit.llm.pii import find_personal_data
 from limnokit.llm.prefix_trie import prefix_trie, regrouped, turn_rows
@@ -94,4 +94,7 @@ LLM_ORACLE: dict[str, str] = {
     "op2_decontamination": CONTAMINATION,
     "op3_near_dedup": NEAR_DUPLICATES,
     "op6_repeats": REPEATS,
+    "op11_turn_repair": TURN_REPAIR,
+    "op12_prefix_trie": PREFIX_TRIE,
+    "op13_kneser_ney": KNESER_NEY,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -5,7 +5,6 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
-from functools import lru_cache
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]")
 
@@ -50,32 +49,34 @@ def faults(rows: list[tuple]) -> list[str]:
 
 
 def cheapest(rows: list[tuple], bad: list[str]) -> tuple[int, str, list[str]]:
-    """Least cost, least audit, repaired lines; every edit tried at every place."""
+    """Least cost, least audit, repaired lines; every edit tried at every place, from the last row to the first."""
     wanted = {"": "su", "s": "u", "u": "a", "a": "u"}
 
-    @lru_cache(None)
-    def best(i: int, last: str, inserted: int) -> tuple | None:
-        found = []
-        if i == len(rows) and last in ("", "a"):
-            found.append((0, "", ()))
-        if inserted < 3:
-            for role in ("user", "assistant"):
-                if role[0] in wanted[last] and (rest := best(i, role[0], inserted + 1)):
-                    found.append((rest[0] + 5, "I" + rest[1], (f"{role}:", *rest[2])))
-        if i < len(rows):
-            _, role, text = rows[i]
-            if rest := best(i + 1, last, 0):
-                found.append((rest[0] + 2, "D" + rest[1], rest[2]))
-            if bad[i] in ("ok", "truncated"):
-                more = 5 if bad[i] == "truncated" else 0
-                if role and role[0] in wanted[last] and (rest := best(i + 1, role[0], 0)):
-                    found.append((rest[0] + more, "K" + rest[1], (f"{role}:{text}", *rest[2])))
-                for new in ("user", "assistant"):
-                    if new[0] in wanted[last] and (rest := best(i + 1, new[0], 0)):
-                        found.append((rest[0] + 1 + more, "R" + rest[1], (f"{new}:{text}", *rest[2])))
-        return min(found) if found else None
-
-    return best(0, "", 0)
+    def inserted(after: dict) -> dict:
+        """What follows a last role, with up to three turns inserted first."""
+        for _ in range(3):
+            tried = {last: [(after[r[0]][0] + 5, "I" + after[r[0]][1], (f"{r}:", after[r[0]][2])) for r in ("user", "assistant") if r[0] in wanted[last] and r[0] in after] for last in wanted}
+            after = {last: min([*found, *([after[last]] if last in after else [])], key=lambda x: x[:2]) for last, found in tried.items() if found or last in after}
+        return after
+
+    best = inserted({last: (0, "", None) for last in ("", "a")})
+    for (_, role, text), fault in zip(rows[::-1], bad[::-1], strict=True):
+        here = {}
+        for last in wanted:
+            found = [(best[last][0] + 2, "D" + best[last][1], best[last][2])] if last in best else []
+            if fault in ("ok", "truncated"):
+                more = 5 if fault == "truncated" else 0
+                choices = [(0, "K", role)] * bool(role) + [(1, "R", r) for r in ("user", "assistant")]
+                found += [(best[r[0]][0] + cost + more, edit + best[r[0]][1], (f"{r}:{text}", best[r[0]][2])) for cost, edit, r in choices if r[0] in wanted[last] and r[0] in best]
+            if found:
+                here[last] = min(found, key=lambda x: x[:2])
+        best = inserted(here)
+    cost, audit, rest = best[""]
+    lines = []
+    while rest:
+        lines.append(rest[0])
+        rest = rest[1]
+    return cost, audit, lines
 
 
 def repairs(rows: list[tuple]) -> list[tuple]:
