@@ -4,12 +4,15 @@ A page is cut into tags and text, and a tree builder turns them into well
 nested open and close events: it supplies implied end tags (``p``, ``li``, ``dt``,
 ``td``, ``tr``, ``option`` and others), ignores stray ones and closes what the
 end leaves open. A renderer walks the events: what is not displayed (``head``,
-scripts, ``hidden``, ``display:none``, ``aria-hidden``, closed ``details``) gives no
-text, nor do titles, descriptions and definitions of ``svg`` and annotations of
-``math``, which else are inline (parts of a formula run together); white space collapses except in ``pre``; blocks start new lines, and
-paragraphs, headings, lists and tables are set off by an empty line; list items
-carry a bullet or their number; cells of a table are aligned in columns. No
-step recurses, so depth does not matter.
+scripts, ``hidden``, ``display:none`` of the element or of the page's style sheets,
+``aria-hidden``, closed ``details``) gives no text, nor do titles, descriptions and
+definitions of ``svg`` and annotations of ``math``, which else are inline (parts of
+a formula run together); ``visibility`` is inherited and may be taken back inside;
+white space collapses except in ``pre``; blocks start new lines, and paragraphs,
+headings, lists and tables are set off by an empty line; list items carry a bullet
+or their number; cells of a table are aligned in columns, over rows and columns
+that they span. No step recurses or walks the open elements (their places are
+kept by name), so time grows with the length of a page and not with its depth.
 """
 
 from __future__ import annotations
@@ -24,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnokit.llm.batches import text_pieces
+from limnokit.llm.css_rules import Rules
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*>?)", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _BLANKS = re.compile(r"[ \t\r\n\f]+")
-_UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript template".split())
@@ -70,29 +73,61 @@ ENDS_BEFORE = {
 #: An implied end does not reach beyond these.
 FENCES = {"li": frozenset("ul ol menu dir table".split()), "dt": frozenset({"dl", "table"}), "dd": frozenset({"dl", "table"})}
 _TABLE_PARTS = frozenset("td th tr thead tbody tfoot caption colgroup".split())
+#: Elements that do not keep a start tag from ending a ``p`` or the like around them.
+_THIN = frozenset("p b i em strong span a font u small".split())
+#: Start tag -> open elements that it ends.
+_ENDED_BY = {tag: tuple(name for name, tags in ENDS_BEFORE.items() if tag in tags) for tag in frozenset().union(*ENDS_BEFORE.values())}
+
+
+class _Open:
+    """The open elements, and the places of those of each name."""
+
+    def __init__(self) -> None:
+        self.stack: list[str] = []
+        self.places: dict[str, list[int]] = {}
+        self.thick: list[int] = []  # places of all but the thin elements
+
+    def push(self, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name not in _THIN:
+            self.thick.append(len(self.stack))
+        self.stack.append(name)
+
+    def pop(self) -> str:
+        name = self.stack.pop()
+        self.places[name].pop()
+        if name not in _THIN:
+            self.thick.pop()
+        return name
+
+    def last(self, names: Iterable[str]) -> int:
+        """Place of the innermost open element of these names, or -1."""
+        return max((at[-1] for name in names if (at := self.places.get(name))), default=-1)
 
 
 def tree_events(html: str) -> Iterator[tuple[str, str, str]]:
     """``(kind, name or text, attributes)``, kind ``<``, ``>`` or ``t``; every open element is closed."""
-    stack: list[str] = []
+    open_ = _Open()
+    stack = open_.stack
     roots: list[int] = []  # places of svg and math in the stack
     at, n = 0, len(html)
 
     def foreign() -> bool:
         while roots and (roots[-1] >= len(stack) or stack[roots[-1]] not in FOREIGN):
             roots.pop()
-        return bool(roots) and _HTML_INSIDE.isdisjoint(stack[roots[-1] + 1 :])
+        return bool(roots) and open_.last(_HTML_INSIDE) < roots[-1]
 
     def implied(tag: str) -> Iterator[tuple[str, str, str]]:
-        for i in range(len(stack) - 1, -1, -1):
-            name = stack[i]
-            if name in ENDS_BEFORE and tag in ENDS_BEFORE[name]:
-                while len(stack) > i:
-                    yield ">", stack.pop(), ""
-            elif name == "table" or tag in FENCES and name in FENCES[tag]:
-                return
-            elif tag not in FENCES and tag not in _TABLE_PARTS and name not in ("p", "b", "i", "em", "strong", "span", "a", "font", "u", "small"):
+        enders = _ENDED_BY.get(tag, ())
+        while (end := open_.last(enders)) >= 0:
+            if tag in FENCES or tag in _TABLE_PARTS:
+                fence = open_.last({"table"} | FENCES.get(tag, frozenset()))
+            else:
+                fence = open_.thick[-1] if open_.thick else -1
+            if end < fence:
                 return
+            while len(stack) > end:
+                yield ">", open_.pop(), ""
 
     while at < n:
         found = _TOKEN.search(html, at)
@@ -106,21 +141,19 @@ def tree_events(html: str) -> Iterator[tuple[str, str, str]]:
             name = found.group(1).lower()
             if name in ("body", "html"):
                 continue
-            if name == "p" and "p" not in stack or name == "br":
+            place = open_.last((name,))
+            if name == "p" and place < 0 or name == "br":
                 yield "<", name, ""
                 yield ">", name, ""
-            elif name in stack and (name in _TABLE_PARTS or name == "table" or "table" not in stack[len(stack) - stack[::-1].index(name) :]):
-                while stack:
-                    last = stack.pop()
-                    yield ">", last, ""
-                    if last == name:
-                        break
+            elif place >= 0 and (name in _TABLE_PARTS or open_.last(("table",)) <= place):
+                while len(stack) > place:
+                    yield ">", open_.pop(), ""
         elif found.group(2):
             name, rest = found.group(2).lower(), found.group(3)
             inside = bool(roots) and foreign()
             while inside and name in _ENDS_FOREIGN:
                 while len(stack) > roots[-1]:
-                    yield ">", stack.pop(), ""
+                    yield ">", open_.pop(), ""
                 inside = foreign()
             yield from implied(name)
             yield "<", name, rest
@@ -138,9 +171,9 @@ def tree_events(html: str) -> Iterator[tuple[str, str, str]]:
             else:
                 if name in FOREIGN:
                     roots.append(len(stack))
-                stack.append(name)
+                open_.push(name)
     while stack:
-        yield ">", stack.pop(), ""
+        yield ">", open_.pop(), ""
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -151,11 +184,11 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _unseen(name: str, values: dict[str, str]) -> bool:
+def _unseen(name: str, values: dict[str, str], display: str | None) -> bool:
     return (
         "hidden" in values
+        or display == "none"
         or values.get("aria-hidden", "").lower() == "true"
-        or bool(_UNSEEN_STYLE.search(values.get("style", "")))
         or (name == "dialog" and "open" not in values)
     )
 
@@ -195,39 +228,59 @@ class _Lines:
             self.done.append((" " * self.indent + line).rstrip(" "))
 
 
-def _table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of ``(lines of a cell, columns it spans)`` with the columns aligned."""
+def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, list[str], int]]]:
+    """Rows of ``(first column, lines, columns)``: a cell leaves out the columns that cells of rows above reach into."""
+    taken: dict[int, int] = {}  # column -> the row up to which it is taken
+    out = []
+    for nr, row in enumerate(rows):
+        at, cells = 0, []
+        for lines, columns, down in row:
+            while taken.get(at, -1) >= nr:
+                at += 1
+            cells.append((at, lines, columns))
+            if down > 1:
+                taken.update(dict.fromkeys(range(at, at + columns), nr + down - 1))
+            at += columns
+        out.append(cells)
+    return out
+
+
+def _table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of ``(lines of a cell, columns, rows it spans)`` with the columns aligned."""
+    placed = _placed(rows)
     widths: list[int] = []
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            widths += [0] * (at + span - len(widths))
-            if span == 1:
+    for row in placed:
+        for at, lines, columns in row:
+            widths += [0] * (at + columns - len(widths))
+            if columns == 1:
                 widths[at] = max(widths[at], *map(len, lines), 0)
-            at += span
+    starts = [0]
+    for width in widths:
+        starts.append(starts[-1] + width + 2)
     out = []
-    for row in rows:
-        room, at = [], 0
-        for _, span in row:
-            room.append(sum(widths[at : at + span]) + 2 * (span - 1))
-            at += span
-        for parts in zip_longest(*(lines for lines, _ in row), fillvalue=""):
-            out.append("  ".join(x.ljust(w) for x, w in zip(parts, room, strict=True)).rstrip(" "))
-    return [x for i, x in enumerate(out) if x or any(out[:i])]
+    for row in placed:
+        for parts in zip_longest(*(lines for _, lines, _ in row), fillvalue=""):
+            line = ""
+            for (at, _, _), part in zip(row, parts, strict=True):
+                if part:
+                    line = (line + "  " if line and len(line) + 2 > starts[at] else line.ljust(starts[at])) + part
+            out.append(line.rstrip(" "))
+    first = next((i for i, x in enumerate(out) if x), len(out))
+    return out[first:]
 
 
 def visible_text(html: str | None) -> str:
     """All visible text of a page; a null or empty page gives the empty text."""
     if not html:
         return ""
-    lines = _Lines()
-    unseen, pre, opened, foreign = 0, 0, False, 0
-    open_: list[tuple] = []  # name, what to restore at its end
+    lines, rules = _Lines(), Rules(html)
+    unseen, pre, opened, foreign, veiled = 0, 0, False, 0, False
+    open_: list[tuple] = []  # name, whether it is gone or closed, whether what is around it is veiled
     lists: list[int | None] = []
     tables: list[dict] = []
     for kind, value, rest in tree_events(html):
         if kind == "t":
-            if unseen or (open_ and open_[-1] == ("details", "closed")):
+            if unseen or veiled or (open_ and open_[-1][:2] == ("details", "closed")):
                 continue
             text = unescape(value) if "&" in value else value
             if pre:
@@ -244,14 +297,13 @@ def visible_text(html: str | None) -> str:
         elif kind == "<":
             values = attributes(rest) if len(rest) > 1 else {}
             foreign += value in FOREIGN
-            gone = value in UNSEEN or (foreign > 0 and value in FOREIGN_UNSEEN) or (bool(values) and _unseen(value, values))
-            if value == "details" and "open" not in values:
-                gone = False
-                open_.append((value, "closed"))
-            else:
-                inside_closed = open_ and open_[-1] == ("details", "closed") and value != "summary"
-                gone = gone or bool(inside_closed)
-                open_.append((value, gone))
+            style = rules.of(value, values)
+            gone = value in UNSEEN or (foreign > 0 and value in FOREIGN_UNSEEN) or _unseen(value, values, style.get("display"))
+            inside_closed = bool(open_) and open_[-1][:2] == ("details", "closed") and value != "summary"
+            gone = gone or inside_closed
+            open_.append((value, "closed" if value == "details" and "open" not in values and not gone else gone, veiled))
+            if "visibility" in style:
+                veiled = veiled if style["visibility"] == "inherit" else style["visibility"] in ("hidden", "collapse")
             if gone:
                 unseen += 1
                 continue
@@ -286,12 +338,13 @@ def visible_text(html: str | None) -> str:
                 elif value in ("td", "th") and tables:
                     if not tables[-1]["rows"]:
                         tables[-1]["rows"].append([])
-                    tables[-1]["span"] = min(_number(values.get("colspan"), 1), 1000)
+                    spans = max(1, min(_number(values.get("colspan"), 1), 1000)), _number(values.get("rowspan"), 1)
+                    tables[-1]["span"] = (spans[0], min(spans[1], 65534) if spans[1] > 0 else 65534 if spans[1] == 0 else 1)
                     lines.end_line()
                     tables[-1].setdefault("before", []).append(lines)
                     lines = _Lines()
         else:
-            name, state = open_.pop()
+            name, state, veiled = open_.pop()
             foreign -= name in FOREIGN
             if state is True:
                 unseen -= 1
@@ -302,7 +355,7 @@ def visible_text(html: str | None) -> str:
                 lines.text(" ")
             if name in ("td", "th") and tables and tables[-1].get("before"):
                 lines.end_line()
-                tables[-1]["rows"][-1].append((lines.done or [""], max(1, tables[-1].pop("span", 1))))
+                tables[-1]["rows"][-1].append((lines.done or [""], *tables[-1].pop("span", (1, 1))))
                 lines = tables[-1]["before"].pop()
             elif name == "table" and tables:
                 lines.end_line()
