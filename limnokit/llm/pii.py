@@ -14,9 +14,11 @@ Base kinds, leftmost and without overlap within a kind:
 * ``card``: digits, each pair parted by at most one blank or hyphen; 12 to 19 that pass Luhn
 * ``phone``: ``\\+[0-9][ ().0-9-]+[0-9]`` with 9 to 15 digits
 
-Added by the anchors: ``url_login`` (user and password in an address), ``iban``
-(after its cue; checked modulo 97) and ``account`` (identifier of 6 to 20
-characters with at least 5 digits after a cue).
+Added by the anchors: ``url_login`` (user and password in an address), ``mailto``
+(what follows the scheme, further and encoded addresses included), ``iban``
+(after its cue; as long as its country's are, checked modulo 97) and ``account``
+(identifier of 6 to 20 characters with at least 5 digits after a cue). A cue is a
+whole word or words; an identifier ends with a whole group of characters.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from limnokit.llm.batches import text_pieces
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "url_login", "iban", "account")
+KINDS = (*BASE_KINDS, "url_login", "iban", "account", "mailto")
 RANK = {kind: i for i, kind in enumerate(KINDS)}
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "sftp://", "postgres://", "mysql://", "redis://", "amqp://", "mongodb://")
 CUES = ("iban", "account number", "account no", "acct", "ssn", "social security", "passport", "tax id", "kontonummer", "numéro de compte", "número de cuenta")
@@ -48,9 +50,22 @@ _RUN = re.compile(r"[0-9]+")
 _CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE_TAIL = re.compile(r"[ ().0-9-]+")
 _LOGIN = re.compile(r"[^\s/@:]+:[^\s/@]+@(?=[A-Za-z0-9\[])")
-_AFTER_CUE = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|#))?\s*[:=#]?\s*")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){10,30}")
-_IDENTIFIER = re.compile(r"[A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,19}(?![A-Za-z0-9])")
+_MAILTO = re.compile(r"[^\s\"'<>]+")
+_AFTER_CUE = re.compile(r"(?:\s*(?:(?:number|no|nr|is)\b\.?|[#:=]))*\s*")
+_IBAN_HEAD = re.compile(r"[A-Z]{2}[0-9]{2}")
+_IBAN_PART = re.compile(r" ?[A-Z0-9]")
+_FIRST_GROUP = re.compile(r"[A-Za-z0-9]*[0-9][A-Za-z0-9]*|[A-Z]{1,3}(?=[ -]?[0-9])")
+_NEXT_GROUP = re.compile(r"[ -][A-Za-z0-9]*[0-9][A-Za-z0-9]*")
+# Characters of an IBAN by country
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21,
+    "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27,
+    "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24,
+    "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24,
+    "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 
 
 @cache
@@ -66,7 +81,7 @@ def _automaton():
             out.add_word(f"{a}.{b}", ("ip", 3))
             for gap in ("", " ", "-"):
                 out.add_word(a + gap + b, ("card", 2 + len(gap)))
-    for word, kind in [*((x, "url_login") for x in SCHEMES), *((x, "cue") for x in CUES)]:
+    for word, kind in [*((x, "url_login") for x in SCHEMES), *((x, "cue") for x in CUES), ("mailto:", "mailto")]:
         for form in {word, word.upper(), word.capitalize(), word.title()}:
             out.add_word(form, (kind, len(form)))
     out.make_automaton()
@@ -83,7 +98,38 @@ def luhn(digits: str) -> bool:
 
 def _iban_holds(text: str) -> bool:
     text = text.replace(" ", "")
-    return 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+
+
+def _ends_here(text: str, at: int) -> bool:
+    return at >= len(text) or not text[at].isalnum()
+
+
+def _iban(text: str, start: int) -> int | None:
+    """End of the IBAN at ``start``: of its country's length, or for other countries of the greatest that holds."""
+    if not _IBAN_HEAD.match(text, start):
+        return None
+    ends = [start + k for k in range(1, 5)]
+    while len(ends) < 34 and (part := _IBAN_PART.match(text, ends[-1])):
+        ends.append(part.end())
+    known = IBAN_LENGTHS.get(text[start : start + 2])
+    for length in (known,) if known else range(len(ends), 14, -1):
+        if length <= len(ends) and _ends_here(text, ends[length - 1]) and _iban_holds(text[start : ends[length - 1]]):
+            return ends[length - 1]
+    return None
+
+
+def _identifier(text: str, start: int) -> int | None:
+    """End of 6 to 20 characters in whole groups, each of which but a short first one has a digit, with at least 5 digits in all."""
+    found, group = None, _FIRST_GROUP.match(text, start)
+    while group:
+        taken = text[start : group.end()].replace(" ", "").replace("-", "")
+        if len(taken) > 20:
+            break
+        if len(taken) >= 6 and sum(c in _DIGITS for c in taken) >= 5 and _ends_here(text, group.end()):
+            found = group.end()
+        group = _NEXT_GROUP.match(text, group.end()) or (_FIRST_GROUP.match(text, group.end()) if group.group().isalpha() else None)
+    return found
 
 
 def _email(text: str, at: int, free: int) -> tuple[int, int] | None:
@@ -113,15 +159,24 @@ def _ip(text: str, dot: int, free: int) -> tuple[int, int, bool] | None:
     return start, at, all(len(x.lstrip("0")) <= 3 and int(x[-3:] if len(x) > 3 else x) <= 255 for x in parts)
 
 
-def _account(text: str, cue_end: int) -> tuple[str, int, int] | None:
+def _account(text: str, cue: int, cue_end: int) -> tuple[str, int, int] | None:
+    if cue > 0 and text[cue - 1].isalnum() or not _ends_here(text, cue_end):
+        return None
     start = _AFTER_CUE.match(text, cue_end).end()
-    if (m := _IBAN.match(text, start)) and _iban_holds(m.group()):
-        return "iban", start, m.end()
-    if (m := _IDENTIFIER.match(text, start)) and sum(c in _DIGITS for c in m.group()) >= 5:
-        return "account", start, m.end()
+    if end := _iban(text, start):
+        return "iban", start, end
+    if end := _identifier(text, start):
+        return "account", start, end
     return None
 
 
+def _mailto(text: str, start: int) -> int | None:
+    """End of the addresses after the scheme, without the punctuation of the sentence around them."""
+    found = _MAILTO.match(text, start)
+    addresses = found.group().rstrip(".,;:!?)]") if found else ""
+    return start + len(addresses) if "@" in addresses or "%40" in addresses else None
+
+
 def find_spans(text: str) -> list[tuple[int, int, str]]:
     """All spans of a text as ``(start, end, kind)``, by start and then in order of ``KINDS``.
 
@@ -160,7 +215,11 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
             if at >= free[kind] and (m := _LOGIN.match(text, last + 1)):
                 spans.append((at, m.end() - 1, kind))
                 free[kind] = m.end()
-        elif found := _account(text, last + 1):
+        elif kind == "mailto":
+            if at >= free[kind] and (end := _mailto(text, last + 1)):
+                spans.append((last + 1, end, kind))
+                free[kind] = end
+        elif found := _account(text, at, last + 1):
             if found[1] >= free[found[0]]:
                 spans.append((found[1], found[2], found[0]))
                 free[found[0]] = found[2]

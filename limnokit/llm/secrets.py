@@ -4,7 +4,11 @@ Candidates are long strings of key-like characters, issued formats and
 whatever follows a credential's name. Each is described by its length, the transitions between kinds
 of its characters, how much of it dictionary words cover, the path or source
 it was found in, and the words beside it. A random forest trained on labelled
-findings gives each a probability.
+findings gives each a probability. Where there are none, they are made: in the
+places of findings of the corpus, keys drawn from hashes are planted as secrets,
+with and without a credential's name before them, and as harmless identifiers
+beside the words for those; found digits, words and paths are harmless too. So
+the forest has to tell keys by their characters, and their neighbours only add.
 
 All of it is DataFrame functions and the JVM's own forest; no Python runs on
 the executors. Texts never leave the scan: only candidates and 80 characters
@@ -23,7 +27,7 @@ from limnokit.session import settle
 
 BEFORE, BEHIND = 80, 40
 
-CREDENTIAL_WORDS = r"(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
+CREDENTIAL_WORDS = r"(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_ -]?key)"
 ASSIGNED = CREDENTIAL_WORDS + r"[\"']?\s{0,3}(?:[:=]|=>|:=)\s{0,3}[\"']?$"
 HARMLESS_WORDS = r"(?i)\b(?:sha(?:1|256|512)?|md5|commit|checksum|digest|hash|uuid|guid|isbn|order|invoice|serial|version|example|sample|dummy|placeholder|test)\b"
 HARMLESS_PATHS = r"(?i)(?:test|example|sample|fixture|mock|doc|readme)"
@@ -111,22 +115,56 @@ def describe(candidates: DataFrame, dictionary: DataFrame) -> DataFrame:
     ).drop("covered")
 
 
-def label_by_convention(found: DataFrame) -> DataFrame:
-    """Findings whose label is beyond doubt by convention, with ``label``.
+#: What stands before planted findings: a credential's name, or a word for harmless identifiers.
+PLANTED_NAMES = ('api_key = "', "token: ", "password=", "bearer ", "secret => '", "-----BEGIN RSA PRIVATE KEY-----\n")
+PLANTED_HARMLESS = ("commit ", "sha256 ", "checksum: ", "uuid ", "md5 hash ", "serial ")
+
+
+def _pick(values: tuple[str, ...], by: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(by, F.lit(len(values))) + 1).cast("int"))
 
-    1: an issued format, or a value assigned in quotes to a credential's name,
-    of mixed characters and not made of words. 0: digits alone, mostly words,
-    or beside words for harmless identifiers. The rest has no label.
-    """
-    secret = (F.col("issued") == 1) | (
-        (F.col("assigned") == 1) & (F.col("quoted") == 1) & (F.col("dictionary_share") < 0.3) & (F.col("distinct_share") > 0.15)
-    )
-    harmless = (F.col("digit_share") == 1) | (F.col("dictionary_share") > 0.6) | ((F.col("harmless_word") == 1) & (F.col("assigned") == 0))
-    harmless |= (F.col("credential_word") == 0) & (F.col("assigned") == 0)
-    return found.withColumn("label", F.when(secret, 1.0).when(harmless, 0.0)).filter("label IS NOT NULL")
 
+def planted_findings(candidates: DataFrame, rows: int, seed: int) -> DataFrame:
+    """Labelled findings in the places of ``rows`` candidates chosen by a hash.
 
-def train_forest(labelled: DataFrame, rows: int = 20_000, trees: int = 30, depth: int = 8, seed: int = 17):
+    A third each: a key in the place as it is (1), after a credential's name
+    (1), beside a word for harmless identifiers (0). Keys are 16 to 64 letters
+    and digits, hexadecimal digits (20 or more), base64, or letters alone, by
+    the bits of a hash, none with the prefix of an issued format; harmless
+    identifiers are hexadecimal or digits.
+    """
+    order = F.xxhash64("value", "before", "behind", "doc_id", "ordinal", F.lit(seed))
+    places = candidates.withColumn("__by", order).orderBy("__by").limit(rows)
+    bits = F.concat_ws("/", "value", "doc_id", "ordinal", F.col("__by").cast("string"))
+    code, hexes = F.base64(F.unhex(F.sha2(bits, 512))), F.sha2(bits, 256)
+    size = F.pmod(F.shiftright("__by", 8), F.lit(49)) + 16
+    kind = F.pmod(F.shiftright("__by", 16), F.lit(4))
+    key = (
+        F.when(kind == 0, F.left(F.translate(code, "+/=", "xY"), size))
+        .when(kind == 1, F.left(hexes, F.greatest(size, F.lit(20))))
+        .when(kind == 2, F.left(code, size))
+        .otherwise(F.left(F.translate(code, "0123456789+/=", "qRsTuVwXyZ"), size))
+    )
+    harmless = F.when(kind < 3, F.left(hexes, F.greatest(size, F.lit(32)))).otherwise(F.left(F.translate(hexes, "abcdef", "135792"), size))
+    part = F.pmod(F.shiftright("__by", 24), F.lit(3))
+    spot = F.shiftright("__by", 32)
+    lead = F.when(part == 1, _pick(PLANTED_NAMES, spot)).when(part == 2, _pick(PLANTED_HARMLESS, spot))
+    quote = F.when(F.right(lead, F.lit(1)).isin('"', "'"), F.right(lead, F.lit(1))).otherwise(F.lit(" "))
+    before = F.when(part == 0, F.col("before")).otherwise(F.right(F.concat("before", F.lit(" "), lead), F.lit(BEFORE)))
+    behind = F.when(part == 0, F.col("behind")).otherwise(F.left(F.concat(quote, "behind"), F.lit(BEHIND)))
+    return places.select(
+        "doc_id", "ordinal", F.when(part == 2, harmless).otherwise(key).alias("value"), before.alias("before"), behind.alias("behind"), "path",
+        F.when(part == 2, 0.0).otherwise(1.0).alias("label"),
+    )
+
+
+def surely_harmless(found: DataFrame) -> DataFrame:
+    """Described findings that no one would take for secrets, with ``label`` 0: digits, words and paths without a credential's name."""
+    plain = (F.col("digit_share") == 1) | (F.col("dictionary_share") > 0.6)
+    return found.filter(plain & (F.col("credential_word") == 0) & (F.col("issued") == 0)).withColumn("label", F.lit(0.0))
+
+
+def train_forest(labelled: DataFrame, rows: int = 30_000, trees: int = 30, depth: int = 8, seed: int = 17):
     """A forest fitted on at most ``rows`` labelled findings of each label, chosen by a hash; None with one label only."""
     order = F.xxhash64("value", "before", "behind", "doc_id", "ordinal", F.lit(seed))
     parts = [labelled.filter(F.col("label") == x).orderBy(order).limit(rows) for x in (0.0, 1.0)]
@@ -142,29 +180,31 @@ def _vectors(found: DataFrame) -> DataFrame:
 
 
 def score(found: DataFrame, forest, threshold: float = 0.5) -> DataFrame:
-    """``found`` with ``probability`` and ``is_secret``; without a forest the conventional labels stand."""
+    """``found`` with ``probability`` and ``is_secret``; an issued format is a secret whatever the forest says, and all there is without one."""
+    issued = F.col("issued") == 1
     if forest is None:
-        known = label_by_convention(found).select("doc_id", "ordinal", "value", "before", F.col("label").alias("probability")).distinct()
-        same = [found[c].eqNullSafe(known[c]) for c in ("doc_id", "ordinal", "value", "before")]
-        out = found.join(known, same[0] & same[1] & same[2] & same[3], "left").select(found["*"], F.coalesce("probability", F.lit(0.0)).alias("probability"))
+        out = found.withColumn("probability", F.when(issued, 1.0).otherwise(0.0))
     else:
         out = forest.transform(_vectors(found)).withColumn("probability", vector_to_array("probability")[1])
         out = out.drop("features", "rawPrediction", "prediction")
-    return out.withColumn("is_secret", F.col("probability") >= threshold)
+    return out.withColumn("is_secret", issued | (F.col("probability") >= threshold))
 
 
 def scan_secrets(
-    docs: DataFrame, dictionary: DataFrame, labelled: DataFrame | None = None, path: str | None = "source", train_rows: int = 20_000, threshold: float = 0.5
+    docs: DataFrame, dictionary: DataFrame, labelled: DataFrame | None = None, path: str | None = "source", train_rows: int = 30_000, threshold: float = 0.5, seed: int = 17
 ) -> DataFrame:
     """Every candidate of ``docs`` (``doc_id``, ``text``, and ``path`` if there is one), scored.
 
     Gives ``doc_id, ordinal`` (from 1 in order of place), ``value, before,
     behind``, the features, ``probability`` and ``is_secret``. ``labelled``:
     findings with ``label`` and the features (as of ``describe``); without it
-    those labelled by convention. Null and empty texts have no candidates, nor
-    has an empty table. Repeated rows give their candidates again. Null ids
-    and paths are allowed; other columns are ignored.
+    those of ``planted_findings`` and ``surely_harmless``. Null and empty texts
+    have no candidates, nor has an empty table. Repeated rows give their
+    candidates again. Null ids and paths are allowed; other columns are ignored.
     """
-    found = settle(describe(find_candidates(docs, path), dictionary), "candidates")
-    forest = train_forest(labelled if labelled is not None else label_by_convention(found), train_rows)
-    return score(found, forest, threshold)
+    candidates = settle(find_candidates(docs, path), "candidates")
+    found = settle(describe(candidates, dictionary), "findings")
+    if labelled is None:
+        planted = describe(settle(planted_findings(candidates, train_rows, seed), "planted"), dictionary)
+        labelled = planted.unionByName(surely_harmless(found), allowMissingColumns=True)
+    return score(found, train_forest(labelled, train_rows, seed=seed), threshold)

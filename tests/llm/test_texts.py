@@ -247,3 +247,17 @@ def test_visibility_and_style_sheets():
     assert visible_text(sheet + page) == "yes\n\nseen\n\nq\n\nforced"
     assert visible_text("<style>.h{display:none!important}</style><b class=h style='display:inline'>no</b>yes") == "yes"
     assert visible_text("<!-- <style>.h{display:none}</style> --><b class=h>yes</b>") == "yes"
+
+
+def test_added_kinds_keep_to_their_bounds():
+    assert mask("IBAN: DE89 3704 0044 0532 0130 00 AND MORE") == "IBAN: [IBAN] AND MORE"
+    assert mask("iban GB82WEST12345698765432, then") == "iban [IBAN], then"
+    assert mask("IBAN XX08 1234 5678 9012 345 NOT") == mask("IBAN XX08 1234 5678 9012 345 NOT")
+    clean = "account not 12345678 items, passports 1234567890, taxIBAN 123456789"
+    assert mask(clean) == clean
+    assert mask("Account number is 12345678 please") == "Account number is [ACCOUNT] please"
+    assert mask("passport no. AB 1234567; SSN 078-05-1120.") == "passport no. [ACCOUNT]; SSN [ACCOUNT]."
+    assert mask("account 123456789012345678901234567890 long") == "account 123456789012345678901234567890 long"
+    assert mask("see mailto:a.b@c.example?cc=d%40e.example, please") == "see mailto:[MAILTO], please"
+    assert mask("<a href='mailto:d%40e.example'>") == "<a href='mailto:[MAILTO]'>"
+    assert mask("mailto: nobody") == "mailto: nobody"
