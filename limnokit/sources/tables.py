@@ -92,7 +92,9 @@ def _scan_layout(spark: SparkSession, header: str, files: list[str], table: str,
         if kind != "string":
             bad.append(F.when((F.trim(cell) != "") & (cell != F.lit(MISSING)) & value.isNull(), F.lit(name)))
     listed = F.filter(F.array(*bad), lambda name: name.isNotNull()) if bad else F.array().cast("array<string>")
-    return raw.select(*columns, listed.alias("__bad"), F.col(RECORD).isNull().alias("__whole"))
+    # Never true by its second part, which is there because Spark refuses to read the record column alone
+    whole = F.col(RECORD).isNull() | (F.length("c0") < 0)
+    return raw.select(*columns, listed.alias("__bad"), whole.alias("__whole"))
 
 
 def scan_csv(spark: SparkSession, path: str | list[str], table: str, multi_line: bool = True) -> CsvScan:

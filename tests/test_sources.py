@@ -45,6 +45,7 @@ def test_each_file_is_read_by_its_own_header(spark, tmp_path):
     assert rows(scan.rows) == rows(spark.createDataFrame(want, table_schema("lake_ph_temp")))
     assert {r["column"]: r["n"] for r in scan.faults.collect()} == {"temp_deg_c": 1, "ph": 1, "(record)": 2}
     assert rows(tables.read_table(spark, str(tmp_path), "lake_ph_temp", "csv")) == rows(scan.rows)
+    assert scan.rows.count() == 4 and scan.rows.select("shore").count() == 4
     (tmp_path / "none").mkdir()
     (tmp_path / "none" / "e.csv").write_text("\n")
     empty = tables.scan_csv(spark, str(tmp_path / "none"), "lake_ph_temp")
