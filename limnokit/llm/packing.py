@@ -11,8 +11,10 @@ Search: around the largest length left, undominated fillings of the rest of the
 sequence are enumerated, least waste first; a branch ends when its waste alone
 rules out fewer sequences than the incumbent. The incumbent is best-fit
 decreasing. A filling is applied to as many sequences at once as the counts
-allow, so depth does not grow with the number of documents. ``node_budget``
-bounds the search; what it returns is always a whole packing.
+allow, or half as many and so on, so depth does not grow with the number of
+documents. Rounds allow more and more choices beside the first ones, so all
+packings are reached in the end. ``node_budget`` bounds the search; what it
+returns is always a whole packing.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,114 +89,152 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(lengths, n) for makes in open_.values() for lengths, n in makes]
 
 
-def fillings(lengths: list[int], counts: Counter, rest: int, width: int) -> list[tuple[int, ...]]:
+def fillings(lengths: list[int], counts: Counter, rest: int, width: int) -> tuple[list[tuple[int, ...]], int, bool]:
     """Undominated multisets of ``lengths`` (ascending, all counted) that fit in ``rest``, least waste first.
 
-    Every filling is maximal (nothing left fits beside it), and one piece that
-    fits alone dominates all fillings of the same or a smaller total.
-    At most ``width`` are kept of each number of pieces tried.
+    Where a piece fits, whatever takes its place must fill more than it does:
+    smaller pieces that together are no longer can change places with it.
+    Returns the fillings, the steps taken, and whether ``width`` cut anything:
+    it bounds the pieces tried at a place, the fillings, and the steps (16 times).
     """
     found: list[tuple[int, tuple[int, ...]]] = []
-    single = bisect_right(lengths, rest) - 1
-    if single < 0:
-        return [()]
-    least = lengths[single]
-    found.append((least, (least,)))
-    budget = [16 * width]
-
-    def grow(chosen: tuple[int, ...], top: int, left: int) -> None:
+    steps, cut = 0, False
+
+    def grow(chosen: tuple[int, ...], top: int, left: int, need: int) -> None:
+        nonlocal steps, cut
         i = min(bisect_right(lengths, left) - 1, top)
         tried = 0
-        while i >= 0 and tried < width and budget[0] > 0:
+        while i >= 0 and need < rest:
             k = lengths[i]
             if chosen.count(k) < counts[k]:
-                budget[0] -= 1
+                if tried == width or steps == 16 * width:
+                    cut = True
+                    return
+                steps += 1
                 tried += 1
-                after = left - k
-                if after < lengths[0]:
-                    if rest - after > least or (rest - after == least and len(chosen) == 0):
-                        found.append((rest - after, chosen + (k,)))
-                    if after == 0:
-                        return
-                else:
-                    grow(chosen + (k,), i, after)
+                grow((*chosen, k), i, left - k, need)
+                need = max(need, rest - left + k)
             i -= 1
+        if not tried and rest - left > need:
+            found.append((rest - left, chosen))
 
-    grow((), single, rest)
+    grow((), len(lengths) - 1, rest, -1)
     unique = dict.fromkeys(sorted(found, key=lambda x: (-x[0], len(x[1]), x[1])))
-    return [x for _, x in unique][:width]
+    return [x for _, x in unique][:width], steps, cut or len(unique) > width
 
 
-def complete_bins(counts: dict[int, int], capacity: int, node_budget: int = 20_000, width: int = 12) -> list[Pattern]:
-    """Patterns that use up ``counts`` (length -> pieces, lengths up to ``capacity``) in as few sequences as found."""
-    counts = {k: n for k, n in counts.items() if n > 0}
-    if not counts:
-        return []
-    if min(counts) < 1 or max(counts) > capacity:
-        raise ValueError("lengths must be from 1 to the capacity")
-    best = best_fit(counts, capacity)
-    best_n, bound = sum(n for _, n in best), lower_bound(counts, capacity)
-    total = sum(k * n for k, n in counts.items())
-    nodes = 0
+def _repetitions(most: int) -> list[int]:
+    """``most`` halved down to 1; steps of these sizes add up to any number."""
+    out = [most]
+    while out[-1] > 1:
+        out.append(out[-1] // 2)
+    return out
+
+
+def _search(
+    counts: dict[int, int], capacity: int, best_n: int, bound: int, budget: int, width: int, allowed: int
+) -> tuple[list[Pattern] | None, int, bool]:
+    """One round: the best packing below ``best_n`` sequences, or None, the nodes spent, and whether nothing was left out.
+
+    At most ``allowed`` of the choices on a path may differ from the first one
+    of their node: the filling of least waste, as often as it can be.
+    """
+    best, whole, nodes = None, True, 0
     left, path = Counter(counts), []
-    # each frame: fillings still to try, and what the last one tried took away
-    stack: list[list] = []
+    seen: dict[int, tuple[int, int]] = {}
 
-    def options() -> list[tuple[int, ...]]:
+    def choices() -> list[tuple[tuple[int, ...], int]]:
+        nonlocal nodes, whole
         lengths = sorted(left)
         top = lengths[-1]
         left[top] -= 1
         if not left[top]:
-            del left[top]
             lengths.pop()
-        out = [(top, *x) for x in fillings(lengths, left, capacity - top, width)]
+        rests, steps, cut = fillings(lengths, left, capacity - top, width)
         left[top] += 1
-        return out
-
-    def undo(frame: list) -> None:
+        nodes += 1 + steps // 192
+        whole = whole and not cut
+        patterns = [(top, *x) for x in rests]
+        most = [min(left[k] // n for k, n in Counter(x).items()) for x in patterns]
+        ways = [_repetitions(n) for n in most]
+        return [(x, w[0]) for x, w in zip(patterns, ways, strict=True)] + [(x, n) for x, w in zip(patterns, ways, strict=True) for n in w[1:]]
+
+    # each frame: choices still to try, the one that was applied, sequences used before it, other choices still allowed
+    stack: list[list] = [[iter(choices()), None, 0, allowed, True]]
+    room = sum(k * n for k, n in counts.items())
+    while stack and best_n > bound and nodes < budget:
+        frame = stack[-1]
         if frame[1]:
             pattern, n = frame[1]
             for k in pattern:
                 left[k] += n
+            room += n * sum(pattern)
             path.pop()
             frame[1] = None
-
-    stack.append([options(), None, 0, 0])
-    while stack and best_n > bound and nodes < node_budget:
-        frame = stack[-1]
-        undo(frame)
-        if not frame[0]:
+        choice = next(frame[0], None)
+        if choice is None or not (frame[4] or frame[3]):
+            whole = whole and choice is None
             stack.pop()
             continue
-        pattern = frame[0].pop(0)
-        nodes += 1
-        need = Counter(pattern)
-        times = min(left[k] // n for k, n in need.items())
-        waste, used = frame[2] + times * (capacity - sum(pattern)), frame[3] + times
-        if waste > (best_n - 1) * capacity - total:
+        others = frame[3] - (not frame[4])
+        frame[4] = False
+        pattern, n = choice
+        used, rest = frame[2] + n, room - n * sum(pattern)
+        if used - (-rest // capacity) >= best_n:
             continue
-        for k, n in need.items():
-            left[k] -= n * times
+        for k in pattern:
+            left[k] -= n
             if not left[k]:
                 del left[k]
-        frame[1] = (pattern, times)
-        path.append((pattern, times))
+        room = rest
+        frame[1] = choice
+        path.append(choice)
         if not left:
-            if used < best_n:
-                best, best_n = list(path), used
+            best, best_n = list(path), used
             continue
-        stack.append([options(), None, waste, used])
+        # a state met before with no more sequences and no fewer choices has been searched
+        state = hash(frozenset(left.items()))
+        before = seen.get(state)
+        if before and before[0] <= used and before[1] >= others:
+            continue
+        seen[state] = (used, others)
+        stack.append([iter(choices()), None, used, others, True])
+    return best, nodes, whole and not stack
+
+
+def complete_bins(counts: dict[int, int], capacity: int, node_budget: int = 20_000, width: int = 12) -> list[Pattern]:
+    """Patterns that use up ``counts`` (length -> pieces, lengths up to ``capacity``) in as few sequences as found.
+
+    Rounds allow one more choice beside the first of its node each, and twice
+    the ``width``, until the lower bound is met, a round left nothing out (the
+    packing is then the best there is) or ``node_budget`` nodes are spent.
+    """
+    counts = {k: n for k, n in counts.items() if n > 0}
+    if not counts:
+        return []
+    if min(counts) < 1 or max(counts) > capacity:
+        raise ValueError("lengths must be from 1 to the capacity")
+    best = best_fit(counts, capacity)
+    bound = lower_bound(counts, capacity)
+    allowed, spent, whole = 0, 0, False
+    while sum(n for _, n in best) > bound and spent < node_budget and not whole:
+        found, nodes, whole = _search(
+            counts, capacity, sum(n for _, n in best), bound, node_budget - spent, width << allowed, allowed
+        )
+        best, spent, allowed = found or best, spent + nodes, allowed + 1
     return best
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document; only longer ones are cut.
 
-    The first piece takes the remainder, the others are full.
+    The first piece takes the remainder, the others are full. ``seq`` numbers
+    the pieces, so that those of equal rows can be told apart once written.
     """
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = cached_tokenizer(tokenizer, True)
+        seq = TaskContext.get().partitionId() << 33
         for rows, texts in text_pieces(batches):
             found = library.encode(texts)
             size = np.diff(found.bound) + 1
@@ -207,12 +248,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
             at = (np.cumsum(size) - size)[which] + start
             crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
             yield pa.record_batch(
-                [rows.column("doc_id").take(pa.array(which)), pa.array(number, pa.int32()), start, length, pa.array(crc, pa.int64())],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
+                [rows.column("doc_id").take(pa.array(which)), pa.array(number, pa.int32()), start, length, pa.array(crc, pa.int64()), seq + np.arange(len(which))],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "seq"],
             )
+            seq += len(which)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+        cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, seq bigint"
     )
 
 
@@ -232,12 +274,12 @@ def place_pieces(pieces: DataFrame, capacity: int, node_budget: int = 20_000, pe
     shared = pieces.sparkSession.sparkContext.broadcast(table)
     # ranks among pieces of one length: position within a bucket, after all earlier buckets of that length
     n_buckets = max(1, sum(histogram.values()) // per_bucket)
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "seq"), F.lit(n_buckets)).cast("int")
     keyed = pieces.withColumn("bucket", bucket)
     sizes = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "seq")
     ranked = keyed.withColumn("within", F.row_number().over(within) - 1).join(sizes, ["length", "bucket"])
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 

@@ -74,11 +74,17 @@ class _Combiner:
         # all but the first of equal keys are settled here and need not meet others; the high half stays as a check
         own = mix(ids[later].view(_U) ^ mix(pos[later].astype(_U)))
         keys[later] = (keys[later] & _HIGH) | (own & ~_HIGH)
+        # equal rows of a table give equal places, of which one is enough
+        at = np.flatnonzero(later)
+        at = at[np.lexsort((pos[at], ids[at], keys[at]))]
+        again = (keys[at[1:]] == keys[at[:-1]]) & (ids[at[1:]] == ids[at[:-1]]) & (pos[at[1:]] == pos[at[:-1]])
+        keep = np.ones(len(keys), bool)
+        keep[at[1:][again]] = False
+        keys, ids, pos, known = keys[keep], ids[keep], pos[keep], known[keep]
         for a in range(0, len(keys), 100_000):
             cut = slice(a, a + 100_000)
             yield pa.record_batch(
                 [keys[cut].view(np.int64), ids[cut], pos[cut].astype(np.int32), pa.array(known[cut])], ["key", "id", "pos", "known"]
-
             )
 
 

@@ -137,8 +137,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             yield flush()
 
     # a hash of the text after the id: rows that share an id, or have none, spread over several ranges
-    keyed = docs.select(F.col("doc_id").cast("long"), "text").withColumn("tie", F.xxhash64("text"))
-    ranges = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    # ranges may also end between equal rows, which are numbered where they are read
+    keyed = docs.select(F.col("doc_id").cast("long"), "text").withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ranges = keyed.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "text", "row")
     ranges.select("doc_id", "text").mapInArrow(encode, BLOCK_SCHEMA).write.parquet(path)
 
 

@@ -13,7 +13,7 @@ from limnokit.llm.components import components
 from limnokit.llm.decontam import drop_contaminated, find_contamination
 from limnokit.llm.near_dedup import keep_one_of_each, near_duplicates, super_minhash
 from limnokit.llm.packing import best_fit, complete_bins, lower_bound, pack_documents
-from limnokit.llm.repeats import COVERS, cover_for, gathered, keyed_by_text, remove_repeats
+from limnokit.llm.repeats import COVERS, _Combiner, cover_for, gathered, keyed_by_text, remove_repeats
 from limnokit.llm.subwords import CachedTokenizer, tokenizer_path
 from limnokit.llm.token_counts import count_tokens
 from limnokit.llm.token_store import PackedIds, pack_ids, read_token_files, store_tokens, write_token_files
@@ -177,8 +177,11 @@ def fewest(items, capacity):
 
 
 def test_bin_completion_finds_the_fewest():
+    # fewer repetitions of a filling than the counts allow, two fillings of one largest length
+    for counts, capacity in (({12: 4, 22: 1, 10: 4, 27: 1, 29: 3}, 50), ({5: 4, 9: 4, 19: 3, 16: 2}, 30)):
+        assert sum(n for _, n in complete_bins(counts, capacity)) == 5
     r = random.Random(3)
-    for _ in range(300):
+    for _ in range(1000):
         capacity = r.choice([10, 20, 50])
         items = [r.randint(1, capacity) for _ in range(r.randint(0, 9))]
         for search in (complete_bins, best_fit):
@@ -212,3 +215,20 @@ def test_packing(docs, no_docs, rows):
     sizes = Counter(r["length"] for r in found)
     assert len(sequences) == lower_bound(sizes, 1024)
     assert pack_documents(no_docs).count() == 0
+
+
+def test_many_equal_rows(spark):
+    text = prose(9, 60)
+    equal = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text")).repartition(4)
+    removed = remove_repeats(equal).select("doc_id", "n_words", "n_removed").distinct().collect()
+    assert [tuple(r) for r in removed] == [(7, 60, 60)]
+    (ids,) = ids_of([text], "word_bpe_49k.json", 1)
+    starts = sorted(tuple(r) for r in store_tokens(equal).collect())
+    assert starts == [(7, k * len(ids), len(ids), zlib.crc32(ids.tobytes())) for k in range(3000)]
+    places = {(r["sequence_id"], r["offset"]) for r in pack_documents(equal).collect()}
+    assert len(places) == 3000
+    found = _Combiner()
+    for _ in range(5000):  # one window, met in equal rows: its first place and one more leave the task
+        found.add(np.array([5], np.uint64), np.array([7]), np.array([3]))
+    out = list(found.flush())
+    assert sum(b.num_rows for b in out) == 2 and all(b.column("known").to_pylist() == [True, True] for b in out)
