@@ -152,6 +152,17 @@ def with_running_sum(
     return joined.withColumn(name, total).drop("__sum", "__gaps", "__total_before", "__missing_before", *([] if given else [SEGMENT]))
 
 
+def with_running_min(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, slice_by: str | None = None) -> DataFrame:
+    """The least value of the group so far, missing ones aside. Slices are as in :func:`with_previous`."""
+    given, (df, slice_by) = slice_by, _sliced(df, keys, order, slice_by)
+    ahead = Window.partitionBy(*keys).orderBy(slice_by).rowsBetween(Window.unboundedPreceding, -1)
+    least = df.groupBy(*keys, slice_by).agg(F.min(value).alias("__least"))
+    carried = least.select(*keys, slice_by, F.min("__least").over(ahead).alias("__carried"))
+    within = Window.partitionBy(*keys, slice_by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = null_safe_join(df.withColumn("__min", F.min(value).over(within)), settle(carried, "slice-minima"), [*keys, slice_by])
+    return joined.withColumn(name, F.least("__min", "__carried")).drop("__min", "__carried", *([] if given else [SEGMENT]))
+
+
 def with_change_and_total(
     df: DataFrame, keys: list[str], order: list[str], value: str, slice_by: str, change: str, total: str, start: float = 0.0
 ) -> DataFrame:

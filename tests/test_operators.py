@@ -206,6 +206,15 @@ def test_quantiles_with_ties_odd_values_and_any_size(spark):
             assert got[g][name] == pytest.approx(want, nan_ok=True), (g, name)
 
 
+def test_running_min_across_segments(spark):
+    rng = random.Random(6)
+    data = [(k, i, rng.choice([None, rng.random()])) for k in ("a", None) for i in range(80)]
+    got = ordered.with_running_min(spark.createDataFrame(data, "k string, i int, v double").repartition(5), ["k"], ["i"], "v", "m").collect()
+    for r in got:
+        met = [v for k, i, v in data if k == r.k and i <= r.i and v is not None]
+        assert r.m == (min(met) if met else None)
+
+
 def test_previous_and_running_sum_cross_slices(spark):
     days = [dt.date(2023, 1, 1) + dt.timedelta(days=i) for i in range(100)]
     random.seed(4)
@@ -256,6 +265,19 @@ def test_loess_against_brute_force(spark):
         assert r.y == pytest.approx(brute_loess(x, y, r.x), rel=1e-8)
 
 
+def test_loess_of_many_distinct_x(spark, monkeypatch):
+    monkeypatch.setattr("limnokit.operators.loess.BLOCK_ROWS", 16)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.exponential(2, 300), np.full(60, 0.5)])  # crowded at one end, one value met often
+    y = np.cos(x) + 0.1 * rng.standard_normal(len(x))
+    data = [(g, float(a), float(b)) for g, m in (("a", 360), (None, 45)) for a, b in zip(x[:m], y[:m])]
+    got = loess_curve(spark.createDataFrame(data, "g string, x double, y double"), ["g"], "x", "y", points=30).collect()
+    assert len(got) == 60
+    for r in got:
+        m = 360 if r.g == "a" else 45
+        assert r.y == pytest.approx(brute_loess(x[:m], y[:m], r.x), rel=1e-6, abs=1e-9)
+
+
 def test_loess_falls_back_with_few_distinct_x(spark):
     data = [("two", 1.0, 1.0), ("two", 1.0, 3.0), ("two", 2.0, 4.0), ("two", 2.0, 4.0), ("one", 5.0, 1.0), ("one", 5.0, 2.0)]
     df = spark.createDataFrame(data, "g string, x double, y double")
