@@ -46,9 +46,11 @@ def with_incubation_hours(
 ) -> DataFrame:
     """Hours of incubation: default when missing, replaced when too long.
 
-    Built in steps, so that each text is matched once per row.
+    Built in steps, so that each text is matched once per row. What was matched
+    has one colon; an empty match has no hours.
     """
-    hours = F.when(F.col("__clock") != "", clock_hours("__clock")).otherwise(clock_hours(F.lit(default_clock)))
+    hour, minute = (F.substring_index("__clock", ":", i).try_cast("double") for i in (1, -1))
+    hours = F.coalesce(hour + minute / F.lit(60.0), clock_hours(F.lit(default_clock)))
     capped = F.when(F.col("__hours") > F.lit(longest), F.lit(replacement)).otherwise(F.col("__hours"))
     staged = df.withColumn("__clock", clock_match(clock)).withColumn("__hours", hours)
     return staged.withColumn(name, capped).drop("__clock", "__hours")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,9 +14,9 @@ def _col(c: Column | str) -> Column:
 
 
 def starts_with_any(c: Column | str, prefixes: list[str]) -> Column:
-    """Anchored alternation; a missing text does not match."""
-    pattern = "^(" + "|".join(re.escape(p) for p in prefixes) + ")"
-    return F.coalesce(_col(c).rlike(pattern), F.lit(False))
+    """Whether the text starts with one of the prefixes (any text, if none is given); a missing text does not."""
+    starts = [_col(c).startswith(p) for p in prefixes or [""]]
+    return F.coalesce(reduce(lambda a, b: a | b, starts), F.lit(False))
 
 
 def contains_text(c: Column | str, text: str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnokit.operators.joins import null_safe_join
-from limnokit.session import settle
+from limnokit.session import compiled_steps, settle
 
 
 def compact_doses(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -37,7 +37,8 @@ def compact_doses(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 def settled_doses(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """:func:`compact_doses`, computed once for every step and fit that reads it."""
-    return settle(compact_doses(df, keys, x, y), "doses")
+    with compiled_steps(df.sparkSession):
+        return settle(compact_doses(df, keys, x, y), "doses")
 
 
 def line_moments(doses: DataFrame, keys: list[str]) -> DataFrame:

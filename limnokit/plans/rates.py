@@ -15,7 +15,7 @@ from limnokit.functions.clock import with_incubation_hours
 from limnokit.functions.numeric import mg_to_ug, ratio, recode, row_min
 from limnokit.operators.groups import attach_mean_sd, filtered_mean
 from limnokit.operators.joins import null_safe_join
-from limnokit.session import settle
+from limnokit.session import compiled_steps, settle
 
 REPLICATE_KEYS = ["site", "location", "inc_month", "type", "analyte", "spike_ug_l"]
 BASELINE_KEYS = ["shore", "inc_month", "analyte", "spike_ug_l"]
@@ -121,7 +121,7 @@ def control_tables(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     the readings need not be joined to the baseline first.
     """
     per_hour = ratio(F.lit(1.0), "real_icu_hrc")
-    sums = settle(
+    sums = (
         df.filter(F.col("type").isin(fixed.SPIKE_TYPE, fixed.WATER_TYPE))
         .groupBy("type", "location", *BASELINE_KEYS)
         .agg(
@@ -130,9 +130,10 @@ def control_tables(df: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.count(per_hour).alias("n_timed"),
             F.sum(ratio("conc_ugn_l", "real_icu_hrc")).alias("conc_hr"),
             F.sum(per_hour).alias("per_hr"),
-        ),
-        "control-sums",
+        )
     )
+    with compiled_steps(df.sparkSession):
+        sums = settle(sums, "control-sums")
     spikes = sums.filter(F.col("type") == fixed.SPIKE_TYPE).groupBy(*BASELINE_KEYS)
     baseline = settle(spikes.agg((F.sum("conc") / F.sum("n")).alias("mean_spike_conc")), "spike-baseline")
     waters = null_safe_join(sums.filter(F.col("type") == fixed.WATER_TYPE), baseline, BASELINE_KEYS)

@@ -6,17 +6,20 @@ from pathlib import Path
 
 import pytest
 
+from limnokit.operators import doses
 from limnokit.operators.groups import attach_mean_sd
 from limnokit.operators.linear_fit import linear_fit
 from limnokit.operators.order_stats import box_stats
 from limnokit.operators.ordered import skip_head
 from limnokit.operators.profile import profile
 from limnokit.operators.saturation_fit import _grid_round, compact_doses, saturation_fit
+from limnokit.plans import rates as rate_plans
 from limnokit.plans.background import discharge_series
 from limnokit.plans.rates import uptake_rates
 from limnokit.plans.screening import kept_rows, screen_outliers, with_normalised_rate
 from limnokit.plans.speciation import convert_ammonium
-from limnokit.session import settle
+from limnokit.plans.workflows import rates_to_fits
+from limnokit.session import COMPILED_BYTES, METHOD_LIMIT, compiled_steps, settle
 from limnokit.sources.schemas import table_schema
 from limnokit.sources.tables import read_bucketed, read_table, write_bucketed
 
@@ -128,6 +131,43 @@ def test_rate_plan_never_shuffles_the_readings(spark, tmp_path):
     assert shuffles(kept) == 0 and "Join" not in plan(kept)
 
 
+READING = (dt.date(2023, 5, 1), "May", "GB3m", "GB", 1, "sediment", "NO3", 3.0, 0.0, None, None, None, None, 0.05,
+           "6:30", 0.1, 2.0, 0.5, 1.0)
+
+
+def test_rates_of_readings_compute_each_step_once(spark, tmp_path):
+    """The lake's share is a column of the lake table; screening is one test above the joins, not parts at the scan."""
+    raw = stored(spark, tmp_path, "incubation_raw", READING)
+    out = uptake_rates(convert_ammonium(raw, stored(spark, tmp_path, "lake_ph_temp", ("E", "May", 15.0, 8.0))))
+    text = plan(kept_rows(screen_outliers(with_normalised_rate(out))))
+    assert "POWER" not in text and "RLIKE" not in text
+    assert 0 < text.index("BW10m") <= text.rindex("BW10m") < text.index("BroadcastHashJoin")
+
+
+def test_steps_over_readings_are_compiled_in_any_session(spark, tmp_path, monkeypatch):
+    """A method above HotSpot's limit runs interpreted: the steps that read the readings split it, the session keeps its own limit."""
+    seen = {}
+
+    def spy(df, label):
+        seen[label] = int(spark.conf.get(METHOD_LIMIT))
+        return settle(df, label)
+
+    monkeypatch.setattr(rate_plans, "settle", spy)
+    monkeypatch.setattr(doses, "settle", spy)
+    own = spark.conf.get(METHOD_LIMIT)
+    spark.conf.set(METHOD_LIMIT, "65535")
+    try:
+        raw = stored(spark, tmp_path, "incubation_raw", READING)
+        rates_to_fits(uptake_rates(convert_ammonium(raw, stored(spark, tmp_path, "lake_ph_temp", ("E", "May", 15.0, 8.0)))))
+        assert seen["control-sums"] == seen["doses"] == COMPILED_BYTES
+        assert spark.conf.get(METHOD_LIMIT) == "65535"
+        with pytest.raises(ValueError), compiled_steps(spark):
+            raise ValueError
+        assert spark.conf.get(METHOD_LIMIT) == "65535"
+    finally:
+        spark.conf.set(METHOD_LIMIT, own)
+
+
 def test_gauge_and_period_filters_reach_the_scan(spark, tmp_path):
     daily = stored(spark, tmp_path, "discharge_daily", ("10336730", dt.date(2023, 1, 1), 1.0))
     text = plan(discharge_series(daily))

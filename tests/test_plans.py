@@ -52,6 +52,13 @@ def test_ammonium_only_on_ammonia_rows(spark):
     assert got[3].nh4_mgn_l == pytest.approx(got[1].nh4_mgn_l)
 
 
+def test_lake_row_at_absolute_zero_is_no_error(spark):
+    """Readings that do not meet it are converted; those that do have no ammonium."""
+    raw = readings(spark, {"vial_num": 1, "analyte": "NH3", "conc_mgn_l": 0.2}, {"vial_num": 2, "analyte": "NH3", "conc_mgn_l": 0.2, "inc_month": "July"})
+    got = {r.vial_num: r for r in speciation.convert_ammonium(raw, lake(spark, ("E", "July", -273.15, 8.0))).collect()}
+    assert got[1].nh4_mgn_l > 0 and got[2].nh4_mgn_l is None and "__ionised" not in got[1]
+
+
 def test_blank_head_by_position(spark):
     raw = readings(spark, *[{"inc_month": m, "vial_num": i} for i, m in enumerate(["May", "", "", "June", "May"])])
     got = speciation.convert_ammonium(raw, lake(spark), skip_rows=2)
