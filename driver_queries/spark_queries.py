@@ -75,7 +75,7 @@ from limnokit.plans.screening import (
 )
 from limnokit.plans.speciation import ammonia_fraction, convert_ammonium, shore_of
 from limnokit.plans.workflows import MODEL_KEYS, fits_to_summary, rates_to_fits, smooth_temperature
-from limnokit.session import scratch_path, settle
+from limnokit.session import compiled_steps, scratch_path, settle
 from limnokit.sources.tables import read_bucketed, read_table, scan_csv, union_tables, write_bucketed, write_csv, write_parquet
 
 FLAG_STATUS = ["l_returnflag", "l_linestatus"]
@@ -764,6 +764,8 @@ def kept_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def incubation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     fits = linear_fit(kept_rates(spark, sf_dir), MODEL_KEYS, "mean_spike_conc", "net_rate_om", p_values=False)
+    with compiled_steps(spark):
+        fits = settle(fits, "lines")
     out = fits.select(*MODEL_KEYS, "n", "intercept", "slope", "se_intercept", "se_slope", "df_resid", "status")
     return rounded(out, 6, "intercept", "slope", "se_intercept", "se_slope")
 

@@ -8,8 +8,10 @@ import pytest
 
 from __spark_entry__ import entry
 from check_queries import canonical
+from driver_queries import spark_queries
 from driver_queries.oracle import ORACLE
 from driver_queries.spark_queries import QUERIES
+from limnokit.session import COMPILED_BYTES, METHOD_LIMIT, settle
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +46,21 @@ def test_query_matches_sql(spark, duck, name):
     want = pd.DataFrame.from_records(res.fetchall(), columns=[d[0] for d in res.description]).astype(object)
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got) == canonical(want)
+
+
+def test_lines_of_incubations_are_compiled(spark, monkeypatch):
+    """The step from the readings to the lines splits methods above HotSpot's limit, in any session."""
+    seen = {}
+
+    def spy(df, label):
+        seen[label] = spark.conf.get(METHOD_LIMIT)
+        return settle(df, label)
+
+    monkeypatch.setattr(spark_queries, "settle", spy)
+    own = spark.conf.get(METHOD_LIMIT)
+    spark.conf.set(METHOD_LIMIT, "65535")
+    try:
+        assert spark_queries.incubation_lines(spark, SF).count() > 0
+        assert seen == {"lines": str(COMPILED_BYTES)} and spark.conf.get(METHOD_LIMIT) == "65535"
+    finally:
+        spark.conf.set(METHOD_LIMIT, own)
