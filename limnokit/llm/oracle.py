@@ -158,6 +158,39 @@ SELECT doc_id, held_out, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(n_known AS B
 FROM texts JOIN sums USING (row), n
 """
 
+KNESER_NEY_TRIPLES = f"""
+WITH texts AS (SELECT row_number() OVER () AS row, * FROM ({_words("(SELECT *, " + _crc32("coalesce(CAST(doc_id AS VARCHAR), '')") + " % 7 = 2 AS held_out FROM documents)", "doc_id, held_out", _SPACED, True)})),
+tokens AS (SELECT row, held_out, unnest(list_append(w, ' ')) AS w, unnest(list_prepend('  ', w)) AS v, unnest(list_concat(['   ', '  '], w)[:len(w) + 1]) AS u FROM texts),
+ones AS (SELECT w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY w),
+twos AS (SELECT v, w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY v, w),
+threes AS (SELECT u, v, w, count(*) AS c FROM tokens WHERE NOT held_out AND v <> '  ' GROUP BY u, v, w),
+ahead AS (SELECT w, count(*) AS c FROM twos GROUP BY w),
+mids AS (SELECT v, w, count(*) AS c FROM threes GROUP BY v, w UNION ALL SELECT v, w, c FROM twos WHERE v = '  '),
+n AS (SELECT sum(c) AS n, count(*) AS v FROM ones),
+three_levels AS ({_levels("threes", "c")}), mid_levels AS ({_levels("mids", "c")}), one_levels AS ({_levels("ahead", "c")}),
+upper AS (SELECT {", ".join(f"{_discount('three_levels', k)} AS d{k}" for k in (1, 2, 3))} FROM three_levels),
+middle AS (SELECT {", ".join(f"{_discount('mid_levels', k)} AS d{k}" for k in (1, 2, 3))} FROM mid_levels),
+lower_ AS (SELECT {", ".join(f"{_discount('one_levels', k)} AS d{k}" for k in (1, 2, 3))} FROM one_levels),
+pairs AS (SELECT count(*) AS p FROM twos),
+free AS (SELECT sum({_cut("c", "lower_")}) / any_value(p) / (any_value(n.v) + 1) AS unknown FROM ahead, lower_, pairs, n),
+alone AS (SELECT w, (c - {_cut("c", "lower_")}) / p + unknown AS q FROM ahead, lower_, pairs, free),
+after_word AS (SELECT v, sum(c) AS c, sum({_cut("c", "middle")}) / sum(c) AS gamma FROM mids, middle GROUP BY v),
+after_pair AS (SELECT u, v, sum(c) AS c, sum({_cut("c", "upper")}) / sum(c) AS gamma FROM threes, upper GROUP BY u, v),
+found AS (
+  SELECT row, coalesce(ones.c, 0) AS c, coalesce(q, unknown) AS q, a.c AS heard, a.gamma AS gamma, coalesce(mids.c, 0) AS joint,
+    b.c AS heard_pair, b.gamma AS gamma_pair, coalesce(threes.c, 0) AS joint_pair
+  FROM tokens AS t LEFT JOIN ones USING (w) LEFT JOIN alone USING (w) LEFT JOIN after_word AS a USING (v) LEFT JOIN mids ON mids.v = t.v AND mids.w = t.w
+    LEFT JOIN after_pair AS b ON b.u = t.u AND b.v = t.v LEFT JOIN threes ON threes.u = t.u AND threes.v = t.v AND threes.w = t.w, free),
+scored AS (SELECT * REPLACE (CASE WHEN heard IS NULL THEN q ELSE (joint - {_cut("joint", "middle")}) / heard + gamma * q END AS q) FROM found, middle),
+sums AS (
+  SELECT row, count(*) AS n_tokens, count(*) FILTER (s.c > 0) AS n_known, fsum(log10((s.c + 1) / CAST(n.n + n.v + 1 AS DOUBLE))) AS base,
+    fsum(log10(CASE WHEN heard_pair IS NULL THEN q ELSE (joint_pair - {_cut("joint_pair", "upper")}) / heard_pair + gamma_pair * q END)) AS own
+  FROM scored AS s, n, upper GROUP BY row)
+SELECT doc_id, held_out, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(n_known AS BIGINT) AS n_known, CAST(n.n AS BIGINT) AS train_tokens,
+  round(base, 6) AS base_score, round(own, 6) AS score
+FROM texts JOIN sums USING (row), n
+"""
+
 CONTAMINATION = f"""
 WITH d AS ({_words("documents", "doc_id", _ALNUM, True)}),
 i AS ({_words("benchmark", "item_id", _ALNUM, True)}),

@@ -187,3 +187,42 @@ def scores(rows: list[tuple]) -> list[tuple]:
         own = math.fsum(math.log10(p(w, v)) for v, w in zip([0, *words], words))
         out.append((i, h, len(words), sum(ones[w] > 0 for w in words), total, base, own))
     return out
+
+
+def triple_model(texts: list[str | None]):
+    """The probability of a token after the two before it (0: the start; None for what is before the start)."""
+    ones, _ = language_model(texts)
+    twos, threes = Counter(), Counter()
+    for text in texts:
+        words = [0, *lower_words(text), None]
+        twos.update(zip(words, words[1:]))
+        threes.update(zip(words, words[1:], words[2:]))
+    before = Counter(w for _, w in twos)
+    adjusted = Counter((v, w) for _, v, w in threes) + Counter({pair: c for pair, c in twos.items() if pair[0] == 0})
+    spread, total = defaultdict(Counter), Counter()
+    for counts in (adjusted, threes):
+        for gram, c in counts.items():
+            spread[gram[:-1]][min(c, 3)] += 1
+            total[gram[:-1]] += c
+    levels = [discounts([sum(c == k for c in counts.values()) for k in range(1, 5)]) for counts in (before, adjusted, threes)]
+    free = sum(levels[0][min(c, 3)] for c in before.values()) / max(1, len(twos))
+
+    def p(u, v, w) -> float:
+        out = (before[w] - levels[0][min(before[w], 3)]) / len(twos) + free / (len(ones) + 1) if twos else 1.0
+        for context, counts, cut in (((v,), adjusted, levels[1]), ((u, v), threes, levels[2])):
+            if total[context]:
+                c = counts[*context, w]
+                out = (c - cut[min(c, 3)] + sum(cut[k] * n for k, n in spread[context].items()) * out) / total[context]
+        return out
+
+    return p
+
+
+def triple_scores(rows: list[tuple]) -> list[tuple]:
+    """``doc_id, n_tokens, triple_score`` of rows ``(doc_id, text)``."""
+    p = triple_model([t for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2])
+    out = []
+    for i, text in rows:
+        words = [None, 0, *lower_words(text), None]
+        out.append((i, len(words) - 2, math.fsum(math.log10(p(*g)) for g in zip(words, words[1:], words[2:]))))
+    return out
